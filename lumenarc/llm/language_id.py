@@ -62,6 +62,17 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
+def bag(text: str, label: int) -> tuple[np.ndarray, np.ndarray, int]:
+    ids, n = np.unique(subwords(text.encode()), return_counts=True)
+    return ids, (n / n.sum()).astype(np.float32), label
+
+
+def passage(text: str, rng: np.random.Generator, words: int = 8) -> str:
+    found = text.split()
+    at = int(rng.integers(0, max(1, len(found) - words)))
+    return " ".join(found[at : at + words])
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """Model of (text, language) rows; None without any."""
     langs = tuple(sorted({lang for _, lang in rows}))
@@ -72,8 +83,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     order = rng.permutation(len(rows))
     bags = []
     for i in order:
-        ids, n = np.unique(subwords(rows[i][0].encode()), return_counts=True)
-        bags.append((ids, (n / n.sum()).astype(np.float32), label[rows[i][1]]))
+        bags.append(bag(rows[i][0], label[rows[i][1]]))
     held = bags[: len(bags) // 4] if len(bags) >= 40 else bags
     fit = bags[len(bags) // 4 :] if len(bags) >= 40 else bags
     table_, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -93,6 +103,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             for i, g in zip(batch, back, strict=True):
                 table_[fit[i][0]] -= rate * fit[i][1][:, None] * g
     weights = table_ @ out
+    seen = np.zeros(BUCKETS, bool)
+    for ids, *_ in fit:
+        seen[ids] = True
+    weights[~seen] = 0  # subwords never met speak for no language, so foreign text scores low
+    # Calibration also sees passages of a few words, which whole documents alone would make look too easy.
+    held = held + [bag(passage(rows[i][0], rng), label[rows[i][1]]) for i in order[: len(held)]]
     logits = np.stack([w @ weights[ids] + bias for ids, w, _ in held])
     truth = np.array([y for *_, y in held])
 
