@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenarc.runtime import ship
+
 #: One end of a word: space, tab, newline, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what one Arrow batch of whole texts holds in a Python worker."""
+    """Bounds what one Arrow batch of whole texts holds in a Python worker, and sends it this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -6,8 +6,10 @@ Everything that has to outlive one Spark job goes to the folder named in
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,14 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenarc_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lumenarc-')}/lumenarc", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._lumenarc_shipped = True
