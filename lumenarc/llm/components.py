@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
         large = both(now)
         least = large.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Large star: neighbours above a node link to its least neighbour.
-        grown = large.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        grown = large.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: neighbours below a node, and the node, link to the least of them.
         small = grown.groupBy("a").agg(F.min("b").alias("m"))
         shrunk = grown.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.llm.common import mix, small_batches, table, texts
 from lumenarc.llm.components import connected_components
+from lumenarc.llm.line_dedup import bitmap, maybe_in
 from lumenarc.runtime import Workspace
 
 #: Ratio of the sizes at the ends of a size class.
@@ -211,28 +212,25 @@ def near_duplicates(docs: DataFrame, words: int, threshold: Fraction, text: str
     work = Workspace(spark, "jaccard-join")
     num, den = threshold.numerator, threshold.denominator
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    names = ["key", "other", "doc_id", "n"]
-    schema = "key long, other long, doc_id long, n long"
+    names = ["key", "other", "n"]
+    schema = "key long, other long, n int"
 
     def arrow(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    def constant(value: int | None, n: int):
-        return pa.nulls(n, pa.int64()) if value is None else np.full(n, value, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
 
     def met(keys: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Per signature one set of this task; the others of the task that meet there become edges (n = -2)."""
+        """Per signature one set of this task (n = -1); the others of the task that meet there become edges (n = -2)."""
         order = np.lexsort((sets, keys))
         keys, sets = keys[order], sets[order]
         same = keys[1:] == keys[:-1]
         edge = same & (sets[1:] != sets[:-1])
         if edge.any():
             pairs = np.unique(np.stack([sets[:-1][edge], sets[1:][edge]], 1), axis=0)
-            yield arrow(pairs[:, 0], pairs[:, 1], constant(None, len(pairs)), constant(-2, len(pairs)))
+            yield arrow(pairs[:, 0], pairs[:, 1], np.full(len(pairs), -2, np.int32))
         first = np.concatenate([[True], ~same]) if keys.size else same
         keys, sets = keys[first], sets[first]
         for i in range(0, keys.size, 100_000):
-            yield arrow(keys[i : i + 100_000], sets[i : i + 100_000], constant(None, keys[i : i + 100_000].size), constant(-1, keys[i : i + 100_000].size))
+            yield arrow(keys[i : i + 100_000], sets[i : i + 100_000], np.full(keys[i : i + 100_000].size, -1, np.int32))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen, held, owners, size = Classes(Fraction(num, den)), set(), [], [], 0
@@ -247,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int, threshold: Fraction, text: str
                     held.append(classes.signatures(s).view(np.int64))
                     owners.append(np.full(held[-1].size, key, np.int64))
                     size += held[-1].size
-            yield arrow(keys, constant(None, len(keys)), ids, ns)
+            yield arrow(keys, ids, ns)
             if size > HOLD:
                 yield from met(np.concatenate(held), np.concatenate(owners))
                 held, owners, size = [], [], 0
@@ -258,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int, threshold: Fraction, text: str
         """Of sorted rows: documents and edges as they are; sets that share a signature as a chain of edges."""
         last_key, last_set = None, None
         for batch in batches:
-            n = batch.column(3).to_numpy()
+            n = batch.column(2).to_numpy()
             if (n != -1).any():
                 yield batch.filter(pa.array(n != -1))
             mine = n == -1
@@ -271,17 +269,17 @@ def near_duplicates(docs: DataFrame, words: int, threshold: Fraction, text: str
             last_key, last_set = keys[-1], sets[-1]
             if edge.any():
                 pairs = np.unique(np.stack([sets[:-1][edge], sets[1:][edge]], 1), axis=0)
-                yield arrow(pairs[:, 0], pairs[:, 1], constant(None, len(pairs)), constant(-2, len(pairs)))
+                yield arrow(pairs[:, 0], pairs[:, 1], np.full(len(pairs), -2, np.int32))
 
     signed = given.mapInArrow(sign, schema)
     # Documents without a set, and copies, spread by id; all that share a signature meet.
-    spread = F.when(F.col("n") == -1, F.col("key")).otherwise(F.xxhash64("key", "doc_id", "other"))
+    spread = F.when(F.col("n") == -1, F.col("key")).otherwise(F.xxhash64("key", "other"))
     wide = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    met_rows = signed.withColumn("to", spread).repartition("to").sortWithinPartitions("to", "other").drop("to").mapInArrow(chain, schema)
+    met_rows = signed.repartition(spread).sortWithinPartitions("key", "other").mapInArrow(chain, schema)
     graph = work.save(met_rows, "graph")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
-    documents = graph.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
+    documents = graph.filter("n >= 0").select(F.col("other").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key")
     edges = graph.filter("n = -2").select(F.col("key").alias("a"), F.col("other").alias("b"))
     regions = connected_components(edges, work, "regions")
     sets = work.save(documents.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size")), "sets")
@@ -318,8 +316,10 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
             rows = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(out, pa.binary())], ["key", "region", "members", "grams"])
 
-    brought = given.join(placed, given["doc_id"] == placed["id"]).select("key", "region", "members", "text").mapInArrow(bring, "key long, region long, members long, grams binary")
-    brought = work.save(brought.dropDuplicates(["key"]), "grams")
+    # The bitmap only spares texts the shuffle; the join is exact.
+    wanted = maybe_in(given, "doc_id", bitmap(live.select("least"), "least"))
+    brought = wanted.join(placed, F.col("doc_id") == F.col("id")).select("key", "region", "members", "text").mapInArrow(bring, "key long, region long, members long, grams binary")
+    brought = work.save(brought, "grams")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by unit: joins each unit's sets and returns a forest of links."""
@@ -342,6 +342,8 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
                     if len(sets) > 1:
                         yield out()
                     unit, keys, sets, known = u, [], [], []
+                elif keys and keys[-1] == key:
+                    continue  # the same row twice
                 keys.append(key), sets.append(np.frombuffer(grams, np.uint64)), known.append(component)
         if len(sets) > 1:
             yield out()
@@ -350,7 +352,7 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
         return units.select("unit", "key", "grams", *(["component"] if "component" in units.columns else [])).repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(solve, "a long, b long")
 
     small = joined(brought.filter(F.col("members") <= REGION).withColumn("unit", F.col("region").cast("string")))
-    large = brought.filter(F.col("members") > REGION)
+    large = brought.filter(F.col("members") > REGION).dropDuplicates(["key"])
     if large.limit(1).count() == 0:
         return work.save(small, "near")
     # Pivots: each block joins itself first; the least set of each component in it stands for it at the next step
