@@ -46,6 +46,12 @@ CLASS_RATIO = 1.6
 REGION = 2048
 #: Sets that are compared at all pairs.
 LEAF = 64
+#: Sets below this size carry a profile.
+PROFILED = 256
+#: Sets of one cell up to which its pairs are told apart by size and profile; larger cells stay whole.
+CELL = 4096
+#: Sets that may share a signature in one task and all be passed on; of more, one goes for all.
+LOCAL = 64
 #: Signatures one task holds before it combines and passes them on.
 HOLD = 2_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], np.uint64)
@@ -97,9 +103,11 @@ class Classes:
         return differ, differ + 1 + max(1, -(-differ * 2 // 25))
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        found = []
+        found = [np.zeros(0, np.uint64)]
         for c in self.of(s.size):
             differ, m = self.parts(c)
+            if not differ:
+                continue  # only equal sets are linked, and those have one key
             at = ((s >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
             sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > 0
             np.add.at(sums, at, mix(s + np.uint64(0x9E37)))
@@ -119,6 +127,31 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, t: Fraction) -> np.
     return common * t.denominator >= t.numerator * (a + b - common)
 
 
+def profile(s: np.ndarray) -> int:
+    """Distances to 16 pivots: how many n-grams lie in each sixteenth of the universe, 15 at most, in 4 bits each.
+
+    The sum of two profiles' differences is at most the sets' own difference.
+    Large sets hardly meet by chance and have none (-1).
+    """
+    if s.size >= PROFILED:
+        return -1
+    n = np.minimum(np.bincount((s & np.uint64(15)).astype(np.int64), minlength=16), 15).astype(np.uint64)
+    return int(np.bitwise_or.reduce(n << (np.arange(16, dtype=np.uint64) * np.uint64(4))).view(np.int64))
+
+
+def may_link(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether sizes and profiles allow a link; exact bounds, so no link is lost."""
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    fits = small * t.denominator >= large * t.numerator
+    x, y = pa_.astype(np.int64).view(np.uint64), pb.astype(np.int64).view(np.uint64)
+    apart = np.zeros(np.broadcast(x, y).shape, np.int64)
+    for k in range(16):
+        shift = np.uint64(4 * k)
+        apart += np.abs(((x >> shift) & np.uint64(15)).astype(np.int64) - ((y >> shift) & np.uint64(15)).astype(np.int64))
+    bound = (t.denominator - t.numerator) * (na + nb) // (t.denominator + t.numerator)
+    return fits & ((apart <= bound) | (pa_ == -1) | (pb == -1))
+
+
 class Forest:
     """Union-find over the sets of one task."""
 
@@ -205,35 +238,51 @@ def near_duplicates(docs: DataFrame, words: int, threshold: Fraction, text: str
 
     A text without words (or null) has an empty set and is linked with nothing:
     its component is its own id. Equal sets are linked. Rows that share an id
-    stay apart; a null id takes part, and names a component only if alone in it.
+    stay apart; a null id takes part beside rows with one; sets that only rows without id have are linked with nothing.
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
     work = Workspace(spark, "jaccard-join")
     num, den = threshold.numerator, threshold.denominator
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    names = ["key", "other", "n"]
-    schema = "key long, other long, n int"
-
-    def arrow(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
-
-    def met(keys: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Per signature one set of this task (n = -1); the others of the task that meet there become edges (n = -2)."""
-        order = np.lexsort((sets, keys))
-        keys, sets = keys[order], sets[order]
-        same = keys[1:] == keys[:-1]
-        edge = same & (sets[1:] != sets[:-1])
-        if edge.any():
-            pairs = np.unique(np.stack([sets[:-1][edge], sets[1:][edge]], 1), axis=0)
+    # Documents: set key (null without words), id, size >= 0. Edges: set, set, -2. Signatures: signature, set, -10 - size, profile.
+    names = ["key", "other", "n", "profile"]
+    schema = "key long, other long, n int, profile long"
+
+    def arrow(key, other, n, profiles=None) -> pa.RecordBatch:
+        last = pa.nulls(len(n), pa.int64()) if profiles is None else pa.array(profiles, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int32()), last], names)
+
+    def edges_of(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if a.size:
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield arrow(pairs[:, 0], pairs[:, 1], np.full(len(pairs), -2, np.int32))
-        first = np.concatenate([[True], ~same]) if keys.size else same
-        keys, sets = keys[first], sets[first]
+
+    def met(keys: np.ndarray, rows: np.ndarray, owners: np.ndarray, sizes: np.ndarray, profiles: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """This task's signatures. Where more than LOCAL of its sets share one, a chain of edges joins them and one goes on."""
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count = np.diff(np.append(start, keys.size))
+        crowded = np.repeat(count > LOCAL, count)
+        first = np.zeros(keys.size, bool)
+        first[start] = True
+        link = crowded & ~first
+        at = np.flatnonzero(link)
+        yield from edges_of(owners[rows[at - 1]], owners[rows[at]])
+        keys, rows = keys[~link], rows[~link]
         for i in range(0, keys.size, 100_000):
-            yield arrow(keys[i : i + 100_000], sets[i : i + 100_000], np.full(keys[i : i + 100_000].size, -1, np.int32))
+            r = rows[i : i + 100_000]
+            yield arrow(keys[i : i + 100_000], owners[r], -10 - sizes[r], profiles[r])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen, held, owners, size = Classes(Fraction(num, den)), set(), [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            o = np.array(owners, np.int64).reshape(-1, 3)
+            rows = np.repeat(np.arange(len(held)), [x.size for x in held])
+            yield from met(np.concatenate(held), rows, o[:, 0], o[:, 1].astype(np.int32), o[:, 2])
+
         for batch in batches:
             ids, keys, ns = batch.column(0), [], []
             for body in texts(batch):
@@ -243,40 +292,76 @@ def near_duplicates(docs: DataFrame, words: int, threshold: Fraction, text: str
                 if s.size and key not in seen:
                     seen.add(key)
                     held.append(classes.signatures(s).view(np.int64))
-                    owners.append(np.full(held[-1].size, key, np.int64))
+                    owners.append((key, s.size, profile(s)))
                     size += held[-1].size
             yield arrow(keys, ids, ns)
             if size > HOLD:
-                yield from met(np.concatenate(held), np.concatenate(owners))
+                yield from out()
                 held, owners, size = [], [], 0
         if size:
-            yield from met(np.concatenate(held), np.concatenate(owners))
+            yield from out()
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows: documents and edges as they are; sets that share a signature as a chain of edges."""
-        last_key, last_set = None, None
+        """Of rows sorted by key: documents and edges as they are; edges that join what may link in each cell."""
+        t = Fraction(num, den)
+
+        def cells(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            keys, sets, ns, profiles = rows
+            sizes = (-10 - ns).astype(np.int64)
+            same = np.flatnonzero(keys[1:] == keys[:-1])
+            if not same.size:
+                return
+            ok = may_link(profiles[same], sizes[same], profiles[same + 1], sizes[same + 1], t)
+            a, b = [sets[same[ok]]], [sets[same[ok] + 1]]
+            # Cells where neighbours may not link: all pairs, until one component is left.
+            for key in np.unique(keys[same[~ok]]):
+                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                if hi - lo == 2:
+                    continue
+                if hi - lo > CELL:
+                    a.append(sets[lo : hi - 1]), b.append(sets[lo + 1 : hi])
+                    continue
+                forest = Forest(hi - lo)
+                for i in np.flatnonzero(may_link(profiles[lo : hi - 1], sizes[lo : hi - 1], profiles[lo + 1 : hi], sizes[lo + 1 : hi], t)):
+                    forest.join(int(i), int(i) + 1)
+                left = len({forest.find(i) for i in range(hi - lo)})
+                for i in range(hi - lo - 2):
+                    if left == 1:
+                        break
+                    fits = may_link(profiles[lo + i], sizes[lo + i], profiles[lo + i + 2 : hi], sizes[lo + i + 2 : hi], t)
+                    for j in np.flatnonzero(fits) + i + 2:
+                        if forest.find(i) != forest.find(int(j)):
+                            forest.join(i, int(j))
+                            left -= 1
+                            a.append(sets[lo + i : lo + i + 1]), b.append(sets[lo + j : lo + j + 1])
+            yield from edges_of(np.concatenate(a), np.concatenate(b))
+
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             n = batch.column(2).to_numpy()
-            if (n != -1).any():
-                yield batch.filter(pa.array(n != -1))
-            mine = n == -1
+            mine = n <= -10
+            if not mine.all():
+                yield batch.filter(pa.array(~mine))
             if not mine.any():
                 continue
-            keys, sets = batch.column(0).to_numpy(zero_copy_only=False)[mine].astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)[mine].astype(np.int64)
-            if last_key is not None:
-                keys, sets = np.concatenate([[last_key], keys]), np.concatenate([[last_set], sets])
-            edge = (keys[1:] == keys[:-1]) & (sets[1:] != sets[:-1])
-            last_key, last_set = keys[-1], sets[-1]
-            if edge.any():
-                pairs = np.unique(np.stack([sets[:-1][edge], sets[1:][edge]], 1), axis=0)
-                yield arrow(pairs[:, 0], pairs[:, 1], np.full(len(pairs), -2, np.int32))
+            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.filter(pa.array(mine)).columns)
+            # All but the last cell, which may go on in the next batch.
+            keys = rows[0]
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if cut:
+                held.append(tuple(c[:cut] for c in rows))
+                yield from cells(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+            held.append(tuple(c[cut:] for c in rows))
+        if held:
+            yield from cells(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
     signed = given.mapInArrow(sign, schema)
     # Documents without a set, and copies, spread by id; all that share a signature meet.
-    spread = F.when(F.col("n") == -1, F.col("key")).otherwise(F.xxhash64("key", "other"))
+    spread = F.when(F.col("n") <= -10, F.col("key")).otherwise(F.xxhash64("key", "other"))
     wide = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    met_rows = signed.repartition(spread).sortWithinPartitions("key", "other").mapInArrow(chain, schema)
+    met_rows = signed.repartition(spread).sortWithinPartitions("key", F.desc("n"), "other").mapInArrow(chain, schema)
     graph = work.save(met_rows, "graph")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
     documents = graph.filter("n >= 0").select(F.col("other").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key")
