@@ -9,9 +9,9 @@ figures). The join therefore goes down two levels.
 1. Pivots of the first level are parts of the n-gram universe. By size, sets
    fall into classes; a class cuts the universe into more parts than two
    linked sets of it can differ in n-grams, so linked sets agree in one part
-   altogether: they are at distance 0 there and meet. (A set whose empty parts
-   could be all that agrees also meets others by its first n-grams, as in
-   prefix filtering.) Sets that meet, directly or through others, form a
+   altogether: they are at distance 0 there and meet. Parts of one or two
+   n-grams don't count; a set whose parts that agree could all be such also
+   meets others by its first n-grams, as in prefix filtering. Sets that meet, directly or through others, form a
    region. No link leaves a region.
 2. In a region, pivots are documents. All are measured against them, links to
    pivots join components, documents go to the Voronoi region of their nearest
@@ -41,7 +41,9 @@ from lumenarc.llm.line_dedup import bitmap, maybe_in
 from lumenarc.runtime import Workspace
 
 #: Ratio of the sizes at the ends of a size class.
-CLASS_RATIO = 1.6
+CLASS_RATIO = 1.3
+#: N-grams up to which a part is thin: so little in common says nothing.
+THIN = 2
 #: Sets of a region that one task compares; beyond, blocks of half as many.
 REGION = 2048
 #: Sets that are compared at all pairs.
@@ -100,7 +102,7 @@ class Classes:
         """The most n-grams in which linked sets of the class differ, and into how many parts it cuts."""
         t = self.threshold
         differ = int((1 - t) / (1 + t) * 2 * (self.bound(c + 1) - 1))
-        return differ, differ + 1 + max(1, -(-differ * 2 // 25))
+        return differ, differ + 1 + -(-differ // 4)
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         found = [np.zeros(0, np.uint64)]
@@ -109,14 +111,14 @@ class Classes:
             if not differ:
                 continue  # only equal sets are linked, and those have one key
             at = ((s >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-            sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > 0
+            sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > THIN
             np.add.at(sums, at, mix(s + np.uint64(0x9E37)))
             part = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
             found.append(mix(sums + mix(part + np.uint64(1)))[some])
-            empty = m - int(some.sum())
+            thin = m - int(some.sum())
             own = min(differ, int((1 - self.threshold) / self.threshold * s.size))
-            if empty >= m - own:
-                # All parts that agree could be empty ones: meet by the first n-grams in hash order instead.
+            if thin >= m - own:
+                # All parts that agree could be thin ones: meet by the first n-grams in hash order too.
                 first = s[: s.size - -(-self.threshold.numerator * s.size // self.threshold.denominator) + 1]
                 found.append(mix(first ^ mix(np.array([(c << 40) + (1 << 39)], np.uint64))))
         return np.concatenate(found)
