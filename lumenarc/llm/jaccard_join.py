@@ -45,7 +45,7 @@ CLASS_RATIO = 1.3
 #: N-grams up to which a part is thin: so little in common says nothing.
 THIN = 2
 #: Sets of a region that one task compares; beyond, blocks of half as many.
-REGION = 2048
+REGION = 8192
 #: Sets that are compared at all pairs.
 LEAF = 64
 #: Sets below this size carry a profile.
