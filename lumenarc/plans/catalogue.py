@@ -1,4 +1,199 @@
 """All registered queries of the archive operators, with the SQL they are held against."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenarc.functions import dates, names
+from lumenarc.operators import content, matching, moves
+from lumenarc.sources.archive import FILES_SQL, SIDECARS_SQL, files, sidecars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+LATEST_YEAR = 2026
+FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+
+def on_files(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(files(spark, sf_dir))
+    ORACLES[name] = f"WITH {FILES_SQL}{sql}"
+
+
+def on(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    QUERIES[name] = build
+    ORACLES[name] = sql
+
+
+def quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# Equal content
+
+on_files("dup_groups_by_content", lambda f: content.content_groups(f), "SELECT size, sha256(text) AS sha256, count(*) AS members, size * (count(*) - 1) AS wasted FROM file GROUP BY size, sha256(text) HAVING count(*) > 1")
+on_files("dup_groups_by_content_ext", lambda f: content.content_groups(f, by_ext=True), "SELECT size, sha256(text) AS sha256, ext, count(*) AS members, size * (count(*) - 1) AS wasted FROM file GROUP BY size, sha256(text), ext HAVING count(*) > 1")
+on_files("dup_groups_md5_head", lambda f: content.head_groups(f, 1024), "SELECT size, md5(substr(text, 1, 1024)) AS head_md5, count(*) AS members FROM file GROUP BY ALL HAVING count(*) > 1")
+on_files("duplicate_stats", content.duplicate_stats, ", g AS (SELECT size, count(*) AS n FROM file GROUP BY size, sha256(text)) SELECT CAST(sum(n) AS BIGINT) AS total_files, count(*) AS unique_files, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, CAST(sum(size * (n - 1)) AS BIGINT) AS wasted_bytes FROM g")
+
+YEAR_SQL = "regexp_matches(folder, '^(Photos from|Fotos von|Fotos del) (18|19|20)[0-9]{2}$')"
+ROLES_SQL = """, ranked AS (SELECT file_id, size, ext, folder, name, path, sha256(text) AS sha256,
+    row_number() OVER (PARTITION BY size, ext, sha256(text) ORDER BY CASE WHEN regexp_matches(folder, '^(Photos from|Fotos von|Fotos del) [0-9]{4}$') THEN 0 ELSE 1 END, length(name), length(path), lower(path), file_id) AS entity_rank,
+    row_number() OVER (PARTITION BY size, ext, sha256(text), folder ORDER BY length(name), length(path), lower(path), file_id) AS folder_rank FROM file),
+roles AS (SELECT *, CASE WHEN entity_rank = 1 THEN 'primary' WHEN folder_rank = 1 THEN 'secondary' ELSE 'duplicate' END AS role FROM ranked)
+"""
+
+
+def dup_keeper(f: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    hashed = f.withColumn("sha256", F.sha2("text", 256)).select("file_id", "size", "sha256", "folder", "name", "path")
+    first = F.row_number().over(Window.partitionBy("size", "sha256").orderBy(*content.keeper_order()))
+    return hashed.withColumn("n", first).filter("n = 1").select("sha256", F.col("file_id").alias("keeper"), "path")
+
+
+on_files("dup_keeper", dup_keeper, f", k AS (SELECT sha256(text) AS sha256, file_id AS keeper, path, row_number() OVER (PARTITION BY size, sha256(text) ORDER BY length(name), CASE WHEN {YEAR_SQL} THEN 0 ELSE 1 END, length(path), path, file_id) AS n FROM file) SELECT sha256, keeper, path FROM k WHERE n = 1")
+on_files("entity_file_roles", lambda f: content.roles(f).select("file_id", "sha256", "entity_rank", "folder_rank", "role"), ROLES_SQL + "SELECT file_id, sha256, entity_rank, folder_rank, role FROM roles")
+CANONICAL_SQL = "(regexp_matches(folder, '^(19|20)[0-9]{2}$') OR regexp_matches(lower(folder), 'photos from [0-9]{4}'))"
+on_files("entity_role_crosstab", lambda f: content.roles(f).groupBy("role", names.is_canonical(F.col("folder")).alias("canonical")).agg(F.count("*").alias("n")), ROLES_SQL + f"SELECT role, {CANONICAL_SQL} AS canonical, count(*) AS n FROM roles GROUP BY ALL")
+on_files("output_counts_by_policy", lambda f: content.roles(f).filter("role <> 'duplicate'").agg(F.count("*").alias("link_or_copy"), F.count_if(F.col("role") == "primary").alias("json_or_nothing")), ROLES_SQL + "SELECT count(*) AS link_or_copy, count(*) FILTER (role = 'primary') AS json_or_nothing FROM roles WHERE role <> 'duplicate'")
+
+# Predicates and names
+
+SPECIAL_SQL = f"list_filter(string_split(lower(path), '/'), lambda x: x IN ({quoted(names.SPECIAL_FOLDERS)}))[1]"
+on_files("folder_class", lambda f: f.groupBy("folder").agg(F.count("*").alias("files"), F.bool_or(F.col("ext").isin(names.MEDIA_EXTENSIONS)).alias("has_media")).withColumn("kind", F.when(names.is_year_folder(F.col("folder")), "year").when(F.col("has_media"), "album").otherwise("other")), f"SELECT folder, count(*) AS files, bool_or(ext IN ({quoted(names.MEDIA_EXTENSIONS)})) AS has_media, CASE WHEN {YEAR_SQL} THEN 'year' WHEN bool_or(ext IN ({quoted(names.MEDIA_EXTENSIONS)})) THEN 'album' ELSE 'other' END AS kind FROM file GROUP BY folder")
+on_files("canonical_flag", lambda f: f.select("file_id", names.is_canonical(F.col("folder")).alias("canonical"), names.in_year_folder(F.col("path")).alias("in_year_folder")), f"SELECT file_id, {CANONICAL_SQL} AS canonical, regexp_matches(folder, '^(Photos from|Fotos von|Fotos del) [0-9]{{4}}$') AS in_year_folder FROM file")
+on_files("special_folder", lambda f: f.select("file_id", names.special_folder(F.col("path")).alias("special")).filter("special is not null"), f"SELECT file_id, upper(substr({SPECIAL_SQL}, 1, 1)) || substr({SPECIAL_SQL}, 2) AS special FROM file WHERE {SPECIAL_SQL} IS NOT NULL")
+on_files("photo_video_filter", lambda f: f.filter(F.col("ext").isin(names.MEDIA_EXTENSIONS)).select("file_id", "ext", F.col("ext").isin(names.VIDEO_EXTENSIONS).alias("is_video")), f"SELECT file_id, ext, ext IN ({quoted(names.VIDEO_EXTENSIONS)}) AS is_video FROM file WHERE ext IN ({quoted(names.MEDIA_EXTENSIONS)})")
+on_files("skip_extras", lambda f: f.filter(~names.is_edited(F.col("name"))).select("file_id", "name"), "SELECT file_id, name FROM file WHERE NOT (" + " OR ".join(f"ends_with(regexp_replace(lower(name), '\\.[^.]*$', ''), '{s}')" for s in names.EDITED_SUFFIXES) + ")")
+on_files("size_limit", lambda f: f.filter(F.col("size") <= 4096).select("file_id", "size"), "SELECT file_id, size FROM file WHERE size <= 4096")
+on_files("pixel_rename", lambda f: f.select("file_id", names.pixel_name(F.regexp_replace("name", r"\.mp4$", ".MP")).alias("renamed")), "SELECT file_id, regexp_replace(regexp_replace(name, '\\.mp4$', '.MP'), '\\.[mM][pPvV]$', '.mp4') AS renamed FROM file")
+on_files("name_forms", lambda f: f.select("file_id", names.short_name(F.concat(F.repeat("name", 3))).alias("short"), names.bracket_swap(F.regexp_replace("name", r"(\.[^.]*)$", "(7)$1")).alias("swapped"), names.stem(F.col("name")).alias("stem"), names.extension(F.col("name")).alias("extension"), names.base_name(F.col("path")).alias("base"), names.directory(F.col("path")).alias("directory")), "SELECT file_id, CASE WHEN length(repeat(name, 3)) + 5 > 51 THEN left(repeat(name, 3), 46) ELSE repeat(name, 3) END AS short, name || '(7)' AS swapped, regexp_replace(name, '\\.[^.]*$', '') AS stem, ext AS extension, name AS base, 'Takeout/' || folder AS directory FROM file")
+on("path_sanitize", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", names.safe_name(F.col("url")).alias("safe"), names.clean_segments(F.col("url")).alias("clean")), "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '\\s+', ' ', 'g')) AS safe, array_to_string(list_transform(string_split(url, '/'), lambda x: CASE WHEN regexp_replace(x, '[. ]+$', '') = '' THEN '_' ELSE regexp_replace(x, '[. ]+$', '') END), '/') AS clean FROM pages")
+on_files("unique_names", moves.unique_names, ", n AS (SELECT file_id, folder, name, ext, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY file_id) - 1 AS n FROM file) SELECT file_id, folder, CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '(' || n || ').' || ext END AS unique_name FROM n")
+on_files("required_space", lambda f: f.agg(F.round(F.sum("size") * F.lit(1.1)).cast("long").alias("bytes")), "SELECT CAST(round(sum(size) * 1.1) AS BIGINT) AS bytes FROM file")
+on("iso_durations", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", dates.iso_duration((F.col("event_id") * 37)).alias("duration")), "SELECT event_id, 'PT' || CAST(event_id * 37 // 3600 AS VARCHAR) || 'H' || CAST(event_id * 37 % 3600 // 60 AS VARCHAR) || 'M' || CAST(event_id * 37 % 60 AS VARCHAR) || 'S' AS duration FROM events")
+
+# Sidecars and dates
+
+NAME_DATE_SQL = "CASE WHEN regexp_matches(name, '(20|19|18)[0-9]{2}(01|02|03|04|05|06|07|08|09|10|11|12)[0-3][0-9][-_][0-9]{6}') THEN try_strptime(regexp_replace(regexp_extract(name, '(20|19|18)[0-9]{2}(01|02|03|04|05|06|07|08|09|10|11|12)[0-3][0-9][-_][0-9]{6}', 0), '[-_]', '', 'g'), '%Y%m%d%H%M%S') END"
+FOLDER_DATE_SQL = f"CASE WHEN try_cast(regexp_extract(folder, '(?:^|[^0-9])((?:18|19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) AS INT) BETWEEN 1900 AND {LATEST_YEAR + 1} THEN make_timestamp(CAST(regexp_extract(folder, '(?:^|[^0-9])((?:18|19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) AS BIGINT), 1, 1, 0, 0, 0.0) END"
+text_of = lambda c: F.date_format(c, FORMAT)
+SQL_FORMAT = "'%Y-%m-%d %H:%M:%S'"
+on_files("date_from_filename", lambda f: f.select("file_id", text_of(dates.from_name(F.col("name"))).alias("guess")), f"SELECT file_id, strftime({NAME_DATE_SQL}, {SQL_FORMAT}) AS guess FROM file")
+on_files("date_from_folder", lambda f: f.select("file_id", text_of(dates.from_folder(F.col("folder"), LATEST_YEAR)).alias("year_date")), f"SELECT file_id, strftime({FOLDER_DATE_SQL}, {SQL_FORMAT}) AS year_date FROM file")
+ORDER_TEXT = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
+
+
+def exif_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags as cameras write them: colons in the date, every seventh a placeholder."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    raw = F.when(F.col("o_orderkey") % 7 == 0, "0000:00:00 00:00:00").when(F.col("o_orderkey") % 7 == 1, "1970:01:01 00:00:00").otherwise(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))
+    return o.select("o_orderkey", text_of(dates.from_exif(raw)).alias("taken"))
+
+
+on("date_from_exif_text", exif_dates, f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 2 THEN NULL ELSE {ORDER_TEXT} END AS taken FROM orders")
+
+
+def earliest_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order the earliest and the first (by line) of its shipping dates."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return li.groupBy("l_orderkey").agg(text_of(F.min("l_shipdate")).alias("earliest"), text_of(F.min_by("l_shipdate", F.struct("l_linenumber", "l_shipdate"))).alias("first_tag"))
+
+
+on("date_earliest_tag", earliest_tag, f"SELECT l_orderkey, strftime(min(l_shipdate), {SQL_FORMAT}) AS earliest, strftime((array_agg(l_shipdate ORDER BY l_linenumber, l_shipdate))[1], {SQL_FORMAT}) AS first_tag FROM lineitem GROUP BY 1")
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.sidecar_match(files(spark, sf_dir), sidecars(spark, sf_dir))
+
+
+FORMS = [("full", "name || '.supplemental-metadata.json'"), *(("truncated", f"name || '{'.supplemental-metadata'[:n]}.json'") for n in range(21, 1, -1)), ("plain", "name || '.json'"), ("shortened", "CASE WHEN length(name) + 5 > 51 THEN left(name, 46) ELSE name END || '.json'"), ("swapped", "regexp_replace(name, '^(.*)(\\([0-9]+\\))(\\.[^.]*)$', '\\1\\3\\2') || '.json'"), ("no_extension", "regexp_replace(name, '\\.[^.]*$', '') || '.json'")]
+MATCH_SQL = f"WITH {FILES_SQL}, {SIDECARS_SQL}, c AS (" + " UNION ALL ".join(f"SELECT file_id, folder AS dir, {i} AS priority, '{s}' AS strategy, {e} AS json_name FROM file" for i, (s, e) in enumerate(FORMS)) + "), m AS (SELECT file_id, json_name, strategy, body, row_number() OVER (PARTITION BY file_id ORDER BY priority, body) AS n FROM c JOIN sidecar USING (dir, json_name)), matched AS (SELECT file_id, json_name, strategy, body FROM m WHERE n = 1) "
+on("sidecar_basic_match", lambda s, d: matched(s, d).drop("body"), MATCH_SQL + "SELECT file_id, json_name, strategy FROM matched")
+on("sidecar_strategy_histogram", lambda s, d: matched(s, d).groupBy("strategy").agg(F.count("*").alias("n")), MATCH_SQL + "SELECT strategy, count(*) AS n FROM matched GROUP BY 1")
+TAKEN_SQL = "make_timestamp(CAST(json_extract_string(body, '$.photoTakenTime.timestamp') AS BIGINT) * 1000000)"
+on("date_from_sidecar", lambda s, d: matching.sidecar_fields(matched(s, d)).withColumn("taken", text_of("taken")), MATCH_SQL + f"SELECT file_id, strftime({TAKEN_SQL}, {SQL_FORMAT}) AS taken, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) AS latitude, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) AS longitude, json_extract_string(body, '$.title') AS title, json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL AS partner_shared FROM matched")
+
+
+def dms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates as degrees, minutes and seconds with their directions."""
+    f = matching.sidecar_fields(matched(spark, sf_dir)).filter("latitude <> 0 or longitude <> 0")
+    part = lambda c, n: [F.floor(F.abs(c)).cast("int").alias(f"{n}_deg"), F.floor(F.abs(c) * 60 % 60).cast("int").alias(f"{n}_min")]
+    return f.select("file_id", *part(F.col("latitude"), "lat"), F.when(F.col("latitude") < 0, "S").otherwise("N").alias("lat_ref"), *part(F.col("longitude"), "lon"), F.when(F.col("longitude") < 0, "W").otherwise("E").alias("lon_ref"))
+
+
+on("geo_dms", dms, MATCH_SQL + ", g AS (SELECT file_id, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) AS la, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) AS lo FROM matched) SELECT file_id, CAST(floor(abs(la)) AS INT) AS lat_deg, CAST(floor(abs(la) * 60 % 60) AS INT) AS lat_min, CASE WHEN la < 0 THEN 'S' ELSE 'N' END AS lat_ref, CAST(floor(abs(lo)) AS INT) AS lon_deg, CAST(floor(abs(lo) * 60 % 60) AS INT) AS lon_min, CASE WHEN lo < 0 THEN 'W' ELSE 'E' END AS lon_ref FROM g")
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.date_waterfall(files(spark, sf_dir), matching.sidecar_fields(matched(spark, sf_dir)), LATEST_YEAR)
+
+
+DATED_SQL = MATCH_SQL + f", w AS (SELECT f.file_id, {TAKEN_SQL} AS jd, {NAME_DATE_SQL} AS gd, {FOLDER_DATE_SQL} AS fd FROM (SELECT file_id, folder, name FROM file) f LEFT JOIN (SELECT file_id, body FROM matched) m USING (file_id)), dated AS (SELECT file_id, coalesce(jd, gd, fd) AS taken, CASE WHEN jd IS NOT NULL THEN 'json' WHEN gd IS NOT NULL THEN 'guess' WHEN fd IS NOT NULL THEN 'folderYear' ELSE 'none' END AS method, CASE WHEN jd IS NOT NULL THEN 1 WHEN gd IS NOT NULL THEN 3 WHEN fd IS NOT NULL THEN 5 ELSE 99 END AS accuracy FROM w) "
+on("date_waterfall", lambda s, d: dated(s, d).withColumn("taken", text_of("taken")), DATED_SQL + f"SELECT file_id, strftime(taken, {SQL_FORMAT}) AS taken, method, accuracy FROM dated")
+on("date_method_histogram", lambda s, d: dated(s, d).groupBy("method", "accuracy").agg(F.count("*").alias("n")), DATED_SQL + "SELECT method, accuracy, count(*) AS n FROM dated GROUP BY ALL")
+on("target_directory", lambda s, d: dated(s, d).select("file_id", dates.date_folder(F.col("taken"), 1).alias("by_year"), dates.date_folder(F.col("taken"), 2).alias("by_month"), dates.date_folder(F.col("taken"), 3).alias("by_day")), DATED_SQL + "SELECT file_id, coalesce(strftime(taken, '%Y'), 'date-unknown') AS by_year, coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS by_month, coalesce(strftime(taken, '%Y/%m/%d'), 'date-unknown') AS by_day FROM dated")
+
+# Albums
+
+on_files("album_counts", lambda f: f.filter(~names.is_canonical(F.col("folder"))).groupBy(F.trim("folder").alias("album")).agg(F.count("*").alias("files"), F.countDistinct(F.sha2("text", 256)).alias("contents")), f"SELECT trim(folder) AS album, count(*) AS files, count(DISTINCT sha256(text)) AS contents FROM file WHERE NOT {CANONICAL_SQL} GROUP BY 1")
+on("album_stats", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("text").agg(F.countDistinct("conv_id").alias("albums")).agg(F.count("*").alias("files"), F.count_if(F.col("albums") > 1).alias("in_several"), F.max("albums").alias("most")), "SELECT count(*) AS files, count(*) FILTER (albums > 1) AS in_several, max(albums) AS most FROM (SELECT count(DISTINCT conv_id) AS albums FROM conversations GROUP BY text)")
+
+# Plans
+
+OPS_SQL = {
+    "shortcut": "CASE WHEN is_first THEN ['move|' || main] ELSE [] END || CASE WHEN NOT canonical THEN ['symlink|' || album] ELSE [] END || CASE WHEN NOT is_first AND NOT canonical THEN ['delete|'] WHEN canonical AND NOT is_first THEN ['leave|'] ELSE [] END",
+    "reverse-shortcut": "CASE WHEN NOT canonical THEN ['move|' || album] WHEN best_album IS NOT NULL THEN ['reverse_symlink|' || main] WHEN entity_rank = 1 THEN ['move|' || main] ELSE ['leave|'] END",
+    "duplicate-copy": "CASE WHEN canonical THEN ['move|' || main] ELSE ['move|' || album] END || CASE WHEN NOT any_canonical AND entity_rank = 1 THEN ['copy|' || main] ELSE [] END",
+    "json": "CASE WHEN entity_rank = 1 THEN ['move|' || main] ELSE ['delete|'] END || CASE WHEN NOT canonical THEN ['json_reference|' || album] ELSE [] END",
+    "nothing": "CASE WHEN entity_rank = 1 THEN ['move|' || main] ELSE ['delete|'] END",
+    "ignore": "CASE WHEN canonical THEN ['move|' || main] ELSE ['delete|'] END",
+}
+
+
+def plan_sql(policy: str) -> str:
+    return DATED_SQL + ROLES_SQL + f""", k AS (SELECT *, {CANONICAL_SQL} AS canonical, {SPECIAL_SQL} AS sp FROM roles WHERE role <> 'duplicate'),
+    e AS (SELECT k.*, bool_or(canonical) OVER w AS any_canonical, min(entity_rank) FILTER (canonical) OVER w AS best_canonical, min(entity_rank) FILTER (NOT canonical) OVER w AS best_album FROM k WINDOW w AS (PARTITION BY size, ext, sha256)),
+    t AS (SELECT e.*, entity_rank = coalesce(best_canonical, 1) AS is_first, 'ALL_PHOTOS/' || coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS main, 'Albums/' || folder AS album FROM e LEFT JOIN dated USING (file_id)),
+    o AS (SELECT sha256, file_id, unnest(CASE WHEN sp IS NOT NULL THEN ['move|Special Folders/' || upper(substr(sp, 1, 1)) || substr(sp, 2)] ELSE {OPS_SQL[policy]} END) AS o FROM t),
+    ops AS (SELECT sha256, file_id, string_split(o, '|')[1] AS op, string_split(o, '|')[2] AS target FROM o) """
+
+
+def plan_of(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    return moves.plan(content.roles(files(spark, sf_dir)), dated(spark, sf_dir), policy)
+
+
+for policy in moves.POLICIES:
+    on(f"plan_{policy.replace('-', '_')}", lambda s, d, p=policy: plan_of(s, d, p), plan_sql(policy) + "SELECT sha256, file_id, op, target FROM ops")
+
+on("plan_summary", lambda s, d: plan_of(s, d, "shortcut").groupBy("op", F.col("target").startswith("Albums/").alias("is_album")).agg(F.count("*").alias("n")), plan_sql("shortcut") + "SELECT op, starts_with(target, 'Albums/') AS is_album, count(*) AS n FROM ops GROUP BY ALL")
+on("plan_unaccounted", lambda s, d: content.roles(files(s, d)).filter("role = 'primary'").select("file_id").join(plan_of(s, d, "shortcut"), "file_id", "left_anti"), plan_sql("shortcut") + "SELECT file_id FROM roles WHERE role = 'primary' AND file_id NOT IN (SELECT file_id FROM ops)")
+on("albums_info_entries", lambda s, d: plan_of(s, d, "json").filter("op = 'json_reference'").groupBy("target").agg(F.count("*").alias("entries"), F.min("file_id").alias("first_file")), plan_sql("json") + "SELECT target, count(*) AS entries, min(file_id) AS first_file FROM ops WHERE op = 'json_reference' GROUP BY 1")
+
+
+def exif_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags each dated media file would get; JPEG natively, PNG as XMP, others as EXIF."""
+    f = files(spark, sf_dir).filter(F.col("ext").isin(names.MEDIA_EXTENSIONS)).select("file_id", "ext")
+    rows = f.join(dated(spark, sf_dir).filter("taken is not null").select("file_id", "taken"), "file_id")
+    writer = F.when(F.col("ext") == "jpg", "native").when(F.col("ext") == "png", "xmp").otherwise("exif")
+    return rows.select("file_id", writer.alias("writer"), F.concat(F.lit("DateTimeOriginal="), F.date_format("taken", "yyyy:MM:dd HH:mm:ss")).alias("tags"))
+
+
+EXIF_SQL = DATED_SQL + f", x AS (SELECT file_id, CASE ext WHEN 'jpg' THEN 'native' WHEN 'png' THEN 'xmp' ELSE 'exif' END AS writer, 'DateTimeOriginal=' || strftime(taken, '%Y:%m:%d %H:%M:%S') AS tags FROM (SELECT file_id, ext FROM file WHERE ext IN ({quoted(names.MEDIA_EXTENSIONS)})) JOIN dated USING (file_id) WHERE taken IS NOT NULL) "
+on("exif_plan", exif_plan, EXIF_SQL + "SELECT * FROM x")
+
+
+def tagset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with equal tags share a batch of at most 24."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("writer", "tags").orderBy("file_id"))
+    return exif_plan(spark, sf_dir).withColumn("batch", F.floor((n - 1) / 24)).groupBy("writer", "tags", "batch").agg(F.count("*").alias("files"))
+
+
+on("exif_tagset_batches", tagset_batches, EXIF_SQL + ", b AS (SELECT writer, tags, (row_number() OVER (PARTITION BY writer, tags ORDER BY file_id) - 1) // 24 AS batch FROM x) SELECT writer, tags, batch, count(*) AS files FROM b GROUP BY ALL")
+on("time_plan", lambda s, d: content.roles(files(s, d)).filter("role <> 'duplicate'").select("file_id").join(dated(s, d).filter("taken is not null"), "file_id").select("file_id", F.unix_seconds("taken").alias("mtime"), (F.unix_millis("taken") * 10000 + 116444736000000000).alias("filetime")), DATED_SQL + ROLES_SQL + "SELECT file_id, CAST(epoch(taken) AS BIGINT) AS mtime, CAST(epoch(taken) AS BIGINT) * 10000000 + 116444736000000000 AS filetime FROM dated JOIN (SELECT file_id FROM roles WHERE role <> 'duplicate') USING (file_id) WHERE taken IS NOT NULL")
