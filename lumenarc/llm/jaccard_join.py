@@ -26,6 +26,7 @@ Regions above ``REGION`` sets are compared in blocks over many tasks.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -42,7 +43,7 @@ from lumenarc.runtime import Workspace
 
 #: Ratio of the sizes at the ends of a size class.
 CLASS_RATIO = 1.3
-#: N-grams up to which a part is thin: so little in common says nothing.
+#: N-grams up to which a part can count as thin: so little in common says nothing.
 THIN = 2
 #: Sets of a region that one task compares; beyond, blocks of half as many.
 REGION = 8192
@@ -104,6 +105,18 @@ class Classes:
         differ = int((1 - t) / (1 + t) * 2 * (self.bound(c + 1) - 1))
         return differ, differ + 1 + -(-differ // 4)
 
+    def thin(self, c: int) -> int:
+        """Up to how many n-grams a part of the class is thin: as many as leave enough other parts to the largest sets."""
+        differ, m = self.parts(c)
+        mean = (self.bound(c + 1) - 1) / m
+        share, term, found = 0.0, math.exp(-mean), 0
+        for k in range(THIN + 1):
+            share += term
+            term *= mean / (k + 1)
+            if share <= 0.8 * (m - differ) / m:
+                found = k
+        return found
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         found = [np.zeros(0, np.uint64)]
         for c in self.of(s.size):
@@ -111,7 +124,7 @@ class Classes:
             if not differ:
                 continue  # only equal sets are linked, and those have one key
             at = ((s >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-            sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > THIN
+            sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > self.thin(c)
             np.add.at(sums, at, mix(s + np.uint64(0x9E37)))
             part = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
             found.append(mix(sums + mix(part + np.uint64(1)))[some])
