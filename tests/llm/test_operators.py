@@ -167,7 +167,7 @@ def test_mixing_keeps_to_budget(spark, none):
 
 
 def test_classifiers_odd_rows(odd, none):
-    model = language_id.train([(r[1], r[2]) for r in ROWS if r[1] and r[2]])
+    model = language_id.train([(r[1], r[2]) for r in ROWS if r[1] and r[2]] * 40)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(odd, model).collect()}
     assert got[2] == got[3] == got[4] == got[5] == ("und", 0.0) and got[8][0] == "de"
     assert language_id.identify(none, None).count() == 0
