@@ -2,30 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names
 
 
-def sidecar_match(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+#: (name, transformation of the file's name), from the most careful to the boldest; the last four only if tried hard.
+STRATEGIES = [
+    ("as it is", lambda n: n),
+    ("shortened", names.short_name),
+    ("bracket swapped", names.bracket_swap),
+    ("no extension", names.stem),
+    ("no edited ending", names.without_edit),
+    ("motion photo", names.motion_photo),
+    ("other extension", names.as_heic),
+    ("no partial ending", names.without_partial_edit),
+    ("extension restored", names.with_restored_extension),
+    ("no edge-case ending", names.without_edge_edit),
+]
+BASIC = 6
+
+
+def labelled(json_names: Column, strategy: str) -> Column:
+    return F.transform(json_names, lambda n: F.struct(n.alias("json_name"), F.lit(strategy).alias("strategy")))
+
+
+def sidecar_names(name: Column, tryhard: bool = False) -> Column:
+    """(json_name, strategy) of all sidecars a file could have, in the order they are tried, each name once.
+
+    Per strategy: the full suffix; if that exceeds the limit, the suffix cut to
+    each length that fits; the full suffix with the file's number after or
+    before it; the plain one; the plain one with the number.
+    """
+    full, number = names.SIDECAR_SUFFIX, F.regexp_extract(name, r"(\(\d+\))", 1)
+    groups = []
+    for strategy, change in STRATEGIES if tryhard else STRATEGIES[:BASIC]:
+        plain = change(name)
+        bare = F.regexp_replace(plain, r"\(\d+\)", "")
+        long = F.length(plain) + len(full) + 5 > names.NAME_LIMIT
+        room = F.greatest(F.lit(0), F.least(F.lit(len(full) - 1), F.lit(names.NAME_LIMIT - 6) - F.length(plain)))
+        cut = F.transform(F.when(long & (room > 0), F.sequence(room, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.concat(plain, F.left(F.lit(full), n + 1), F.lit(".json")))
+        numbered = lambda *parts: F.when(number != "", F.concat(*parts))
+        forms = F.concat(
+            F.array(F.concat(plain, F.lit(f"{full}.json"))),
+            cut,
+            F.array(numbered(bare, F.lit(full), number, F.lit(".json")), numbered(bare, number, F.lit(f"{full}.json")), F.concat(plain, F.lit(".json")), numbered(bare, number, F.lit(".json"))),
+        )
+        groups.append(labelled(F.array_compact(forms), strategy))
+    found = F.concat(*groups)
+    known = F.transform(found, lambda x: x["json_name"])
+    return F.filter(found, lambda x, i: F.array_position(known, x["json_name"]) == i + 1)
+
+
+def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False) -> DataFrame:
     """file_id, json_name, strategy, body of the first sidecar name that exists in the file's folder.
 
-    Candidates are built per file with their priority and joined by equality;
-    the least priority wins.
+    The names are exploded per file with their rank and joined by equality, so
+    that the plan is one join on (folder, name) and one aggregate.
     """
-    name = F.col("name")
-    full = ".supplemental-metadata"
-    forms = [("full", F.concat(name, F.lit(f"{full}.json")))]
-    forms += [("truncated", F.concat(name, F.lit(f"{full[:n]}.json"))) for n in range(len(full) - 1, 1, -1)]
-    forms += [("plain", F.concat(name, F.lit(".json"))), ("shortened", F.concat(names.short_name(name), F.lit(".json"))), ("swapped", F.concat(names.bracket_swap(name), F.lit(".json"))), ("no_extension", F.concat(names.stem(name), F.lit(".json")))]
-    candidates = F.array(*(F.struct(F.lit(i).alias("priority"), F.lit(s).alias("strategy"), c.alias("json_name")) for i, (s, c) in enumerate(forms)))
-    wide = files.select("file_id", F.col("folder").alias("dir"), F.explode(candidates).alias("c")).select("file_id", "dir", "c.*")
+    wide = files.select("file_id", F.col("folder").alias("dir"), F.posexplode(sidecar_names(F.col("name"), tryhard)).alias("priority", "c")).select("file_id", "dir", "priority", "c.*")
     met = wide.join(sidecars, ["dir", "json_name"])
     best = met.groupBy("file_id").agg(F.min_by(F.struct("json_name", "strategy", "body"), F.struct("priority", "body")).alias("m"))
     return best.select("file_id", "m.*")
 
 
+def title_status(matched: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, status, new_name: whether the sidecar's title shows that the file's name was cut off.
+
+    Status: no sidecar, no title, not truncated, target exists, or truncated;
+    the last has the name the file should have, with its own extension (both of
+    a double one).
+    """
+    rows = files.select("file_id", "folder", "name").join(matched.select("file_id", "body"), "file_id", "left")
+    title = F.get_json_object("body", "$.title")
+    double = r"\.[a-zA-Z0-9]{2,5}\.[a-zA-Z0-9]{2,5}$"
+    ext = F.when(F.col("name").rlike(double), F.regexp_extract("name", double, 0)).otherwise(F.regexp_extract("name", r"^.+(\.[^.]*)$", 1))
+    now = F.left(F.col("name"), F.length("name") - F.length(ext))
+    full = F.regexp_replace(title, r"\.[a-zA-Z0-9]{2,5}$", "")
+    a, b = F.trim(F.lower(now)), F.trim(F.lower(full))
+    cut = (F.length(a) < F.length(b)) & b.startswith(a)
+    rows = rows.withColumn("new_name", F.when(F.coalesce(cut, F.lit(False)), F.concat(F.regexp_replace(F.regexp_replace(full, r'[<>:"/\\|?*]', "_"), r"[\x00-\x1f]", ""), ext)))
+    taken = files.select("folder", F.col("name").alias("new_name"), F.lit(True).alias("taken")).distinct()
+    rows = rows.join(taken, ["folder", "new_name"], "left")
+    status = F.when(F.col("body").isNull(), "no sidecar").when(F.coalesce(title, F.lit("")) == "", "no title").when(F.col("new_name").isNull(), "not truncated").when(F.col("taken"), "target exists").otherwise("truncated")
+    return rows.select("file_id", status.alias("status"), F.when(status == "truncated", F.col("new_name")).alias("new_name"))
+
+
+def dictionary_dates(files: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """file_id, taken from dictionary(path, oldest): an outside list of dates, its slashes normalised."""
+    known = dictionary.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), dates.from_text(F.col("oldest")).alias("taken")).filter("taken is not null")
+    first = known.groupBy("path").agg(F.min("taken").alias("taken"))
+    return files.select("file_id", "path").join(first, "path").select("file_id", "taken")
+
+
 def sidecar_fields(matched: DataFrame) -> DataFrame:
     """Date taken, coordinates, title and whether a partner shared it."""
     get = lambda p: F.get_json_object("body", p)

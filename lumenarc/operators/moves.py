@@ -10,6 +10,18 @@ from lumenarc.functions import dates, names
 POLICIES = ["shortcut", "reverse-shortcut", "duplicate-copy", "json", "nothing", "ignore"]
 
 
+def main_directory(taken: Column, division: int, partner_shared: Column | None = None) -> Column:
+    """Where photos of a date go; those a partner shared into a tree of their own, if told which."""
+    mine = F.concat_ws("/", F.lit("ALL_PHOTOS"), F.when(F.lit(division) > 0, dates.date_folder(taken, division)))
+    return mine if partner_shared is None else F.when(partner_shared, F.concat(F.lit("PARTNER_SHARED/"), mine)).otherwise(mine)
+
+
+def album_directory(album: Column) -> Column:
+    """Albums are never divided by date; untitled ones have a tree of their own."""
+    top = F.when(names.is_untitled(album), "Untitled Albums/").otherwise("Albums/")
+    return F.concat(top, F.when(F.trim(album) == "", album).otherwise(F.trim(album)))
+
+
 def plan(roles: DataFrame, dated: DataFrame, policy: str, division: int = 2) -> DataFrame:
     """entity (sha256), file_id, op, target for the primary and secondary files of each entity.
 
@@ -19,11 +31,11 @@ def plan(roles: DataFrame, dated: DataFrame, policy: str, division: int = 2) ->
     rows = roles.filter("role <> 'duplicate'").join(dated.select("file_id", "taken"), "file_id", "left")
     canonical, special = names.is_canonical(F.col("folder")), names.special_folder(F.col("path"))
     rows = rows.withColumns({"canonical": canonical, "special": special})
-    main: Column = F.concat_ws("/", F.lit("ALL_PHOTOS"), F.when(F.lit(division) > 0, dates.date_folder(F.col("taken"), division)))
+    main = main_directory(F.col("taken"), division)
     group = ["size", "ext", "sha256"]
     some = rows.groupBy(*group).agg(F.bool_or("canonical").alias("any_canonical"), F.min(F.when(F.col("canonical"), F.col("entity_rank"))).alias("best_canonical"), F.min(F.when(~F.col("canonical"), F.col("entity_rank"))).alias("best_album"))
     rows = rows.join(some, group)
-    album = F.concat(F.lit("Albums/"), F.col("folder"))
+    album = album_directory(F.col("folder"))
     is_canonical, first = F.col("canonical"), F.col("entity_rank") == F.coalesce("best_canonical", F.lit(1))
 
     def op(name: str, target: Column) -> Column:

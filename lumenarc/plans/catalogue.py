@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.functions import dates, names
-from lumenarc.operators import content, matching, moves
+from lumenarc.functions import dates, names, repairs
+from lumenarc.operators import content, entities, matching, moves
 from lumenarc.sources.archive import FILES_SQL, SIDECARS_SQL, files, sidecars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ on_files("dup_groups_by_content_ext", lambda f: content.content_groups(f, by_ext
 on_files("dup_groups_md5_head", lambda f: content.head_groups(f, 1024), "SELECT size, md5(substr(text, 1, 1024)) AS head_md5, count(*) AS members FROM file GROUP BY ALL HAVING count(*) > 1")
 on_files("duplicate_stats", content.duplicate_stats, ", g AS (SELECT size, count(*) AS n FROM file GROUP BY size, sha256(text)) SELECT CAST(sum(n) AS BIGINT) AS total_files, count(*) AS unique_files, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, CAST(sum(size * (n - 1)) AS BIGINT) AS wasted_bytes FROM g")
 
-YEAR_SQL = "regexp_matches(folder, '^(Photos from|Fotos von|Fotos del) (18|19|20)[0-9]{2}$')"
+YEAR_SQL = "regexp_matches(folder, '^(Photos from|Fotos del|Fotos von) [0-9]{4}$')"
 ROLES_SQL = """, ranked AS (SELECT file_id, size, ext, folder, name, path, sha256(text) AS sha256,
     row_number() OVER (PARTITION BY size, ext, sha256(text) ORDER BY CASE WHEN regexp_matches(folder, '^(Photos from|Fotos von|Fotos del) [0-9]{4}$') THEN 0 ELSE 1 END, length(name), length(path), lower(path), file_id) AS entity_rank,
     row_number() OVER (PARTITION BY size, ext, sha256(text), folder ORDER BY length(name), length(path), lower(path), file_id) AS folder_rank FROM file),
@@ -57,7 +57,7 @@ def dup_keeper(f: DataFrame) -> DataFrame:
 
 on_files("dup_keeper", dup_keeper, f", k AS (SELECT sha256(text) AS sha256, file_id AS keeper, path, row_number() OVER (PARTITION BY size, sha256(text) ORDER BY length(name), CASE WHEN {YEAR_SQL} THEN 0 ELSE 1 END, length(path), path, file_id) AS n FROM file) SELECT sha256, keeper, path FROM k WHERE n = 1")
 on_files("entity_file_roles", lambda f: content.roles(f).select("file_id", "sha256", "entity_rank", "folder_rank", "role"), ROLES_SQL + "SELECT file_id, sha256, entity_rank, folder_rank, role FROM roles")
-CANONICAL_SQL = "(regexp_matches(folder, '^(19|20)[0-9]{2}$') OR regexp_matches(lower(folder), 'photos from [0-9]{4}'))"
+CANONICAL_SQL = "(regexp_matches(folder, '^(19|20)[0-9]{2}$') OR regexp_matches(lower(folder), 'photos\\s+from\\s+(19|20)[0-9]{2}'))"
 on_files("entity_role_crosstab", lambda f: content.roles(f).groupBy("role", names.is_canonical(F.col("folder")).alias("canonical")).agg(F.count("*").alias("n")), ROLES_SQL + f"SELECT role, {CANONICAL_SQL} AS canonical, count(*) AS n FROM roles GROUP BY ALL")
 on_files("output_counts_by_policy", lambda f: content.roles(f).filter("role <> 'duplicate'").agg(F.count("*").alias("link_or_copy"), F.count_if(F.col("role") == "primary").alias("json_or_nothing")), ROLES_SQL + "SELECT count(*) AS link_or_copy, count(*) FILTER (role = 'primary') AS json_or_nothing FROM roles WHERE role <> 'duplicate'")
 
@@ -111,9 +111,35 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.sidecar_match(files(spark, sf_dir), sidecars(spark, sf_dir))
 
 
-FORMS = [("full", "name || '.supplemental-metadata.json'"), *(("truncated", f"name || '{'.supplemental-metadata'[:n]}.json'") for n in range(21, 1, -1)), ("plain", "name || '.json'"), ("shortened", "CASE WHEN length(name) + 5 > 51 THEN left(name, 46) ELSE name END || '.json'"), ("swapped", "regexp_replace(name, '^(.*)(\\([0-9]+\\))(\\.[^.]*)$', '\\1\\3\\2') || '.json'"), ("no_extension", "regexp_replace(name, '\\.[^.]*$', '') || '.json'")]
-MATCH_SQL = f"WITH {FILES_SQL}, {SIDECARS_SQL}, c AS (" + " UNION ALL ".join(f"SELECT file_id, folder AS dir, {i} AS priority, '{s}' AS strategy, {e} AS json_name FROM file" for i, (s, e) in enumerate(FORMS)) + "), m AS (SELECT file_id, json_name, strategy, body, row_number() OVER (PARTITION BY file_id ORDER BY priority, body) AS n FROM c JOIN sidecar USING (dir, json_name)), matched AS (SELECT file_id, json_name, strategy, body FROM m WHERE n = 1) "
+STEM_SQL, EXT_SQL = "regexp_replace(name, '\\.[^.]*$', '')", "'.' || ext"
+EDITED_SQL = "'(" + "|".join(names.EDITED_SUFFIXES) + ")$'"
+# The transformations as they work on names without a number in brackets; the tests cover the others.
+CHANGES = [
+    ("as it is", "name"),
+    ("shortened", "left(name, 46)"),
+    ("bracket swapped", "name"),
+    ("no extension", STEM_SQL),
+    ("no edited ending", f"regexp_replace({STEM_SQL}, {EDITED_SQL}, '') || {EXT_SQL}"),
+    ("motion photo", f"CASE ext WHEN 'mp' THEN {STEM_SQL} || '.MP.jpg' ELSE name END"),
+    ("other extension", f"CASE WHEN ext IN ('mp4', 'mov', 'jpg', 'jpeg', 'mp', 'mv') THEN {STEM_SQL} || '.HEIC' ELSE name END"),
+    ("no partial ending", f"regexp_replace({STEM_SQL}, {EDITED_SQL}, '') || {EXT_SQL}"),
+]
+
+
+def match_sql(tryhard: bool = False) -> str:
+    plain = " UNION ALL ".join(f"SELECT file_id, folder, {i} AS rank, '{s}' AS strategy, {e} AS plain FROM file" for i, (s, e) in enumerate(CHANGES if tryhard else CHANGES[:6]))
+    return f"""WITH {FILES_SQL}, {SIDECARS_SQL}, p AS ({plain}),
+    c AS (SELECT file_id, folder AS dir, rank * 100 AS priority, strategy, plain || '.supplemental-metadata.json' AS json_name FROM p
+        UNION ALL SELECT file_id, folder, rank * 100 + 22 - n, strategy, plain || '.' || left('supplemental-metadata', n) || '.json' FROM p, (SELECT unnest(range(1, 22)) AS n)
+            WHERE length(plain) + 27 > 51 AND length(plain) + 1 + n + 5 <= 51
+        UNION ALL SELECT file_id, folder, rank * 100 + 90, strategy, plain || '.json' FROM p),
+    m AS (SELECT file_id, json_name, strategy, body, row_number() OVER (PARTITION BY file_id ORDER BY priority, body) AS n FROM c JOIN sidecar USING (dir, json_name)),
+    matched AS (SELECT file_id, json_name, strategy, body FROM m WHERE n = 1) """
+
+
+MATCH_SQL = match_sql()
 on("sidecar_basic_match", lambda s, d: matched(s, d).drop("body"), MATCH_SQL + "SELECT file_id, json_name, strategy FROM matched")
+on("sidecar_tryhard_match", lambda s, d: matching.sidecar_match(files(s, d), sidecars(s, d), tryhard=True).drop("body"), match_sql(True) + "SELECT file_id, json_name, strategy FROM matched")
 on("sidecar_strategy_histogram", lambda s, d: matched(s, d).groupBy("strategy").agg(F.count("*").alias("n")), MATCH_SQL + "SELECT strategy, count(*) AS n FROM matched GROUP BY 1")
 TAKEN_SQL = "make_timestamp(CAST(json_extract_string(body, '$.photoTakenTime.timestamp') AS BIGINT) * 1000000)"
 on("date_from_sidecar", lambda s, d: matching.sidecar_fields(matched(s, d)).withColumn("taken", text_of("taken")), MATCH_SQL + f"SELECT file_id, strftime({TAKEN_SQL}, {SQL_FORMAT}) AS taken, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) AS latitude, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) AS longitude, json_extract_string(body, '$.title') AS title, json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL AS partner_shared FROM matched")
@@ -197,3 +223,76 @@ def tagset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on("exif_tagset_batches", tagset_batches, EXIF_SQL + ", b AS (SELECT writer, tags, (row_number() OVER (PARTITION BY writer, tags ORDER BY file_id) - 1) // 24 AS batch FROM x) SELECT writer, tags, batch, count(*) AS files FROM b GROUP BY ALL")
 on("time_plan", lambda s, d: content.roles(files(s, d)).filter("role <> 'duplicate'").select("file_id").join(dated(s, d).filter("taken is not null"), "file_id").select("file_id", F.unix_seconds("taken").alias("mtime"), (F.unix_millis("taken") * 10000 + 116444736000000000).alias("filetime")), DATED_SQL + ROLES_SQL + "SELECT file_id, CAST(epoch(taken) AS BIGINT) AS mtime, CAST(epoch(taken) AS BIGINT) * 10000000 + 116444736000000000 AS filetime FROM dated JOIN (SELECT file_id FROM roles WHERE role <> 'duplicate') USING (file_id) WHERE taken IS NOT NULL")
+
+
+# Further functions and statistics
+
+TITLE_SQL = MATCH_SQL + r""", t AS (SELECT f.file_id, f.folder, f.name, f.ext, m.body, json_extract_string(m.body, '$.title') AS title, regexp_replace(f.name, '\.[^.]*$', '') AS stem FROM file f LEFT JOIN matched m USING (file_id)),
+u AS (SELECT *, regexp_replace(title, '\.[a-zA-Z0-9]{2,5}$', '') AS full_name FROM t),
+v AS (SELECT *, CASE WHEN length(stem) < length(full_name) AND starts_with(lower(full_name), lower(stem)) THEN replace(full_name, ':', '_') || '.' || ext END AS new_name FROM u),
+w AS (SELECT *, CASE WHEN body IS NULL THEN 'no sidecar' WHEN title = '' THEN 'no title' WHEN new_name IS NULL THEN 'not truncated' WHEN (folder, new_name) IN (SELECT (folder, name) FROM file) THEN 'target exists' ELSE 'truncated' END AS status FROM v) """
+on("title_truncation_status", lambda s, d: matching.title_status(matched(s, d), files(s, d)), TITLE_SQL + "SELECT file_id, status, CASE WHEN status = 'truncated' THEN new_name END AS new_name FROM w")
+on("partner_shared", lambda s, d: dated(s, d).join(matching.sidecar_fields(matched(s, d)).select("file_id", "partner_shared"), "file_id", "left").select("file_id", moves.main_directory(F.col("taken"), 2, F.coalesce("partner_shared", F.lit(False))).alias("target")), DATED_SQL + "SELECT file_id, CASE WHEN json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL THEN 'PARTNER_SHARED/' ELSE '' END || 'ALL_PHOTOS/' || coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS target FROM dated LEFT JOIN matched USING (file_id)")
+
+
+def camera_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates in eight of the ways that cameras and tools write them."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
+    forms = ["yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy.M.d H:m:s", "yyyy-MM-dd HH:mm:ss'+0200'", "yyyy:MM:dd HH:mm:ss'Z'", "yyyyMMdd'T'HHmmss", "'0000:00:00 'HH:mm:ss"]
+    k = F.col("o_orderkey") % 8
+    raw = F.coalesce(*(F.when(k == i, F.date_format("t", form)) for i, form in enumerate(forms)))
+    return o.select("o_orderkey", text_of(dates.from_text(raw)).alias("taken"))
+
+
+on("date_from_camera_text", camera_texts, f"SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL WHEN 4 THEN strftime(CAST(o_orderdate AS TIMESTAMP) - INTERVAL 2 HOUR, {SQL_FORMAT}) ELSE strftime(o_orderdate, {SQL_FORMAT}) END AS taken FROM orders")
+
+
+def from_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the files, their paths written with backslashes."""
+    f = files(spark, sf_dir)
+    listed = f.filter("file_id % 2 = 0").select(F.replace("path", F.lit("/"), F.lit("\\")).alias("path"), F.concat(F.date_format(F.timestamp_seconds(F.col("file_id") * 86400 + 1200000000), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("oldest"))
+    return matching.dictionary_dates(f, listed).withColumn("taken", text_of("taken"))
+
+
+on_files("date_from_dictionary", lambda f: f, ", k AS (SELECT path, min(file_id) AS i FROM file WHERE file_id % 2 = 0 GROUP BY 1) SELECT file_id, strftime(make_timestamp((i * 86400 + 1200000000) * 1000000), '%Y-%m-%d %H:%M:%S') AS taken FROM file JOIN k USING (path)")
+QUERIES["date_from_dictionary"] = from_dictionary
+
+FOLDER_NAMES = ["'Fotos del ' || y", "y || ' Pictures'", "'Photos ' || y", "y || '-07'", "CAST(y AS VARCHAR)", "'Trip 12 ' || y || ' Rome'", "'None'"]
+
+
+def folder_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year folders in seven ways of naming, years in and out of range."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").withColumn("y", (F.lit(1850) + F.col("event_id") % 250).cast("string"))
+    y, k = F.col("y"), F.col("event_id") % 7
+    forms = [F.concat(F.lit("Fotos del "), y), F.concat(y, F.lit(" Pictures")), F.concat(F.lit("Photos "), y), F.concat(y, F.lit("-07")), y, F.concat(F.lit("Trip 12 "), y, F.lit(" Rome")), F.lit("None")]
+    folder = F.coalesce(*(F.when(k == i, f) for i, f in enumerate(forms)))
+    return e.select("event_id", F.year(dates.from_folder(folder, LATEST_YEAR)).cast("string").alias("year"))
+
+
+on("folder_year_forms", folder_years, f"SELECT event_id, CAST(CASE WHEN event_id % 7 < 6 AND 1850 + event_id % 250 BETWEEN 1900 AND {LATEST_YEAR + 1} THEN 1850 + event_id % 250 END AS VARCHAR) AS year FROM events")
+on("untitled_album", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("UNBENANNT "), F.col("conv_id").cast("string"))).otherwise(F.col("role")).alias("album")).select("conv_id", "turn", moves.album_directory(F.col("album")).alias("directory")), "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Untitled Albums/UNBENANNT ' || conv_id ELSE 'Albums/' || role END AS directory FROM conversations")
+on("dup_best_media", lambda s, d: entities.best_media(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", a AS (SELECT size, ext, sha256, count(DISTINCT CASE WHEN NOT {CANONICAL_SQL} THEN folder END) AS albums FROM roles GROUP BY ALL), r AS (SELECT sha256, ext, file_id, albums, row_number() OVER (PARTITION BY size, ext, sha256 ORDER BY accuracy, length(path), path, file_id) AS n FROM roles JOIN dated USING (file_id) JOIN a USING (size, ext, sha256)) SELECT sha256, ext, file_id AS best, albums FROM r WHERE n = 1")
+on("entity_merge", lambda s, d: entities.merged(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", d AS (SELECT size, ext, sha256, roles.file_id, role, folder, {CANONICAL_SQL} AS canonical, taken, accuracy, entity_rank FROM roles JOIN dated USING (file_id)) SELECT sha256, ext, min(file_id) FILTER (role = 'primary') AS primary_file, count(*) FILTER (role = 'secondary') AS secondaries, count(*) FILTER (role = 'duplicate') AS duplicates, coalesce(array_to_string(list_sort(list(DISTINCT folder) FILTER (NOT canonical)), '|'), '') AS albums, strftime((array_agg(taken ORDER BY accuracy, entity_rank))[1], {SQL_FORMAT}) AS taken, min(accuracy) AS accuracy FROM d GROUP BY size, ext, sha256")
+on_files("grouping_stats", entities.grouping_stats, ", g AS (SELECT size, count(*) AS n, count(DISTINCT sha256(text)) AS contents FROM file GROUP BY size) SELECT count(*) AS size_buckets, count(*) FILTER (n = 1) AS single_buckets, count(*) FILTER (n > 1) AS shared_buckets, CAST(sum(contents) AS BIGINT) AS contents, max(n) AS largest FROM g")
+on("collection_stats", lambda s, d: entities.collection_stats(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", cs AS (SELECT size, ext, sha256, bool_or(accuracy < 99) AS dated, bool_or(NOT {CANONICAL_SQL}) AS in_album FROM roles JOIN dated USING (file_id) GROUP BY ALL), k AS (SELECT count(*) AS files FROM file) SELECT count(*) AS entities, count(*) FILTER (dated) AS dated, count(*) FILTER (in_album) AS in_album, any_value(files) - count(*) AS more_files FROM cs, k")
+on("album_membership_prefix", lambda s, d: entities.membership(files(s, d)), f", d AS (SELECT DISTINCT 'Takeout/' || folder AS dir, folder AS album FROM file WHERE NOT {CANONICAL_SQL}) SELECT file_id, album FROM file JOIN d ON 'Takeout/' || folder = dir OR starts_with('Takeout/' || folder, dir || '/')")
+ORACLES["album_membership_prefix"] = f"WITH {FILES_SQL}" + ORACLES["album_membership_prefix"]
+on_files("album_kinds", entities.album_kinds, f", e AS (SELECT size, ext, sha256(text) AS h, bool_or({CANONICAL_SQL}) AS c, bool_or(NOT {CANONICAL_SQL}) AS a FROM file GROUP BY ALL) SELECT CASE WHEN c AND a THEN 'both' WHEN a THEN 'album only' ELSE 'year only' END AS kind, count(*) AS n FROM e GROUP BY 1")
+
+
+def extension_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that begin as one of five types do, under the names of ``files``."""
+    heads = ["FFD8FFE0", "89504E470D0A1A0A", "000000186674797069736F6D", "49492A00", "00"]
+    f = files(spark, sf_dir).withColumn("head", F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("file_id") % 5 + 1).cast("int"))))
+    return entities.extension_fixes(f)
+
+
+on_files("extension_fix_plan", lambda f: f, ", h AS (SELECT file_id, folder, name, ext, (['image/jpeg', 'image/png', 'video/mp4', NULL, NULL])[file_id % 5 + 1] AS mime, (['jpg', 'png', 'mp4', NULL, NULL])[file_id % 5 + 1] AS new_ext FROM file) SELECT file_id, mime, name || '.' || new_ext AS new_name FROM h WHERE new_ext IS NOT NULL AND new_ext <> ext AND NOT name LIKE '%-edited.%' AND (folder, name || '.' || new_ext) NOT IN (SELECT (folder, name) FROM file)")
+QUERIES["extension_fix_plan"] = extension_plan
+on("path_functions", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", names.directory(F.col("url")).alias("directory"), names.base_name(F.col("url")).alias("base"), names.trimmed_segments(F.replace("url", F.lit("/"), F.lit(" /"))).alias("trimmed"), names.replace_last(F.col("url"), "e", "<E>").alias("replaced"), names.rebased(F.concat(F.lit("old/in/"), "url"), F.lit("old/in"), F.lit("new")).alias("rebased"), names.rebased(F.col("url"), F.lit("old"), F.lit("new")).alias("kept")), "SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS directory, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(url, ' +(/|$)', '\\1', 'g') AS trimmed, regexp_replace(url, '^(.*)e([^e]*)$', '\\1<E>\\2') AS replaced, 'new/' || url AS rebased, url AS kept FROM pages")
+on_files("format_sizes", lambda f: f.select("file_id", dates.thousands(F.col("size") * 1000).alias("number"), dates.duration_text(F.col("size")).alias("duration"), dates.size_text(F.col("size") * 1000).alias("size_text")), ", d AS (SELECT file_id, size AS s FROM file) SELECT file_id, format('{:,}', s * 1000) AS number, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || s % 60 || 's' ELSE '' END ELSE s // 3600 || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || s // 60 % 60 || 'm' ELSE '' END END AS duration, CASE WHEN s <= 0 THEN '0 B' WHEN s < 1000 THEN s || '.00 KB' ELSE (s + 5) // 10 // 100 || '.' || lpad(CAST((s + 5) // 10 % 100 AS VARCHAR), 2, '0') || ' MB' END AS size_text FROM d")
+on("nfc_paths", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", repairs.nfc(F.col("text")).alias("nfc")), "SELECT doc_id, nfc_normalize(text) AS nfc FROM documents")
+on_files("emoji_codec", lambda f: f.select("file_id", repairs.emoji_to_hex(F.concat(F.lit("\U0001f600"), "name")).alias("encoded")).withColumn("decoded", repairs.hex_to_emoji(F.col("encoded"))), "SELECT file_id, '_0x1f600_' || name AS encoded, '\U0001f600' || name AS decoded FROM file")
+on_files("mojibake_repair", lambda f: f.select("file_id", *(repairs.repair(F.concat(F.lit(bad), "name")).alias(n) for n, bad in (("enye", "Espa\u00a5a MA\u00a5O "), ("latin", "Jos\u00c3\u00a9 "), ("page", "a\u00a4o mam\u00a0 ")))), "SELECT file_id, 'Espa\u00f1a MA\u00d1O ' || name AS enye, 'Jos\u00e9 ' || name AS latin, 'a\u00f1o mam\u00e1 ' || name AS page FROM file")
+on_files("fnv_signature", lambda f: f.select("file_id", repairs.quick_signature(F.col("text").cast("binary"), F.col("ext")).alias("signature"), repairs.sample_fingerprint(F.col("text").cast("binary")).alias("fingerprint")), "")
+del ORACLES["fnv_signature"]

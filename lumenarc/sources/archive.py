@@ -44,18 +44,20 @@ file AS (SELECT file_id, folder, name, ext, 'Takeout/' || folder || '/' || name
 
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dir, json_name, body: a sidecar for each labelled document, named in one of three ways."""
+    """dir, json_name, body: a sidecar for each labelled document, named in one of six ways."""
     f = files(spark, sf_dir).select("file_id", "folder", "name")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("file_id"), "toxic")
     i = F.col("file_id")
-    json_name = F.when(i % 3 == 0, F.concat("name", F.lit(".json"))).when(i % 3 == 1, F.concat("name", F.lit(names.SIDECAR_SUFFIX + ".json"))).otherwise(F.concat("name", F.lit(".supplemental-meta.json")))
-    body = F.concat(F.lit('{"title":"'), "name", F.lit('","photoTakenTime":{"timestamp":"'), (i * 86400 + 1300000000).cast("string"), F.lit('"},"geoData":{"latitude":'), (i % 90).cast("string"), F.lit('.25,"longitude":-'), (i % 180).cast("string"), F.lit(".5}"), F.when(F.col("toxic") == 1, ',"googlePhotosOrigin":{"fromPartnerSharing":{}}').otherwise(""), F.lit("}"))
+    stem, full = names.stem(F.col("name")), F.concat("name", F.lit(names.SIDECAR_SUFFIX))
+    forms = [F.col("name"), full, F.left(full, F.lit(names.NAME_LIMIT - 5)), F.regexp_replace("name", "-edited", ""), stem, F.concat(stem, F.lit(".HEIC"))]
+    json_name = F.concat(F.element_at(F.array(*forms), (i % 6 + 1).cast("int")), F.lit(".json"))
+    body = F.concat(F.lit('{"title":"'), F.when(i % 4 == 0, F.col("name")).when(i % 4 == 1, F.concat(names.stem(F.col("name")), F.lit(" am See: "), i.cast("string"), F.lit(".jpg"))).when(i % 4 == 2, "").otherwise("Other.jpg"), F.lit('","photoTakenTime":{"timestamp":"'), (i * 86400 + 1300000000).cast("string"), F.lit('"},"geoData":{"latitude":'), (i % 90).cast("string"), F.lit('.25,"longitude":-'), (i % 180).cast("string"), F.lit(".5}"), F.when(F.col("toxic") == 1, ',"googlePhotosOrigin":{"fromPartnerSharing":{}}').otherwise(""), F.lit("}"))
     return f.join(labels, "file_id").select(F.col("folder").alias("dir"), json_name.alias("json_name"), body.alias("body"))
 
 
 SIDECARS_SQL = """
-sidecar AS (SELECT folder AS dir, name || CASE file_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.supplemental-metadata.json' ELSE '.supplemental-meta.json' END AS json_name,
-    '{"title":"' || name || '","photoTakenTime":{"timestamp":"' || CAST(file_id * 86400 + 1300000000 AS VARCHAR) || '"},"geoData":{"latitude":' || CAST(file_id % 90 AS VARCHAR) || '.25,"longitude":-' || CAST(file_id % 180 AS VARCHAR) || '.5}'
+sidecar AS (SELECT folder AS dir, ([name, name || '.supplemental-metadata', left(name || '.supplemental-metadata', 46), replace(name, '-edited', ''), regexp_replace(name, '\\.[^.]*$', ''), regexp_replace(name, '\\.[^.]*$', '') || '.HEIC'])[file_id % 6 + 1] || '.json' AS json_name,
+    '{"title":"' || CASE file_id % 4 WHEN 0 THEN name WHEN 1 THEN regexp_replace(name, '\\.[^.]*$', '') || ' am See: ' || file_id || '.jpg' WHEN 2 THEN '' ELSE 'Other.jpg' END || '","photoTakenTime":{"timestamp":"' || CAST(file_id * 86400 + 1300000000 AS VARCHAR) || '"},"geoData":{"latitude":' || CAST(file_id % 90 AS VARCHAR) || '.25,"longitude":-' || CAST(file_id % 180 AS VARCHAR) || '.5}'
     || CASE WHEN toxic = 1 THEN ',"googlePhotosOrigin":{"fromPartnerSharing":{}}' ELSE '' END || '}' AS body
     FROM file JOIN labels ON doc_id = file_id)
 """

@@ -7,7 +7,7 @@ CODE = """
 import sys
 sys.modules['lumenarc.llm'] = None
 import __spark_entry__ as e
-assert e.llm is None and set(e.queries()) == set(e.oracle_sql()) and 'dup_groups_by_content' in e.queries()
+assert e.llm is None and set(e.queries()) == set(e.oracle_sql()) | {'fnv_signature'} and 'dup_groups_by_content' in e.queries()
 """
 
 
