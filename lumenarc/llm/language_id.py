@@ -25,6 +25,8 @@ BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 #: At most so many labelled rows are learned from; the sample is the same at every run.
 SAMPLE_ROWS = 3000
 EPOCHS, RATE, BATCH = 12, 4.0, 32
+#: A small sample goes round more often, until it has made so many steps.
+LEAST_STEPS = 840
 #: A quarter of the sample calibrates; this share of its right predictions may be rejected.
 REJECT_SHARE = 0.002
 LETTER = regex.compile(r"\p{L}")
@@ -87,9 +89,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     held = bags[: len(bags) // 4] if len(bags) >= 40 else bags
     fit = bags[len(bags) // 4 :] if len(bags) >= 40 else bags
     table_, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, done = EPOCHS * max(1, len(fit) // BATCH), 0
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(fit)), max(1, len(fit) // BATCH)):
+    batches = max(1, len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, done = epochs * batches, 0
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(len(fit)), batches):
             rate = RATE * (1 - done / steps)
             done += 1
             means = np.stack([fit[i][1] @ table_[fit[i][0]] for i in batch])
