@@ -145,7 +145,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
 
     A null text, or one without a letter, gets ``und``, score 0 and is
     rejected; so is every row if the model is None (nothing to learn from).
+    Kept columns of the three new names are replaced by them.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "rejected"))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 

@@ -140,7 +140,9 @@ def score(docs: DataFrame, space: Space | None, keep: tuple[str, ...] = ("doc_id
 
     A null text counts as empty; with no term in common with any labelled row
     the score is the share of label 1, and 0.5 if there is nothing to learn from.
+    Kept columns of the two new names are replaced by them.
     """
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
