@@ -29,7 +29,7 @@ def labelled(json_names: Column, strategy: str) -> Column:
 
 
 def sidecar_names(name: Column, tryhard: bool = False) -> Column:
-    """(json_name, strategy) of all sidecars a file could have, in the order they are tried, each name once.
+    """(json_name, strategy) of all sidecars a file could have, in the order they are tried; a name may come again.
 
     Per strategy: the full suffix; if that exceeds the limit, the suffix cut to
     each length that fits; the full suffix with the file's number after or
@@ -50,9 +50,7 @@ def sidecar_names(name: Column, tryhard: bool = False) -> Column:
             F.array(numbered(bare, F.lit(full), number, F.lit(".json")), numbered(bare, number, F.lit(f"{full}.json")), F.concat(plain, F.lit(".json")), numbered(bare, number, F.lit(".json"))),
         )
         groups.append(labelled(F.array_compact(forms), strategy))
-    found = F.concat(*groups)
-    known = F.transform(found, lambda x: x["json_name"])
-    return F.filter(found, lambda x, i: F.array_position(known, x["json_name"]) == i + 1)
+    return F.concat(*groups)
 
 
 def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False) -> DataFrame:
