@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names, repairs
-from lumenarc.operators import content, entities, matching, moves
+from lumenarc.operators import content, entities, execute, matching, moves
+from lumenarc.sources import zips
 from lumenarc.sources.archive import FILES_SQL, SIDECARS_SQL, files, sidecars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,3 +297,28 @@ on_files("emoji_codec", lambda f: f.select("file_id", repairs.emoji_to_hex(F.con
 on_files("mojibake_repair", lambda f: f.select("file_id", *(repairs.repair(F.concat(F.lit(bad), "name")).alias(n) for n, bad in (("enye", "Espa\u00a5a MA\u00a5O "), ("latin", "Jos\u00c3\u00a9 "), ("page", "a\u00a4o mam\u00a0 ")))), "SELECT file_id, 'Espa\u00f1a MA\u00d1O ' || name AS enye, 'Jos\u00e9 ' || name AS latin, 'a\u00f1o mam\u00e1 ' || name AS page FROM file")
 on_files("fnv_signature", lambda f: f.select("file_id", repairs.quick_signature(F.col("text").cast("binary"), F.col("ext")).alias("signature"), repairs.sample_fingerprint(F.col("text").cast("binary")).alias("fingerprint")), "")
 del ORACLES["fnv_signature"]
+
+# Execution
+
+
+def free_name_plan(f: DataFrame) -> DataFrame:
+    """Many claims on one name or a numbered one, in folders where some numbers are taken."""
+    i = F.col("file_id")
+    numbered = lambda n: F.concat(F.lit("p("), n.cast("string"), F.lit(")."), "ext")
+    claims = f.select("file_id", F.col("folder").alias("dir"), F.when(i % 6 == 0, numbered(i % 5 + 1)).otherwise(F.concat(F.lit("p."), "ext")).alias("name"))
+    existing = f.filter(i % 50 == 0).select(F.col("folder").alias("dir"), numbered(i % 9 + 1).alias("name")).distinct()
+    return execute.free_names(claims, existing, "file_id").select("file_id", "free_name")
+
+
+on_files("free_names", free_name_plan, """, c AS (SELECT file_id, folder AS dir, ext, CASE WHEN file_id % 6 = 0 THEN file_id % 5 + 1 END AS k FROM file),
+    s AS (SELECT file_id, dir, ext, k, CASE WHEN k IS NULL THEN 'p' ELSE 'p(' || k || ')' END AS stem FROM c),
+    x AS (SELECT DISTINCT folder AS dir, ext, file_id % 9 + 1 AS k FROM file WHERE file_id % 50 = 0),
+    taken AS (SELECT dir, ext, 'p' AS stem, k AS n FROM x UNION SELECT dir, ext, 'p(' || k || ')', 0 FROM x UNION SELECT dir, ext, 'p', k FROM c WHERE k IS NOT NULL),
+    most AS (SELECT dir, ext, stem, count(*) + 10 AS m FROM s GROUP BY ALL),
+    every AS (SELECT dir, ext, stem, unnest(range(0, m)) AS n FROM most),
+    free AS (SELECT *, row_number() OVER (PARTITION BY dir, ext, stem ORDER BY n) AS r FROM every ANTI JOIN taken USING (dir, ext, stem, n)),
+    asked AS (SELECT *, row_number() OVER (PARTITION BY dir, ext, stem ORDER BY file_id) AS r FROM s)
+    SELECT file_id, stem || CASE WHEN n = 0 THEN '' ELSE '(' || n || ')' END || '.' || ext AS free_name FROM asked JOIN free USING (dir, ext, stem, r)""")
+on("quarantine_plan", lambda s, d: execute.quarantine_plan(content.roles(files(s, d))), f"WITH {FILES_SQL}" + ROLES_SQL + "SELECT sha256, file_id, 'quarantine' AS op, '_Duplicates/Takeout/' || folder AS target FROM roles WHERE role = 'duplicate'")
+on_files("zip_safe_path", lambda f: f.select("file_id", zips.safe_path(F.concat(F.element_at(F.array(*map(F.lit, ["", "../", "/", "C:", "a/./", "a\\..\\", "\x07"])), (F.col("file_id") % 7 + 1).cast("int")), "path")).alias("target")), "SELECT file_id, CASE file_id % 7 WHEN 0 THEN path WHEN 4 THEN 'a/' || path WHEN 6 THEN path END AS target FROM file")
+on("filetime_ticks", lambda s, d: dated(s, d).filter("taken IS NOT NULL").select("file_id", dates.filetime(F.col("taken")).alias("ticks")), DATED_SQL + "SELECT file_id, epoch_ms(taken) * 10000 + 116444736000000000 AS ticks FROM dated WHERE taken IS NOT NULL")
