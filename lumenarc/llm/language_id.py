@@ -27,6 +27,8 @@ SAMPLE_ROWS = 3000
 EPOCHS, RATE, BATCH = 12, 4.0, 32
 #: A small sample goes round more often, until it has made so many steps.
 LEAST_STEPS = 840
+#: Longest gradient of one text's embedding: many copies of a short text in one batch would else drive the weights to infinity.
+CLIP = 32.0
 #: A quarter of the sample calibrates; this share of its right predictions may be rejected.
 REJECT_SHARE = 0.002
 LETTER = regex.compile(r"\p{L}")
@@ -102,6 +104,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), [fit[i][2] for i in batch]] -= 1
             back = p @ out.T
+            back *= np.minimum(1, CLIP / np.maximum(np.linalg.norm(back, axis=1, keepdims=True), 1e-9))
             out -= rate * means.T @ p / len(batch)
             bias -= rate * p.mean(0)
             for i, g in zip(batch, back, strict=True):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from lumenarc.llm import brown, exact_dedup, imatch, jaccard_join, language_id, line_dedup, mixing, packing, quality, url_filter
@@ -168,7 +169,9 @@ def test_mixing_keeps_to_budget(spark, none):
 
 def test_classifiers_odd_rows(odd, none):
     model = language_id.train([(r[1], r[2]) for r in ROWS if r[1] and r[2]] * 40)
+    assert np.isfinite(model.weights).all() and np.isfinite(model.bias).all() and np.isfinite(model.temperature)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(odd, model).collect()}
+    assert all(0 <= score <= 1 for _, score in got.values())
     assert got[2] == got[3] == got[4] == got[5] == ("und", 0.0) and got[8][0] == "de"
     assert language_id.identify(none, None).count() == 0
     space = quality.fit([("good plain words here", 1), ("BAD!! BAD!! %%%", 0)], 0.5)
