@@ -1,14 +1,14 @@
 """Fuzzy line dedup: MinHash, banding, exact Jaccard, distributed union-find.
 
-1. Every line is a set of character shingles. Its signature takes the shingles
-   that start at a word (8 characters, the next words included), so it is as
-   short to make as the line has words; equal lines are combined before the
+1. Every line is a set of shingles, its runs of ``SHINGLE`` characters. Short
+   sets are signed whole, long ones by the quarter of their shingles that a
+   hash selects, those between both ways; equal lines are combined before the
    shuffle.
 2. Bands of ``ROWS`` minima each let lines meet; in a cell all lines are paired
    with its least line, never with each other. Pairs whose signatures agree in
    fewer than ``AGREE`` minima end here.
 3. Pairs are kept if the exact Jaccard similarity of their lines, as sets of
-   all runs of ``SHINGLE`` characters, is at least the threshold.
+   the same shingles, is at least the threshold.
 4. Components of the kept pairs, and equal lines, keep their first line: the
    one with the least document id, then the least place.
 
@@ -30,10 +30,13 @@ from lumenarc.llm.common import table
 from lumenarc.llm.components import connected_components
 from lumenarc.runtime import Workspace
 
-SHINGLE, ANCHOR = 5, 8
-BANDS, ROWS = 6, 3
-#: Equal minima, of BANDS * ROWS, below which a pair is not compared.
-AGREE = 9
+SHINGLE = 5
+#: Every minimum is in one or two bands: at Jaccard 0.8 a pair shares one of them in about 98 of 100 cases, at 0.85 in more than 99.
+MINIMA, BANDS, ROWS = 40, 14, 5
+#: Equal minima, of MINIMA, below which a pair is not compared: fewer than in one of a million pairs signed whole and as alike as the threshold.
+AGREE = 16
+#: Sets with at least so many selected shingles are signed by them, those with at most so many (also) whole.
+SAMPLED, WHOLE = 24, 40
 THRESHOLD = 0.8
 #: Shorter lines (braces, single words) are left alone.
 MIN_CHARS = 10
@@ -46,9 +49,29 @@ def grams(line: Column) -> Column:
     return F.transform(runs, lambda run: F.xxhash64(run))
 
 
-def salts() -> list[int]:
-    """One 63-bit number per minimum; hashes are uniform, so their least after an exclusive or is any shingle's with equal chance."""
-    return [int.from_bytes(hashlib.sha256(b"minimum %d" % k).digest()[:8], "little") >> 1 for k in range(BANDS * ROWS)]
+def salts() -> list[tuple[int, int]]:
+    """A 31-bit number and an odd one per minimum; an exclusive or with the first and a product with the second (mod 2**31) permute hashes."""
+    draws = (hashlib.sha256(b"minimum %d" % k).digest() for k in range(MINIMA))
+    return [(int.from_bytes(d[:4], "little") >> 1, int.from_bytes(d[4:8], "little") >> 1 | 1) for d in draws]
+
+
+def band_rows() -> list[list[int]]:
+    """The minima of each band: two orders of all minima, cut into runs of ROWS."""
+    orders = (sorted(range(MINIMA), key=lambda k: hashlib.sha256(b"order %d %d" % (o, k)).digest()) for o in range(2))
+    return [order[i : i + ROWS] for order in orders for i in range(0, MINIMA, ROWS)][:BANDS]
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """lh, level (0 signed whole, 1 by a quarter), uses and the minima, null for lines without a shingle."""
+    # Each array is named before its several uses, so that it is made once.
+    sets = lines.select("lh", grams(F.col("line")).alias("set"))
+    sets = sets.withColumn("some", F.array_distinct(F.filter("set", lambda x: x.bitwiseAND(F.lit(3)) == 0)))
+    whole = F.when(F.size("some") <= WHOLE, F.struct(F.lit(0).alias("level"), F.col("set").alias("xs")))
+    part = F.when(F.size("some") >= SAMPLED, F.struct(F.lit(1).alias("level"), F.col("some").alias("xs")))
+    signed = sets.select("lh", F.inline(F.array_compact(F.array(whole, part))))
+    hashed = signed.select("lh", "level", F.posexplode_outer("xs").alias("at", "x")).withColumn("x", F.shiftrightunsigned("x", 33))
+    minima = [F.min((F.col("x").bitwiseXOR(F.lit(s)) * F.lit(m)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias(f"m{k}") for k, (s, m) in enumerate(salts())]
+    return hashed.groupBy("lh", "level").agg(F.sum((F.coalesce("at", F.lit(0)) == 0).cast("long")).alias("uses"), *minima)
 
 
 def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -77,26 +100,25 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs with at least AGREE equal minima: fewer come about in one of 1,000 pairs as alike as the threshold."""
-    mins = F.array(*(f"m{k}" for k in range(BANDS * ROWS)))
-    signs = signed.select("lh", mins.alias("s"))
-    both = pairs.join(signs.select(F.col("lh").alias("a"), F.col("s").alias("sa")), "a").join(signs.select(F.col("lh").alias("b"), F.col("s").alias("sb")), "b")
-    equal = sum((F.col("sa")[k] == F.col("sb")[k]).cast("int") for k in range(BANDS * ROWS))
-    return both.filter(equal >= AGREE).select("a", "b")
+    """Different pairs of pairs(a, b, level) with at least AGREE equal minima."""
+    mins = F.array(*(f"m{k}" for k in range(MINIMA)))
+    signs = signed.select("lh", "level", mins.alias("s"))
+    both = pairs.join(signs.select(F.col("lh").alias("a"), "level", F.col("s").alias("sa")), ["a", "level"])
+    both = both.join(signs.select(F.col("lh").alias("b"), "level", F.col("s").alias("sb")), ["b", "level"])
+    equal = sum((F.col("sa")[k] == F.col("sb")[k]).cast("int") for k in range(MINIMA))
+    return both.filter(equal >= AGREE).select("a", "b").distinct()
 
 
 def similar_lines(rows: DataFrame, work: Workspace, threshold: float) -> DataFrame:
     """lh, grp: every line that has an equal or similar one, with the key of its group."""
     lines = lines_of(rows)
-    anchors = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(\S{'.?' * (ANCHOR - 1)}))\S+"), F.lit(1))
-    hashed = lines.select("lh", F.posexplode(anchors).alias("at", "anchor")).select("lh", "at", F.xxhash64("anchor").alias("x"))
-    minima = [F.min(F.shiftright(F.col("x").bitwiseXOR(F.lit(salt)), 32).cast("int")).alias(f"m{k}") for k, salt in enumerate(salts())]
-    signed = work.save(hashed.groupBy("lh").agg(F.sum((F.col("at") == 0).cast("long")).alias("uses"), *minima), "signatures")
-    bands = F.array(*(F.xxhash64(F.lit(j), *(f"m{j * ROWS + i}" for i in range(ROWS))) for j in range(BANDS)))
-    banded = signed.select("lh", F.explode(bands).alias("band"))
+    signed = work.save(signatures(lines), "signatures")
+    bands = F.array(*(F.xxhash64(F.lit(j), "level", *(f"m{k}" for k in own)) for j, own in enumerate(band_rows())))
+    banded = signed.filter("m0 IS NOT NULL").select("lh", "level", F.explode(bands).alias("band"))
     cells = banded.groupBy("band").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).filter("low < high")
-    pairs = banded.join(cells.select("band", "low"), "band").filter("lh <> low").select("lh", F.col("low").alias("other"))
-    pairs = pairs.select(F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
+    cells = work.save(cells.select("band", "low"), "cells")
+    pairs = maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band").filter("lh <> low").select("level", "lh", F.col("low").alias("other"))
+    pairs = pairs.select("level", F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
     pairs = work.save(agreeing(pairs, signed), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
     nodes = work.save(nodes, "nodes")
@@ -108,7 +130,7 @@ def similar_lines(rows: DataFrame, work: Workspace, threshold: float) -> DataFra
     common = sets.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("n"), F.size(F.array_union("ga", "gb")).alias("all"))
     kept = common.filter(F.col("n") >= threshold * F.col("all"))
     components = connected_components(kept.select("a", "b"), work, "lines").select(F.col("node").alias("lh"), "component")
-    repeated = signed.filter("uses > 1").select("lh")
+    repeated = signed.filter("uses > 1").select("lh").distinct()
     return repeated.join(components, "lh", "full").select("lh", F.coalesce("component", "lh").alias("grp"))
 
 
