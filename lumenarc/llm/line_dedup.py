@@ -4,9 +4,12 @@
    sets are signed whole, long ones by the quarter of their shingles that a
    hash selects, those between both ways; equal lines are combined before the
    shuffle.
-2. Bands of ``ROWS`` minima each let lines meet; in a cell all lines are paired
-   with its least line, never with each other. Pairs whose signatures agree in
-   fewer than ``AGREE`` minima end here.
+2. Bands of ``ROWS`` minima each let lines meet. In a cell all lines are paired
+   with its least line; then, while lines of unlike components would make too
+   many pairs, with one more line outside the cell's largest component; at last
+   all lines of different components with each other. So no pair of a cell
+   goes uncompared unless both are in one component already. Pairs whose
+   signatures agree in fewer than ``AGREE`` minima are not verified.
 3. Pairs are kept if the exact Jaccard similarity of their lines, as sets of
    the same shingles, is at least the threshold.
 4. Components of the kept pairs, and equal lines, keep their first line: the
@@ -37,6 +40,8 @@ MINIMA, BANDS, ROWS = 40, 14, 5
 AGREE = 16
 #: Sets with at least so many selected shingles are signed by them, those with at most so many (also) whole.
 SAMPLED, WHOLE = 24, 40
+#: All uncompared pairs of different components are made at once if they are at most so many per line and cell, or after so many rounds.
+OPEN_PAIRS, ROUNDS = 4, 8
 THRESHOLD = 0.8
 #: Shorter lines (braces, single words) are left alone.
 MIN_CHARS = 10
@@ -109,27 +114,68 @@ def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.filter(equal >= AGREE).select("a", "b").distinct()
 
 
-def similar_lines(rows: DataFrame, work: Workspace, threshold: float) -> DataFrame:
-    """lh, grp: every line that has an equal or similar one, with the key of its group."""
-    lines = lines_of(rows)
-    signed = work.save(signatures(lines), "signatures")
-    bands = F.array(*(F.xxhash64(F.lit(j), "level", *(f"m{k}" for k in own)) for j, own in enumerate(band_rows())))
-    banded = signed.filter("m0 IS NOT NULL").select("lh", "level", F.explode(bands).alias("band"))
-    cells = banded.groupBy("band").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).filter("low < high")
-    cells = work.save(cells.select("band", "low"), "cells")
-    pairs = maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band").filter("lh <> low").select("level", "lh", F.col("low").alias("other"))
-    pairs = pairs.select("level", F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
-    pairs = work.save(agreeing(pairs, signed), "pairs")
+def alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame, work: Workspace, threshold: float, step: int) -> DataFrame:
+    """The a, b of pairs(a, b, level) whose lines have at least the threshold."""
+    pairs = work.save(agreeing(pairs, signed), f"pairs-{step}")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
-    nodes = work.save(nodes, "nodes")
+    nodes = work.save(nodes, f"nodes-{step}")
     some = maybe_in(lines.select("lh", "line"), "lh", bitmap(nodes, "lh")).distinct()
-    text = work.save(some.join(nodes, "lh", "left_semi"), "texts")
+    text = work.save(some.join(nodes, "lh", "left_semi"), f"texts-{step}")
     both = pairs.join(text.select(F.col("lh").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("lh").alias("b"), F.col("line").alias("lb")), "b")
     # Each array is named before its several uses, so that it is made once.
     sets = both.select("a", "b", grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
     common = sets.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("n"), F.size(F.array_union("ga", "gb")).alias("all"))
-    kept = common.filter(F.col("n") >= threshold * F.col("all"))
-    components = connected_components(kept.select("a", "b"), work, "lines").select(F.col("node").alias("lh"), "component")
+    return work.save(common.filter(F.col("n") >= threshold * F.col("all")).select("a", "b"), f"kept-{step}")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Different a < b, level of pairs(level, lh, other)."""
+    return pairs.select("level", F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
+
+
+def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: float) -> DataFrame:
+    """node, component of the lines linked by similar pairs of a cell."""
+    bands = F.array(*(F.xxhash64(F.lit(j), "level", *(f"m{k}" for k in own)) for j, own in enumerate(band_rows())))
+    banded = signed.filter("m0 IS NOT NULL").select("lh", "level", F.explode(bands).alias("band"))
+    cells = banded.groupBy("band").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).filter("low < high")
+    cells = work.save(cells.select("band", "low"), "cells")
+    # The least lines meet all others first and then leave.
+    rest = work.save(maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band").filter("lh <> low"), "rest")
+    size = rest.count()
+    kept = alike(ordered(rest.select("level", "lh", F.col("low").alias("other"))), signed, lines, work, threshold, 0)
+    rest = rest.drop("low")
+    for step in range(1, ROUNDS + 1):
+        components = connected_components(kept, work, f"lines-{step}")
+        named = rest.join(components.withColumnRenamed("node", "lh"), "lh", "left").select("band", "level", "lh", F.coalesce("component", "lh").alias("c"))
+        named = work.save(named, f"named-{step}")
+        n = F.col("n").cast("double")
+        sizes = named.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band")
+        sizes = sizes.agg(F.count("*").alias("parts"), ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("open"), F.max(F.struct("n", "c"))["c"].alias("major")).filter("parts > 1")
+        sizes = work.save(sizes.select("band", "open", "major"), f"open-{step}")
+        left = sizes.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("n")).first()["n"]
+        if not left:
+            return components
+        named = named.join(sizes.select("band", "major"), "band")
+        last = left <= OPEN_PAIRS * size or step == ROUNDS
+        minor = named.filter("c <> major").select("band", F.col("lh").alias("other"), F.col("c").alias("d"))
+        if not last:
+            pivots = minor.groupBy("band").agg(F.min(F.struct("other", "d")).alias("p"))
+            minor = work.save(pivots.select("band", "p.*"), f"pivots-{step}")
+        pairs = named.join(minor, "band").filter("c <> d").select("level", "lh", "other")
+        found = alike(ordered(pairs), signed, lines, work, threshold, step)
+        kept = work.save(kept.unionByName(found), f"links-{step}")
+        if last:
+            return connected_components(kept, work, "lines")
+        # A pivot has met all that are left in its cell.
+        rest = named.join(minor.select("band", F.col("other").alias("lh")), ["band", "lh"], "left_anti").select("band", "level", "lh")
+    raise AssertionError("the last round returns")
+
+
+def similar_lines(rows: DataFrame, work: Workspace, threshold: float) -> DataFrame:
+    """lh, grp: every line that has an equal or similar one, with the key of its group."""
+    lines = lines_of(rows)
+    signed = work.save(signatures(lines), "signatures")
+    components = linked(signed, lines, work, threshold).select(F.col("node").alias("lh"), "component")
     repeated = signed.filter("uses > 1").select("lh").distinct()
     return repeated.join(components, "lh", "full").select("lh", F.coalesce("component", "lh").alias("grp"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenarc.llm import line_dedup
@@ -57,3 +58,43 @@ def test_recall_on_pairs_that_are_not_equal(spark):
     recall = {k: sum(a in grp and grp[a] == grp.get(b) for a, b in pairs) / len(pairs) for k, pairs in kinds.items()}
     print(recall)
     assert all(share >= 0.95 for share in recall.values()), recall
+
+
+def brute_groups(lines):
+    """Components of two or more lines by all pairs."""
+    lines = sorted(set(lines))
+    up = {x: x for x in lines}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if jaccard(a, b) >= 0.8:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    sizes = {}
+    for x in lines:
+        sizes.setdefault(find(x), []).append(x)
+    return {frozenset(own) for own in sizes.values() if len(own) > 1}
+
+
+@pytest.mark.parametrize("open_pairs", [10**9, 0], ids=["at once", "by rounds"])
+def test_no_pair_of_a_cell_goes_uncompared(spark, monkeypatch, open_pairs):
+    monkeypatch.setattr(line_dedup, "band_rows", lambda: [[]])  # all lines in one cell
+    monkeypatch.setattr(line_dedup, "OPEN_PAIRS", open_pairs, raising=False)
+    rng, latin = random.Random(9), "abcdefghijklmnopqrstuvwxyz"
+    frame, lines = "the order of this customer was sent on", []
+    for _ in range(20):
+        line = f"{frame} {''.join(rng.choices(latin, k=16))} {''.join(rng.choices(latin, k=16))}"
+        lines += [line, edited(line, rng.randrange(40, len(line)), latin, rng)]
+    for _ in range(6):  # chains, whose ends are not alike
+        lines.append(edited(lines[-1], rng.randrange(40, len(lines[-1])), latin, rng))
+    want = brute_groups(lines)
+    assert len(want) >= 15
+    found = {}
+    for line, grp in groups_of(spark, lines).items():
+        found.setdefault(grp, set()).add(line)
+    assert {frozenset(x) for x in found.values()} == want
