@@ -43,13 +43,11 @@ SAMPLED, WHOLE = 24, 40
 #: All uncompared pairs of different components are made at once if they are at most so many per line and cell, or after so many rounds.
 OPEN_PAIRS, ROUNDS = 4, 8
 THRESHOLD = 0.8
-#: Shorter lines (braces, single words) are left alone.
-MIN_CHARS = 10
 BITMAP_BITS = 1 << 24
 
 
 def grams(line: Column) -> Column:
-    """Hashes of all runs of SHINGLE characters (lines that count have MIN_CHARS, so there are some)."""
+    """Hashes of all runs of SHINGLE characters (none in a shorter line, which only equals the same line)."""
     runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=({'.' * SHINGLE}))"), F.lit(1))
     return F.transform(runs, lambda run: F.xxhash64(run))
 
@@ -99,9 +97,9 @@ def maybe_in(df: DataFrame, key: str, filter_: tuple[DataFrame, int], negate: bo
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """rk, doc_id, pos, line, lh of the lines that count: with MIN_CHARS or more, not blank."""
+    """rk, doc_id, pos, line, lh of the lines that count: those that are not blank."""
     split = rows.select("__rk", "__id", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
-    return split.filter((F.length("line") >= MIN_CHARS) & (F.trim("line") != "")).withColumn("lh", F.xxhash64("line"))
+    return split.filter(F.col("line").rlike(r"\S")).withColumn("lh", F.xxhash64("line"))
 
 
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:

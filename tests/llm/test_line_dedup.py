@@ -98,3 +98,11 @@ def test_no_pair_of_a_cell_goes_uncompared(spark, monkeypatch, open_pairs):
     for line, grp in groups_of(spark, lines).items():
         found.setdefault(grp, set()).add(line)
     assert {frozenset(x) for x in found.values()} == want
+
+
+def test_short_lines_take_part(spark):
+    rows = [(1, "Les.\n}\n\n今天天气真的很好啊\nabcdefghi"), (2, "Les.\n\n\t\n}\n今天天气真的很好啊"), (3, "abcdefgh\nLes\n\t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs).collect()}
+    # Blank lines stay; abcdefgh has four of the five shingles of abcdefghi.
+    assert got == {1: (rows[0][1], 0), 2: ("\n\t", 3), 3: ("Les\n\t", 1)}
