@@ -18,12 +18,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from lumenarc.llm.common import fold, small_batches, table, texts
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
-#: At most so many labelled rows are learned from; the sample is the same at every run.
-SAMPLE_ROWS = 3000
+#: At most so many different texts of each language are learned from; the sample is the same at every run.
+LANGUAGE_ROWS = 750
 EPOCHS, RATE, BATCH = 12, 4.0, 32
 #: A small sample goes round more often, until it has made so many steps.
 LEAST_STEPS = 840
@@ -133,14 +134,17 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return Model(langs, weights, bias, temperature, min(bound * 0.9, 0.5))
 
 
-def sample(labelled: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled rows, chosen by a hash of the text."""
-    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
-    keyed = known.withColumn("h", F.xxhash64(F.lit(11), text))
-    bound = keyed.groupBy().agg(F.count("*").alias("n")).first()["n"]
-    if bound > 2 * rows:  # leaves the top-k a small multiple of what it takes
-        keyed = keyed.filter(F.shiftrightunsigned("h", 33) < int((1 << 31) * min(1.0, 2.0 * rows / bound)))
-    return [(r[0], r[1]) for r in keyed.orderBy("h", lang).limit(rows).select(text, lang).collect()]
+def sample(labelled: DataFrame, text: str, lang: str, rows: int = LANGUAGE_ROWS) -> list[tuple[str, str]]:
+    """At most ``rows`` different texts of each language, chosen by a hash of the text."""
+    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    keyed = known.withColumn("h", F.xxhash64(F.lit(11), "text"))
+    # Only hashes are shuffled to count the different texts of each language; one row per language is broadcast.
+    counts = keyed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    # Leaves the top-k a small multiple of what it takes; copies of a text are one before the shuffle.
+    few = keyed.join(F.broadcast(counts), "lang").filter((F.col("n") <= 2 * rows) | (F.shiftrightunsigned("h", 33) < F.lit(2.0 * rows * (1 << 31)) / F.col("n")))
+    different = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return [(r[0], r[1]) for r in different.withColumn("place", place).filter(F.col("place") <= rows).orderBy("h", "lang").select("text", "lang").collect()]
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
