@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
     step, before = 0, None
     while True:
         large = both(now)
-        least = large.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join starts from two shuffles and the rows of a hot node can be split.
+        least = work.save(large.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-least-{step}")
         # Large star: neighbours above a node link to its least neighbour.
         grown = large.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: neighbours below a node, and the node, link to the least of them.
@@ -33,6 +34,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
         step += 1
         new = work.save(shrunk.select("e.a", "e.b").filter("a <> b").distinct(), f"{name}-{step}")
         work.drop(f"{name}-{step - 1}")
+        work.drop(f"{name}-least-{step - 1}")
         now = new
         # Unchanged totals of an order-free hash: the stars have settled.
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

@@ -193,7 +193,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     groups = work.save(similar_lines(rows, work, threshold), "groups")
     places = maybe_in(lines_of(rows).select("__rk", "__id", "pos", "lh"), "lh", bitmap(groups, "lh")).join(groups, "lh").select("grp", "__id", "__rk", "pos")
     places = work.save(places, "places")
-    first = places.groupBy("grp").agg(F.min(F.struct("__id", "__rk", "pos")).alias("first"))
+    # Written, so that the join below starts from two shuffles and a hot group can be split.
+    first = work.save(places.groupBy("grp").agg(F.min(F.struct("__id", "__rk", "pos")).alias("first")), "first")
     gone = places.join(first, "grp").filter((F.col("__rk") != F.col("first.__rk")) | (F.col("pos") != F.col("first.pos")))
     gone = work.save(gone.groupBy("__rk").agg(F.collect_set("pos").alias("__gone")), "gone")
     filter_ = bitmap(gone.select("__rk"), "__rk")
