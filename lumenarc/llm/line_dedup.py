@@ -1,17 +1,21 @@
 """Fuzzy line dedup: MinHash, banding, exact Jaccard, distributed union-find.
 
-1. Every line is a set of shingles, its runs of ``SHINGLE`` characters. Short
-   sets are signed whole, long ones by the quarter of their shingles that a
-   hash selects, those between both ways; equal lines are combined before the
-   shuffle.
-2. Bands of ``ROWS`` minima each let lines meet. In a cell all lines are paired
-   with its least line; then, while lines of unlike components would make too
-   many pairs, with one more line outside the cell's largest component; at last
-   all lines of different components with each other. So no pair of a cell
-   goes uncompared unless both are in one component already. Pairs whose
-   signatures agree in fewer than ``AGREE`` minima are not verified.
+1. Every line is a set of shingles, its runs of ``SHINGLE`` characters, from
+   all of the line. Lines up to ``WHOLE`` characters are signed by all
+   shingles; longer ones by those that start with a character of ``SOME``, and
+   from ``LONG`` characters on by the quarter of these that a hash selects.
+   Lengths between two levels are signed at both, and lines of so few
+   different shingles that a selection leaves little of them also whole.
+   Equal lines are combined before the shuffle.
+2. Bands of ``ROWS`` minima each let lines meet. All lines of a cell are paired
+   if the pairs are few in all or the cell has up to ``CELL`` lines; in a larger one all are paired with its least line;
+   then, while lines of unlike components would make too many pairs, with one
+   more line outside the cell's largest component; at last all lines of
+   different components with each other. So no pair of a cell goes uncompared
+   unless both are in one component already. Pairs whose signatures agree in
+   fewer than ``AGREE`` minima are not verified.
 3. Pairs are kept if the exact Jaccard similarity of their lines, as sets of
-   the same shingles, is at least the threshold.
+   all shingles, is at least the threshold.
 4. Components of the kept pairs, and equal lines, keep their first line: the
    one with the least document id, then the least place.
 
@@ -34,22 +38,31 @@ from lumenarc.llm.components import connected_components
 from lumenarc.runtime import Workspace
 
 SHINGLE = 5
-#: Every minimum is in one or two bands: at Jaccard 0.8 a pair shares one of them in about 98 of 100 cases, at 0.85 in more than 99.
-MINIMA, BANDS, ROWS = 40, 14, 5
-#: Equal minima, of MINIMA, below which a pair is not compared: fewer than in one of a million pairs signed whole and as alike as the threshold.
+#: Every minimum is in three bands: at Jaccard 0.8 a pair shares one of them in about 99 of 100 cases.
+MINIMA, BANDS, ROWS = 30, 18, 5
+#: Equal minima, of MINIMA, below which a pair is not compared: about one in 2,000 pairs as alike as the threshold.
 AGREE = 16
-#: Sets with at least so many selected shingles are signed by them, those with at most so many (also) whole.
-SAMPLED, WHOLE = 24, 40
+#: Up to WHOLE characters lines are signed whole, from PART on by SOME shingles, from LONG on by a quarter of those (and no more by all up to LESS).
+PART, WHOLE, LONG, LESS = 160, 200, 640, 800
+#: Selected shingles are those that start with one of every fourth ASCII character or with any other character.
+SOME = "".join(f"\\x{c:02x}" for c in range(0, 128, 4)) + r"\x{80}-\x{10FFFF}"
+#: Lines signed by a selection of fewer different shingles (counted in 64 bits) are also signed whole.
+FEW = 24
+#: Lines of a cell up to which all are paired in any case.
+CELL = 64
 #: All uncompared pairs of different components are made at once if they are at most so many per line and cell, or after so many rounds.
 OPEN_PAIRS, ROUNDS = 4, 8
 THRESHOLD = 0.8
 BITMAP_BITS = 1 << 24
 
 
+def runs(line: Column, first: str = ".") -> Column:
+    """All runs of SHINGLE characters whose first is in the class ``first``; none in a shorter line, which only equals the same line."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=({first}{'.' * (SHINGLE - 1)}))"), F.lit(1))
+
+
 def grams(line: Column) -> Column:
-    """Hashes of all runs of SHINGLE characters (none in a shorter line, which only equals the same line)."""
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=({'.' * SHINGLE}))"), F.lit(1))
-    return F.transform(runs, lambda run: F.xxhash64(run))
+    return F.transform(runs(line), lambda run: F.xxhash64(run))
 
 
 def salts() -> list[tuple[int, int]]:
@@ -59,22 +72,36 @@ def salts() -> list[tuple[int, int]]:
 
 
 def band_rows() -> list[list[int]]:
-    """The minima of each band: two orders of all minima, cut into runs of ROWS."""
-    orders = (sorted(range(MINIMA), key=lambda k: hashlib.sha256(b"order %d %d" % (o, k)).digest()) for o in range(2))
+    """The minima of each band: three orders of all minima, cut into runs of ROWS."""
+    orders = (sorted(range(MINIMA), key=lambda k: hashlib.sha256(b"order %d %d" % (o, k)).digest()) for o in range(3))
     return [order[i : i + ROWS] for order in orders for i in range(0, MINIMA, ROWS)][:BANDS]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """lh, level (0 signed whole, 1 by a quarter), uses and the minima, null for lines without a shingle."""
-    # Each array is named before its several uses, so that it is made once.
-    sets = lines.select("lh", grams(F.col("line")).alias("set"))
-    sets = sets.withColumn("some", F.array_distinct(F.filter("set", lambda x: x.bitwiseAND(F.lit(3)) == 0)))
-    whole = F.when(F.size("some") <= WHOLE, F.struct(F.lit(0).alias("level"), F.col("set").alias("xs")))
-    part = F.when(F.size("some") >= SAMPLED, F.struct(F.lit(1).alias("level"), F.col("some").alias("xs")))
-    signed = sets.select("lh", F.inline(F.array_compact(F.array(whole, part))))
-    hashed = signed.select("lh", "level", F.posexplode_outer("xs").alias("at", "x")).withColumn("x", F.shiftrightunsigned("x", 33))
-    minima = [F.min((F.col("x").bitwiseXOR(F.lit(s)) * F.lit(m)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias(f"m{k}") for k, (s, m) in enumerate(salts())]
-    return hashed.groupBy("lh", "level").agg(F.sum((F.coalesce("at", F.lit(0)) == 0).cast("long")).alias("uses"), *minima)
+def signed_at(lines: DataFrame, level: int) -> DataFrame:
+    """lh, level, uses, seen (64 bits that count different shingles) and the minima, null for lines without a shingle."""
+    shingles = lines.select("lh", F.posexplode_outer(runs(F.col("line"), f"[{SOME}]" if level else ".")).alias("at", "run"))
+    # No condition in what makes the hash: it is then computed once, not for each minimum. A line's first row counts the line and stays.
+    hashed = shingles.select("lh", F.coalesce("at", F.lit(0)).alias("at"), "run", F.xxhash64("run").alias("x"))
+    chosen = hashed.filter((F.col("at") == 0) | (F.col("x").bitwiseAND(F.lit(3)) == 0)) if level == 2 else hashed
+    y = F.shiftrightunsigned("x", 33)
+    minima = [F.min((y.bitwiseXOR(F.lit(s)) * F.lit(m)).bitwiseAND(F.lit((1 << 31) - 1))).alias(f"m{k}") for k, (s, m) in enumerate(salts())]
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), y.bitwiseAND(F.lit(63)).cast("int")))
+    found = chosen.groupBy("lh").agg(F.sum((F.col("at") == 0).cast("long")).alias("uses"), F.count("run").alias("n"), seen.alias("seen"), *minima)
+    return found.select("lh", F.lit(level).alias("level"), "uses", F.when(F.col("n") > 0, F.col("seen")).alias("seen"), *(F.when(F.col("n") > 0, F.col(f"m{k}").cast("int")).alias(f"m{k}") for k in range(MINIMA)))
+
+
+def signatures(lines: DataFrame, work: Workspace) -> DataFrame:
+    """The signatures of all lines: level 0 by all shingles, 1 and 2 by a selection."""
+    n = F.length("line")
+    # A plan per level: one with both patterns costs twice as much.
+    parts = [signed_at(lines.filter(fits), level) for level, fits in enumerate((n <= WHOLE, n.between(PART, LESS), n >= LONG))]
+    signed = work.save(parts[0].unionByName(parts[1]).unionByName(parts[2]), "signatures")
+    of = signed.groupBy("lh").agg(F.min("level").alias("level"), F.bool_or((F.col("level") > 0) & (F.coalesce(F.bit_count("seen"), F.lit(0)) < FEW)).alias("few"))
+    few = work.save(of.filter("level > 0 and few").select("lh"), "few")
+    if few.isEmpty():
+        return signed
+    again = maybe_in(lines.select("lh", "line"), "lh", bitmap(few, "lh")).join(few, "lh", "left_semi")
+    return work.save(signed.unionByName(signed_at(again, 0)), "signatures-all")
 
 
 def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -135,13 +162,21 @@ def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: floa
     """node, component of the lines linked by similar pairs of a cell."""
     bands = F.array(*(F.xxhash64(F.lit(j), "level", *(f"m{k}" for k in own)) for j, own in enumerate(band_rows())))
     banded = signed.filter("m0 IS NOT NULL").select("lh", "level", F.explode(bands).alias("band"))
-    cells = banded.groupBy("band").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).filter("low < high")
-    cells = work.save(cells.select("band", "low"), "cells")
-    # The least lines meet all others first and then leave.
-    rest = work.save(maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band").filter("lh <> low"), "rest")
+    cells = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("lh").alias("low")).filter("size > 1")
+    cells = work.save(cells, "cells")
+    met = work.save(maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band"), "met")
+    # Few pairs in all: then no cell is large.
+    most = cells.agg(F.sum("size").alias("rows"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs"), F.max("size").alias("largest")).first()
+    bound = most["largest"] or 0 if (most["pairs"] or 0) <= OPEN_PAIRS * (most["rows"] or 0) else CELL
+    small = met.filter(F.col("size") <= bound).select("band", "level", "lh")
+    pairs = small.join(small.select("band", F.col("lh").alias("other")), "band").filter("lh < other").select("level", "lh", "other")
+    # The least lines of large cells meet all others first and then leave.
+    rest = met.filter((F.col("size") > bound) & (F.col("lh") != F.col("low")))
     size = rest.count()
-    kept = alike(ordered(rest.select("level", "lh", F.col("low").alias("other"))), signed, lines, work, threshold, 0)
-    rest = rest.drop("low")
+    kept = alike(ordered(pairs.unionByName(rest.select("level", "lh", F.col("low").alias("other")))), signed, lines, work, threshold, 0)
+    if not size:
+        return connected_components(kept, work, "lines")
+    rest = rest.select("band", "level", "lh")
     for step in range(1, ROUNDS + 1):
         components = connected_components(kept, work, f"lines-{step}")
         named = rest.join(components.withColumnRenamed("node", "lh"), "lh", "left").select("band", "level", "lh", F.coalesce("component", "lh").alias("c"))
@@ -172,9 +207,9 @@ def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: floa
 def similar_lines(rows: DataFrame, work: Workspace, threshold: float) -> DataFrame:
     """lh, grp: every line that has an equal or similar one, with the key of its group."""
     lines = lines_of(rows)
-    signed = work.save(signatures(lines), "signatures")
+    signed = signatures(lines, work)
     components = linked(signed, lines, work, threshold).select(F.col("node").alias("lh"), "component")
-    repeated = signed.filter("uses > 1").select("lh").distinct()
+    repeated = signed.filter("uses > 1").select("lh").distinct()  # each level of a line counts all its uses
     return repeated.join(components, "lh", "full").select("lh", F.coalesce("component", "lh").alias("grp"))
 
 
