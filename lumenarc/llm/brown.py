@@ -1,12 +1,15 @@
 """Class-based n-gram scores (Brown et al., 1992) with exchange clustering.
 
-The ``HEAD`` most frequent words are clustered one by one; all others share
-``TAILS`` pseudo-words by a hash of their last four bytes before closing punctuation, so that every word has
-a class. The exchange algorithm moves one (pseudo-)word at a time to the class
-that raises the likelihood of the class bigrams most. A text's probability is
-the product over its tokens of P(class | class before) and P(word | class).
-Word counts are exact and distributed: those of the ``LEXICON`` most frequent
-words are broadcast (a fixed number), those of all others are joined.
+Clustering knows ``HEAD`` words, the most frequent ones, one by one; all others
+share ``TAILS`` pseudo-words by a hash of their last four bytes before closing
+punctuation. The exchange algorithm moves one (pseudo-)word at a time to the
+class that raises the likelihood of the class bigrams most, over a sparse table
+of the bigrams that occur. Then each further word of the ``LEXICON`` goes to
+the class that fits its own contexts best, counted over the whole corpus; the
+rest have their pseudo-word's class. A text's probability is the product over
+its tokens of P(class | class before) and P(word | class), whose counts are
+taken once more with the final classes. Word counts are exact and distributed:
+those of the lexicon are broadcast (a fixed number), those of all others joined.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from lumenarc.llm.common import fold, small_batches, table, texts
 from lumenarc.runtime import Workspace
 
-HEAD, TAILS, CLASSES = 512, 256, 48
+HEAD, TAILS, CLASSES = 4096, 256, 48
 TYPES = HEAD + TAILS + 1
 END = TYPES - 1
 #: Words whose counts are broadcast.
@@ -70,55 +73,101 @@ class Types:
 
     def __init__(self, head: list[bytes]):
         self.own = {w: i for i, w in enumerate(head)}
+        self.seen: dict[bytes, int] = {}
 
     def __call__(self, word: bytes) -> int:
-        own = self.own.get(word)
-        return tail_type(word) if own is None else own
+        found = self.own.get(word, self.seen.get(word))
+        if found is None:
+            if len(self.seen) > FLUSH:
+                self.seen.clear()
+            found = self.seen[word] = tail_type(word)
+        return found
 
 
-def type_bigrams(docs: DataFrame, types: Types) -> DataFrame:
-    """pair (first * TYPES + second), n: bigrams of types over all rows, the ends included on both sides."""
-    shared = docs.sparkSession.sparkContext.broadcast(types)
+def code_counts(docs: DataFrame, codes, state) -> DataFrame:
+    """code long, n long: how often ``codes(state, words)`` gives each code, over all rows of docs(text). The state is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(state)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, grid, memo = shared.value, np.zeros(TYPES * TYPES, np.int64), {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.zeros(code.size, np.int64)
+            np.add.at(n, at, np.concatenate([x for _, x in held]))
+            return code, n
+
         for batch in batches:
-            found = []
-            for body in texts(batch):
-                found.append(END)
-                for w in tokens(body):
-                    t = memo.get(w)
-                    if t is None:
-                        t = memo[w] = of(w)
-                    found.append(t)
-            if len(memo) > FLUSH:
-                memo.clear()
-            x = np.array([*found, END], np.int64)
-            grid += np.bincount(x[:-1] * TYPES + x[1:], minlength=TYPES * TYPES)
-        at = np.flatnonzero(grid)
-        for i in range(0, at.size, 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(grid[part])], ["pair", "n"])
-
-    return docs.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each type. The end keeps a class of its own, the last.
+            code = np.concatenate([codes(shared.value, tokens(body)) for body in texts(batch)] or [np.zeros(0, np.int64)])
+            held.append(np.unique(code, return_counts=True))
+            size += held[-1][0].size
+            if size > 4 * FLUSH:
+                held[:] = [merged()]
+                size = held[0][0].size
+                if size > 2 * FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0], pa.int64()), pa.array(held[0][1], pa.int64())], ["code", "n"])
+                    held.clear()
+                    size = 0
+        if held:
+            code, n = merged()
+            for i in range(0, code.size, 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 100_000], pa.int64()), pa.array(n[i : i + 100_000], pa.int64())], ["code", "n"])
+
+    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def type_pairs(types: Types, words: list[bytes]) -> np.ndarray:
+    """first * TYPES + second of the text's types, the ends included on both sides."""
+    x = np.array([END, *map(types, words), END], np.int64)
+    return x[:-1] * TYPES + x[1:]
+
+
+def contexts(state: tuple, words: list[bytes]) -> np.ndarray:
+    """place * 2 * CLASSES + (class before, or CLASSES + class after) of each word that has a place in the lexicon."""
+    types, cls, place = state
+    c = cls[np.array([END, *map(types, words), END], np.int64)]
+    at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+    own = np.flatnonzero(at >= 0)
+    return np.concatenate([at[own] * 2 * CLASSES + c[own], (at[own] * 2 + 1) * CLASSES + c[own + 2]])
+
+
+def class_pairs(classes: Classes, words: list[bytes]) -> np.ndarray:
+    x = np.array([classes.end, *map(classes, words), classes.end], np.int64)
+    return x[:-1] * CLASSES + x[1:]
+
+
+class Classes:
+    """The class of each word: by its type, or its own if it is in the lexicon beyond the head."""
+
+    def __init__(self, types: Types, cls: np.ndarray, own: dict[bytes, int]):
+        self.types, self.cls, self.own, self.end = types, cls, own, int(cls[END])
+
+    def __call__(self, word: bytes) -> int:
+        found = self.own.get(word)
+        return int(self.cls[self.types(word)]) if found is None else found
+
+
+def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """The class of each of ``size`` types, from the bigrams (first, second) that occur n times. The last type keeps a class of its own, the last.
 
     Starts from classes dealt by frequency; then each type in turn leaves its
     class for the one with the highest likelihood of the class bigrams, until
     a round moves none or ``rounds`` are over.
     """
-    n, own = len(bigrams), classes - 1
-    freq = bigrams.sum(1) + bigrams.sum(0)
-    order = np.argsort(-freq[: n - 1], kind="stable")
-    cls = np.empty(n, np.int64)
-    cls[order] = np.arange(n - 1) % own
-    cls[n - 1] = own
-    one = np.eye(classes)[cls]
-    left, right = one.T @ bigrams, bigrams @ one  # counts class -> type, type -> class
-    grid = one.T @ right
+    own = classes - 1
+    n = n.astype(np.float64)
+    freq = np.bincount(first, n, size) + np.bincount(second, n, size)
+    order = np.argsort(-freq[: size - 1], kind="stable")
+    cls = np.empty(size, np.int64)
+    cls[order] = np.arange(size - 1) % own
+    cls[size - 1] = own
+    by_first, by_second = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
+    after = np.searchsorted(first[by_first], np.arange(size + 1))
+    before = np.searchsorted(second[by_second], np.arange(size + 1))
+    next_type, next_n = second[by_first], n[by_first]
+    last_type, last_n = first[by_second], n[by_second]
+    grid = np.bincount(cls[first] * classes + cls[second], n, classes * classes).reshape(classes, classes)
 
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1e-12))
@@ -128,33 +177,32 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
         for w in order:
             if freq[w] == 0:
                 continue
-            a, me = cls[w], bigrams[w, w]
-            to, fro = right[w].copy(), left[:, w].copy()
+            a = int(cls[w])
+            right, left = slice(after[w], after[w + 1]), slice(before[w], before[w + 1])
+            me = float(next_n[right][next_type[right] == w].sum())
+            to = np.bincount(cls[next_type[right]], next_n[right], classes)
+            fro = np.bincount(cls[last_type[left]], last_n[left], classes)
             to[a] -= me
             fro[a] -= me
             grid[a] -= to
             grid[:, a] -= fro
             grid[a, a] -= me
             rows, cols = grid.sum(1), grid.sum(0)
-            f_grid = f(grid)
-            # What joining class g adds to sum f(pairs) - sum f(rows) - sum f(columns).
-            gain = (f(grid + to[None]) - f_grid).sum(1) + (f(grid + fro[:, None]) - f_grid).sum(0)
+            # What joining class g adds to sum f(pairs) - sum f(rows) - sum f(columns); only pairs with the word's own neighbours change.
+            t, b = np.flatnonzero(to), np.flatnonzero(fro)
+            gain = (f(grid[:, t] + to[t]) - f(grid[:, t])).sum(1) + (f(grid[b] + fro[b, None]) - f(grid[b])).sum(0)
             d = np.diag(grid)
             gain += f(d + to + fro + me) - f(d + to) - f(d + fro) + f(d)
             gain -= f(rows + to.sum() + me) - f(rows) + f(cols + fro.sum() + me) - f(cols)
-            b = int(np.argmax(gain[:own]))
-            if gain[b] <= gain[a] + 1e-9:
-                b = int(a)
-            grid[b] += to
-            grid[:, b] += fro
-            grid[b, b] += me
-            if b != a:
+            g = int(np.argmax(gain[:own]))
+            if gain[g] <= gain[a] + 1e-9:
+                g = a
+            grid[g] += to
+            grid[:, g] += fro
+            grid[g, g] += me
+            if g != a:
                 moved += 1
-                cls[w] = b
-                right[:, a] -= bigrams[:, w]
-                right[:, b] += bigrams[:, w]
-                left[a] -= bigrams[w]
-                left[b] += bigrams[w]
+                cls[w] = g
         if not moved:
             break
     return cls
@@ -162,8 +210,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
 
 @dataclass
 class Model:
-    types: Types
-    cls: np.ndarray  # type -> class
+    classes: Classes
     transition: np.ndarray  # log10 P(class | class before)
     emission_base: np.ndarray  # class -> log10 of the emission's denominator
     known: dict[bytes, float]  # lexicon word -> log10(c + ADD)
@@ -173,45 +220,65 @@ class Model:
     train_tokens: int
 
 
+def smoothed(grid: np.ndarray, unigram: np.ndarray, strength: float = 50.0) -> np.ndarray:
+    """log10 P(class | class before), class bigrams smoothed towards the classes' own shares."""
+    return np.log10((grid + strength * unigram[None]) / (grid.sum(1, keepdims=True) + strength))
+
+
 def fit(train: DataFrame, work: Workspace) -> tuple[Model, DataFrame]:
-    """The model of docs(text), and h, c of the words beyond the lexicon."""
+    """The model of docs(text), and h, c of the words beyond the lexicon.
+
+    A null text counts as empty. Without any row all counts are nil: classes
+    are equally likely, and every word is unknown.
+    """
     spark = train.sparkSession
     counts = work.save(word_counts(train), "words")
     docs = train.count()
     first = counts.orderBy(F.desc("c"), "word").limit(LEXICON).toArrow()
     top = list(zip(first["word"].to_pylist(), first["c"].to_pylist(), strict=True))
     types = Types([w for w, _ in top[:HEAD]])
-    # Tokens and different words per type; the tail's come from all words, as its types follow from the word alone.
-    shared = spark.sparkContext.broadcast(types)
-
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(TYPES, np.int64), np.zeros(TYPES, np.int64)
+    cells = code_counts(train, type_pairs, types).toArrow()  # at most TYPES * TYPES rows
+    code, n = cells["code"].to_numpy(), cells["n"].to_numpy()
+    del cells
+    cls = exchange(code // TYPES, code % TYPES, n, TYPES)
+    grid = np.bincount(cls[code // TYPES] * CLASSES + cls[code % TYPES], n, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    del code, n
+    place = {w: i for i, (w, _) in enumerate(top[HEAD:])}
+    log = smoothed(grid, (grid.sum(0) + 1) / (grid.sum() + CLASSES))
+    own: dict[bytes, int] = {}
+    if place:
+        met = code_counts(train, contexts, (types, cls, place)).toArrow()  # at most LEXICON * 2 * CLASSES rows
+        near = np.zeros(len(place) * 2 * CLASSES)
+        near[met["code"].to_numpy()] = met["n"].to_numpy()
+        near = near.reshape(len(place), 2, CLASSES)
+        best = (near[:, 0] @ log + near[:, 1] @ log.T)[:, : CLASSES - 1].argmax(1)
+        own = {w: int(best[i]) for w, i in place.items()}
+    classes = Classes(types, cls, own)
+    pairs = code_counts(train, class_pairs, classes).collect()  # at most CLASSES * CLASSES rows
+    grid = np.zeros(CLASSES * CLASSES)
+    for r in pairs:
+        grid[r["code"]] = r["n"]
+    grid = grid.reshape(CLASSES, CLASSES)
+    shared = spark.sparkContext.broadcast(classes)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(CLASSES), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            t = np.fromiter(map(shared.value, batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            n += np.bincount(t, batch.column(1).to_numpy(), TYPES).astype(np.int64)
-            v += np.bincount(t, minlength=TYPES)
-        at = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(v[at])], ["type", "n", "v"])
-
-    n, v = np.zeros(TYPES), np.zeros(TYPES)
-    for r in counts.mapInArrow(typed, "type long, n long, v long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        n[r["type"]], v[r["type"]] = r["n"], r["v"]
-    n[END], v[END] = docs, bool(docs)
+            c = np.fromiter(map(shared.value, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            n += np.bincount(c, batch.column(1).to_numpy(), CLASSES)
+            v += np.bincount(c, minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n.astype(np.int64)), pa.array(v)], ["class", "n", "v"])
+
+    # Tokens and different words of each class, from all words.
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counts.mapInArrow(classed, "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r["class"]], v[r["class"]] = r["n"], r["v"]
+    n[classes.end], v[classes.end] = docs, bool(docs)
     total, vocabulary = int(n.sum()), int(v.sum())
-    bigrams = np.zeros(TYPES * TYPES)
-    cells = type_bigrams(train, types).toArrow()  # TYPES * TYPES rows at most
-    bigrams[cells["pair"].to_numpy()] = cells["n"].to_numpy()
-    del cells
-    cls = exchange(bigrams.reshape(TYPES, TYPES))
-    one = np.eye(CLASSES)[cls]
-    grid = one.T @ bigrams.reshape(TYPES, TYPES) @ one
-    unigram = (n @ one + 1) / (n.sum() + CLASSES)
-    # Class bigrams, smoothed towards the classes' own shares.
-    strength = 50.0
-    transition = np.log10((grid + strength * unigram[None]) / (grid.sum(1, keepdims=True) + strength))
-    emission_base = np.log10(n @ one + ADD * (v @ one + 1))
+    transition = smoothed(grid, (n + 1) / (n.sum() + CLASSES))
+    emission_base = np.log10(n + ADD * (v + 1))
     known = {w: float(np.log10(c + ADD)) for w, c in top}
-    model = Model(types, cls, transition, emission_base, known, float(np.log10(total + ADD * (vocabulary + 1))), float(np.log10(docs + ADD)), bool(docs), total)
+    model = Model(classes, transition, emission_base, known, float(np.log10(total + ADD * (vocabulary + 1))), float(np.log10(docs + ADD)), bool(docs), total)
     last = top[-1] if len(top) == LEXICON else None
     rest = counts.filter((F.col("c") < last[1]) | ((F.col("c") == last[1]) & (F.col("word") > F.lit(last[0])))) if last else counts.limit(0)
     return model, rest.select(word_key(F.col("word")).alias("h"), "c")
@@ -224,18 +291,22 @@ def word_key(word):
 def scores(docs: DataFrame, model: Model, rest: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` plus n_tokens, n_known, train_tokens, base_score, score, perplexity for each row.
 
-    A null text counts as empty: the end alone. Words beyond the lexicon are
+    A null text counts as empty: the end alone. Rows that repeat are scored
+    alike, long texts whole; an empty table gives an empty one. Words beyond the lexicon are
     shuffled once per document with their number of uses; they are so rare
     that no key of theirs is hot.
     """
     spark = docs.sparkSession
+    held = {c: f"__in{i}" for i, c in enumerate(keep)}
+    docs = docs.select(*(F.col(c).alias(o) for c, o in held.items()), F.col("text").alias("__text"))
+    given_names, keep = keep, tuple(held.values())
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         # One lookup per word: its class and, if it is in the lexicon, log10(c + ADD); else None.
         memo: dict[bytes, tuple[int, float | None]] = {}
-        end = int(m.cls[END])
+        end = m.classes.end
         for batch in batches:
             out = []
             for body in texts(batch, "__text"):
@@ -243,7 +314,7 @@ def scores(docs: DataFrame, model: Model, rest: DataFrame, keep: tuple[str, ...]
                 for w in words:
                     x = memo.get(w)
                     if x is None:
-                        x = memo[w] = (int(m.cls[m.types(w)]), m.known.get(w))
+                        x = memo[w] = (m.classes(w), m.known.get(w))
                     classes.append(x[0])
                     if x[1] is None:
                         seldom[w] += 1
@@ -262,9 +333,8 @@ def scores(docs: DataFrame, model: Model, rest: DataFrame, keep: tuple[str, ...]
 
     names = ["n_tokens", "lexicon_known", "lexicon_base", "lexicon_score", "words", "uses"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    given = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes), "n_tokens long, lexicon_known long, lexicon_base double, lexicon_score double, words array<binary>, uses array<long>"])
-    first = given.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    first = docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     # Each document is one row of its own plus one per seldom word; the first carries its columns.
     seldom = F.transform(F.arrays_zip("words", "uses"), lambda x: F.struct(word_key(x["words"]).alias("h"), x["uses"].alias("k")))
     whole = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("k")))
@@ -278,7 +348,7 @@ def scores(docs: DataFrame, model: Model, rest: DataFrame, keep: tuple[str, ...]
     summed = joined.groupBy("row").agg(F.max("whole").alias("x"), F.coalesce(F.sum(F.col("k") * F.log10(c + ADD)), F.lit(0.0)).alias("logs"), F.coalesce(F.sum(F.when(c > 0, F.col("k"))), F.lit(0)).alias("known"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_seldom"))
     score = F.col("x.lexicon_score") + F.col("logs")
     return summed.select(
-        *(F.col(f"x.{k}") for k in keep), "x.n_tokens", (F.col("x.lexicon_known") + F.col("known")).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        *(F.col(f"x.{held[c]}").alias(c) for c in given_names), "x.n_tokens", (F.col("x.lexicon_known") + F.col("known")).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("x.lexicon_base") + F.col("logs")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("x.n_tokens")).alias("perplexity"),
     )
 
