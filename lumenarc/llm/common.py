@@ -50,3 +50,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names of the operator's own for its columns, and the new name of each old one: no column can clash then."""
+    own = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own

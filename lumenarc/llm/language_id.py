@@ -10,15 +10,15 @@ the softmax temperature and the score under which a prediction is rejected.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lumenarc.llm.common import fold, small_batches, table, texts
 
@@ -67,28 +67,36 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def bag(text: str, label: int) -> tuple[np.ndarray, np.ndarray, int]:
-    ids, n = np.unique(subwords(text.encode()), return_counts=True)
-    return ids, (n / n.sum()).astype(np.float32), label
+Bag = tuple[np.ndarray, np.ndarray]  # subwords and their shares of a text
 
 
-def passage(text: str, rng: np.random.Generator, words: int = 8) -> str:
+def bag(text: bytes) -> Bag:
+    ids, n = np.unique(subwords(text), return_counts=True)
+    return ids, (n / n.sum()).astype(np.float32)
+
+
+def passage(text: bytes, words: int = 8) -> bytes:
+    """Some words of the text, from a place that its checksum chooses."""
     found = text.split()
-    at = int(rng.integers(0, max(1, len(found) - words)))
-    return " ".join(found[at : at + words])
+    at = zlib.crc32(text) % max(1, len(found) - words)
+    return b" ".join(found[at : at + words])
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
+def train(rows: list[tuple[str, str]]) -> Model | None:
     """Model of (text, language) rows; None without any."""
-    langs = tuple(sorted({lang for _, lang in rows}))
+    raw = [text.encode() for text, _ in rows]
+    return fit(list(map(bag, raw)), [bag(passage(t)) for t in raw], [lang for _, lang in rows])
+
+
+def fit(found: list[Bag], passages: list[Bag], of: list[str], seed: int = 7) -> Model | None:
+    """Model of texts, a passage of each, and their languages; None without any."""
+    langs = tuple(sorted(set(of)))
     if not langs:
         return None
     label = {lang: i for i, lang in enumerate(langs)}
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    bags = []
-    for i in order:
-        bags.append(bag(rows[i][0], label[rows[i][1]]))
+    order = rng.permutation(len(of))
+    bags = [(*found[i], label[of[i]]) for i in order]
     held = bags[: len(bags) // 4] if len(bags) >= 40 else bags
     fit = bags[len(bags) // 4 :] if len(bags) >= 40 else bags
     table_, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -116,7 +124,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
         seen[ids] = True
     weights[~seen] = 0  # subwords never met speak for no language, so foreign text scores low
     # Calibration also sees passages of a few words, which whole documents alone would make look too easy.
-    held = held + [bag(passage(rows[i][0], rng), label[rows[i][1]]) for i in order[: len(held)]]
+    held = held + [(*passages[i], label[of[i]]) for i in order[: len(held)]]
     logits = np.stack([w @ weights[ids] + bias for ids, w, _ in held])
     truth = np.array([y for *_, y in held])
 
@@ -134,8 +142,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return Model(langs, weights, bias, temperature, min(bound * 0.9, 0.5))
 
 
-def sample(labelled: DataFrame, text: str, lang: str, rows: int = LANGUAGE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` different texts of each language, chosen by a hash of the text."""
+def chosen(labelled: DataFrame, text: str, lang: str, rows: int = LANGUAGE_ROWS) -> DataFrame:
+    """text, lang, h: at most ``rows`` different texts of each language, chosen by a hash of the text; null ones are left out."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     keyed = known.withColumn("h", F.xxhash64(F.lit(11), "text"))
     # Only hashes are shuffled to count the different texts of each language; one row per language is broadcast.
@@ -144,7 +152,28 @@ def sample(labelled: DataFrame, text: str, lang: str, rows: int = LANGUAGE_ROWS)
     few = keyed.join(F.broadcast(counts), "lang").filter((F.col("n") <= 2 * rows) | (F.shiftrightunsigned("h", 33) < F.lit(2.0 * rows * (1 << 31)) / F.col("n")))
     different = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return [(r[0], r[1]) for r in different.withColumn("place", place).filter(F.col("place") <= rows).orderBy("h", "lang").select("text", "lang").collect()]
+    return different.withColumn("place", place).filter(F.col("place") <= rows).select("text", "lang", "h")
+
+
+def sample(labelled: DataFrame, text: str, lang: str, rows: int = LANGUAGE_ROWS) -> list[tuple[str, str]]:
+    """The chosen texts themselves."""
+    return [(r[0], r[1]) for r in chosen(labelled, text, lang, rows).orderBy("h", "lang").select("text", "lang").collect()]
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
+    """Model of a labelled table. Texts become bags of subwords, at most BUCKETS numbers each, before they go to the driver."""
+    small_batches(labelled.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = list(texts(batch))
+            columns = [[x.tolist() for x in part] for part in zip(*(bag(t) + bag(passage(t)) for t in raw), strict=True)] if raw else [[]] * 4
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.float32())] * 2
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(1), batch.column(2)], ["ids", "w", "part_ids", "part_w", "lang", "h"])
+
+    rows = chosen(labelled, text, lang).mapInArrow(count, "ids array<int>, w array<float>, part_ids array<int>, part_w array<float>, lang string, h long").orderBy("h", "lang").toArrow().to_pylist()
+    pair = lambda r, ids, w: (np.array(r[ids], np.int64), np.array(r[w], np.float32))
+    return fit([pair(r, "ids", "w") for r in rows], [pair(r, "part_ids", "part_w") for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -152,9 +181,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
 
     A null text, or one without a letter, gets ``und``, score 0 and is
     rejected; so is every row if the model is None (nothing to learn from).
-    Kept columns of the three new names are replaced by them.
+    Kept columns of the three new names are replaced by them; rows that repeat
+    are judged alike, and long texts whole.
     """
     keep = tuple(c for c in keep if c not in ("lang_pred", "score", "rejected"))
+    held = {c: f"__in{i}" for i, c in enumerate(keep)}
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
@@ -172,13 +203,13 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
             names = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    given = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes), "lang_pred string, score double, rejected boolean"])
-    return given.mapInArrow(run, schema)
+    given = docs.select(*(F.col(c).alias(o) for c, o in held.items()), F.col(text).alias("__text"))
+    schema = ", ".join([*(f"{held[c]} {t}" for c, t in docs.select(*keep).dtypes), "lang_pred string, score double, rejected boolean"])
+    return given.mapInArrow(run, schema).withColumnsRenamed({o: c for c, o in held.items()})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    model = train(sample(docs.filter(fold(F.col("doc_id"), 4) != 2), "text", "lang"))
+    model = learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

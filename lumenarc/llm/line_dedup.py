@@ -33,7 +33,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import table
+from lumenarc.llm.common import aside, table
 from lumenarc.llm.components import connected_components
 from lumenarc.runtime import Workspace
 
@@ -222,6 +222,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     repeat an id and its text count as one: they stay alike.
     """
     work = Workspace(docs.sparkSession, "line-dedup")
+    docs, own = aside(docs.drop("n_lines", "n_removed"))
+    text, doc_id = own[text], own[doc_id]
     body = F.coalesce(F.col(text), F.lit(""))
     row_key = F.xxhash64(F.col(doc_id), body)
     rows = docs.select(F.col(doc_id).alias("__id"), body.alias("__text"), row_key.alias("__rk"))
@@ -233,7 +235,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     gone = places.join(first, "grp").filter((F.col("__rk") != F.col("first.__rk")) | (F.col("pos") != F.col("first.pos")))
     gone = work.save(gone.groupBy("__rk").agg(F.collect_set("pos").alias("__gone")), "gone")
     filter_ = bitmap(gone.select("__rk"), "__rk")
-    named = docs.drop("n_lines", "n_removed").withColumn("__rk", row_key)
+    named = docs.withColumn("__rk", row_key)
     hit = maybe_in(named, "__rk", filter_).join(gone, "__rk", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     # Counted from the bytes, without making the lines.
     breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
@@ -246,7 +248,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     changed = F.when(F.size("__gone") > 0, kept).otherwise(F.col(text))
     hit = hit.withColumn("n_lines", n_lines).withColumn("n_removed", F.size("__gone")).withColumn(text, changed).drop("__rk", "__gone", "__lines", "__count")
     miss = maybe_in(named, "__rk", filter_, negate=True).withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0)).drop("__rk")
-    return hit.unionByName(miss)
+    return hit.unionByName(miss).withColumnsRenamed({o: c for c, o in own.items()})
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import SPACE, table
+from lumenarc.llm.common import SPACE, aside, table
 from lumenarc.runtime import Workspace
 
 SECTIONS, PRECISION = 16, 1e-7
@@ -82,15 +82,18 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
     document at least once. No source draws more tokens than its weight of the
     budget. A null source counts as the empty name; sources without a token
     draw their documents once if the budget is None and never otherwise. Rows
-    that repeat an id and its text are drawn alike.
+    that repeat an id and its text are drawn alike. An empty table gives an
+    empty one; columns named like the four new ones are replaced by them.
     """
     if (entropy is None) == (max_repeat is None):
         raise ValueError("name either an entropy or a repetition limit")
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     added = ("n_tokens", "weight", "draw", "block_order")
-    row_hash = F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
-    given = docs.drop(*added).withColumn("__s", F.coalesce(F.col(source), F.lit(""))).withColumn("n_tokens", token_count(F.col(text))).withColumn("__h", row_hash)
+    # Columns of the input have names of their own meanwhile, and cannot clash with those made here.
+    held, own = aside(docs)
+    row_hash = F.xxhash64(F.lit(seed), F.col(own[doc_id]), F.coalesce(F.col(own[text]), F.lit("")))
+    given = held.withColumn("__s", F.coalesce(F.col(own[source]).cast("string"), F.lit(""))).withColumn("n_tokens", token_count(F.col(own[text]))).withColumn("__h", row_hash)
     thin = work.save(given.select("__s", "n_tokens", "__h"), "thin")
     totals = thin.groupBy("__s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     totals = work.save(totals, "totals")
@@ -127,7 +130,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
     fits = (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("block_order") < F.col("cut")) | ((F.col("block_order") == F.col("cut")) & (F.col("__h") <= F.col("last"))))
     times = F.col("rounds") + F.coalesce(fits, F.lit(False)).cast("long")
     drawn = drawn.withColumn("__n", times).filter("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    return drawn.select(*(c for c in docs.columns if c not in added), "n_tokens", "weight", "draw", "block_order")
+    return drawn.select(*(F.col(o).alias(c) for c, o in own.items() if c not in added), "n_tokens", "weight", "draw", "block_order")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,16 +97,19 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(rows: list[tuple[str, int]], share_of_ones: float, seed: int = 5) -> Space | None:
+def fit(rows: list[tuple[str, int]], share_of_ones: float) -> Space | None:
     """The space of (text, label) rows; None without any."""
-    if not rows:
+    return fit_counts(np.stack([terms((t or "").encode()) for t, _ in rows]), np.array([y for _, y in rows], np.float64), share_of_ones) if rows else None
+
+
+def fit_counts(counts: np.ndarray, labels: np.ndarray, share_of_ones: float, seed: int = 5) -> Space | None:
+    """The space of rows of term counts and their labels; None without any."""
+    if not len(labels):
         return None
-    counts = np.stack([terms((text or "").encode()) for text, _ in rows])
-    labels = np.array([y for _, y in rows], np.float64)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 0.1).astype(np.float32)
+    idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(0))) + 0.1).astype(np.float32)
     x = weighted(counts, idf)
     rng = np.random.default_rng(seed)
-    rank = min(RANK, len(rows))
+    rank = min(RANK, len(labels))
     basis = np.linalg.qr(x.T @ (x @ rng.normal(size=(TERMS, rank)).astype(np.float32)))[0]
     for _ in range(4):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
@@ -117,8 +120,12 @@ def fit(rows: list[tuple[str, int]], share_of_ones: float, seed: int = 5) -> Spa
     return Space(idf, axes, unit(x @ axes).astype(np.float32), labels, weights, float(share_of_ones))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[tuple[str, int]], float]:
-    """At most ``per_label`` rows of each label, chosen by a hash of the id, and the share of label 1 among all."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, float]:
+    """Term counts and labels of at most ``per_label`` ids of each label, chosen by a hash of the id, and the share of label 1 among all.
+
+    Texts are counted in the tasks; rows that repeat an id add at most as many
+    rows again as there are, and a null label, or one but 0 and 1, is left out.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total, chosen = sum(counts.values()), None
@@ -129,10 +136,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_
         part = part.orderBy("h").limit(per_label).select("doc_id", "quality")
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return [], 0.5
+        return np.zeros((0, TERMS), np.float32), np.zeros(0), 0.5
     # Two samples of at most per_label ids each, so this side may be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("h"))
-    return [(r[0], r[1]) for r in rows.orderBy("h", "quality").limit(4 * per_label).select("text", "quality").collect()], counts.get(1, 0) / total
+    small_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms(body) for body in texts(batch)]
+            at = [np.flatnonzero(c).astype(np.int32) for c in found]
+            n = [c[i] for c, i in zip(found, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32())), batch.column(1).cast(pa.int32()), batch.column(2)], ["at", "n", "quality", "h"])
+
+    bags = rows.mapInArrow(count, "at array<int>, n array<float>, quality int, h long").orderBy("h", "quality").limit(4 * per_label).collect()
+    dense = np.zeros((len(bags), TERMS), np.float32)
+    for row, r in zip(dense, bags, strict=True):
+        row[r["at"]] = r["n"]
+    return dense, np.array([r["quality"] for r in bags], np.float64), counts.get(1, 0) / total
 
 
 def score(docs: DataFrame, space: Space | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -140,9 +160,10 @@ def score(docs: DataFrame, space: Space | None, keep: tuple[str, ...] = ("doc_id
 
     A null text counts as empty; with no term in common with any labelled row
     the score is the share of label 1, and 0.5 if there is nothing to learn from.
-    Kept columns of the two new names are replaced by them.
+    Rows that repeat are scored alike; of equally near neighbours any may vote. Kept columns of the two new names are replaced by them.
     """
     keep = tuple(c for c in keep if c not in ("score", "predicted"))
+    held = {c: f"__in{i}" for i, c in enumerate(keep)}
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
@@ -168,13 +189,13 @@ def score(docs: DataFrame, space: Space | None, keep: tuple[str, ...] = ("doc_id
             at = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [*(batch.schema.names[i] for i in at), "score", "predicted"])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes), "score double, predicted int"])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{held[c]} {t}" for c, t in docs.select(*keep).dtypes), "score double, predicted int"])
+    found = docs.select(*(F.col(c).alias(o) for c, o in held.items()), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return found.withColumnsRenamed({o: c for c, o in held.items()})
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    rows, share = labelled_sample(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
-    found = score(docs, fit(rows, share))
+    found = score(docs, fit_counts(*labelled_sample(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
