@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenarc.llm import brown, exact_dedup, imatch, jaccard_join, language_id, line_dedup, mixing, packing, quality, url_filter
 from lumenarc.runtime import Workspace
@@ -71,6 +72,20 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_chains_texts_that_share_a_key(spark):
+    rows = [(i, f"text {i % 7}") for i in range(200)] + [(200 + i, "hot") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one_key = lambda body: F.shiftleft(F.pmod(F.length(body), F.lit(2)).cast("long"), 60)
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(t, []).append(i)
+    for capacity in (1, 1000):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, capacity=capacity, key=one_key).collect()}
+        assert got == {i: (max(by_text[t]), len(by_text[t]), i == max(by_text[t])) for i, t in rows}
+    index, _, _ = exact_dedup.build_index(docs, capacity=1, key=one_key)
+    assert sorted(r["chain"] for r in index.collect()) == [1, 1, 2, 3, 4, 5, 6, 7]
+
+
 def test_directory_splits_until_buckets_fit():
     slots = exact_dedup.directory({0: 5, 1: 5, 1 << 15: 3}, 6)
     assert len(slots) == 1 << 16 and slots[0] != slots[1] and slots[-1] == slots[1 << 15]
@@ -91,6 +106,26 @@ def test_url_filter_against_brute_force(spark):
         assert got[i] == (host, path, fit[1], fit[2]), url
 
 
+def test_url_filter_stack_of_nested_rules(spark):
+    rules = [("com", "", "block"), ("example.com", "/q", "allow"), ("example.com", "", "allow"), ("a.example.com", "", "block"), ("a.example.com", "/q/r", "allow"), ("b.c.org", "/x", "block"), ("", "", "block"), ("COM", "", "allow")]
+    hosts = ["com", "x.community", "example.com", "a.example.com", "z.a.example.com", "notexample.com", "b.c.org", "q.b.c.org", "c.org", "a\x01b.com", "", "com.", "e.xample.com"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/q", "/q/r/s", "/x")] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, table).collect()}
+    best = {}
+    for h, p, v in rules:
+        best[h.lower(), p] = max(v, best.get((h.lower(), p), ""))
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1]
+        host, slash, path = rest.partition("/")
+        path = slash + path
+        fit = max(((len(h + p), h + p, v) for (h, p), v in best.items() if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None, "allow"))
+        assert got[i] == fit[1:], url
+    assert url_filter.judge(pages.limit(0), table).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(pages, table.limit(0)).collect()} == {"allow"}
+
+
 def test_imatch_edits_and_equal_texts(odd, none):
     words = imatch.lexicon(odd, min_share=0.1, max_share=0.9)
     got = imatch.with_next(odd, words, parts=3).collect()
