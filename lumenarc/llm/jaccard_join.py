@@ -1,26 +1,30 @@
 """Exact Jaccard join of n-gram sets in metric space.
 
 Jaccard distance is a metric, so distances to pivots bound distances between
-documents. Texts make one thing of it hard: two documents without a common
-n-gram are at distance 1 from each other and from nearly every pivot, so
-Voronoi regions of document pivots alone would hold everything (README has
-figures). The join therefore goes down two levels.
-
-1. Pivots of the first level are parts of the n-gram universe. By size, sets
-   fall into classes; a class cuts the universe into more parts than two
-   linked sets of it can differ in n-grams, so linked sets agree in one part
-   altogether: they are at distance 0 there and meet. Parts of one or two
-   n-grams don't count; a set whose parts that agree could all be such also
-   meets others by its first n-grams, as in prefix filtering. Sets that meet, directly or through others, form a
-   region. No link leaves a region.
-2. In a region, pivots are documents. All are measured against them, links to
-   pivots join components, documents go to the Voronoi region of their nearest
-   pivot and to each other one that the triangle inequality allows for a link
-   (distance at most the nearest's plus twice the link's), and those regions
-   join likewise until they are small and compared at all pairs. Pairs that
-   are already in one component need no comparison.
-
-Regions above ``REGION`` sets are compared in blocks over many tasks.
+documents. One thing of texts defeats Voronoi regions of the whole table: two
+documents without a common n-gram are at distance 1 from each other and from
+nearly every pivot, so the window around a region's border holds nearly all
+documents (the README has figures). The join therefore has two parts.
+
+1. A filter by signatures, which is no part of the metric method, divides the
+   table into regions that no link leaves. By size, sets fall into classes; a
+   class cuts the universe of n-grams into more parts than two linked sets of
+   it can differ in n-grams, so linked sets agree in one part altogether, and
+   meet there. Parts of one or two n-grams don't count; a set whose parts that
+   agree could all be such also meets others by its first n-grams, as in prefix
+   filtering. Sets that meet, directly or through others, form a region.
+2. Within a region, pivots are documents. All are measured against them, and
+   links to pivots join components. A document goes to the Voronoi region of
+   its nearest pivot and to each other one that the triangle inequality allows
+   for a link (distance at most the nearest's plus twice the link's, and less
+   than 1); documents that are so far from all pivots that a link may lead to
+   one at distance 1 from them also share a region of their own. These regions
+   join likewise until they are small; pairs that are in one component already
+   need no comparison.
+
+Regions above ``REGION`` sets, which bounds a task's memory, are divided in
+rounds of distributed steps; smaller ones in one task. Regions that pivots do
+not make smaller are compared in blocks, each pair of blocks in its own task.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenarc.llm.common import mix, small_batches, table, texts
@@ -45,10 +49,12 @@ from lumenarc.runtime import Workspace
 CLASS_RATIO = 1.3
 #: N-grams up to which a part can count as thin: so little in common says nothing.
 THIN = 2
-#: Sets of a region that one task compares; beyond, blocks of half as many.
-REGION = 8192
+#: Sets of a region that one task holds.
+REGION = 1024
 #: Sets that are compared at all pairs.
-LEAF = 64
+LEAF = 8
+#: Pivots of a region in one task, and in a distributed step; steps; share of a region at which one of its parts counts as not smaller.
+PIVOTS, WIDE_PIVOTS, STEPS, SHRINK = 6, 24, 6, 0.9
 #: Sets below this size carry a profile.
 PROFILED = 256
 #: Sets of one cell up to which its pairs are told apart by size and profile; larger cells stay whole.
@@ -189,6 +195,19 @@ class Forest:
         return all(self.find(int(i)) == first for i in members)
 
 
+def windows(far: np.ndarray, reach: float) -> np.ndarray:
+    """Which members (columns) belong to each pivot's region (rows) and, in a last row, to the one beyond all pivots.
+
+    If o is linked to q and o's nearest pivot is at less than 1 - reach, the
+    triangle inequality puts q at most twice the reach beyond its own nearest
+    from that pivot, and below 1; so both are in its region. Otherwise both are
+    that far from all pivots, and in the last row.
+    """
+    nearest = far.min(0)
+    near = (far <= nearest + 2 * reach + 1e-9) & (far < 1)
+    return np.vstack([near, nearest >= 1 - reach - 1e-9])
+
+
 class Region:
     """Sets of one region; ``join`` links what is near, directly or through others."""
 
@@ -222,15 +241,12 @@ class Region:
         if len(members) <= LEAF or depth > 12:
             return self.pairs(members)
         rng = np.random.default_rng(len(members) + depth)
-        pivots = rng.choice(members, 6, replace=False)
+        pivots = rng.choice(members, min(PIVOTS, len(members) // 2), replace=False)
         far = self.measure(pivots, members)
         if self.forest.single(members):
             return None
-        nearest = far.min(0)
-        # The triangle inequality: a link to a set whose nearest pivot is q needs d(o, q) <= d(o, nearest) + 2 * reach.
-        reach = float(1 - self.t)
-        cells = [members[far[k] <= nearest + 2 * reach + 1e-9] for k in range(len(pivots))]
-        if max(map(len, cells)) > 0.8 * len(members):
+        cells = [members[own] for own in windows(far, float(1 - self.t))]
+        if max(map(len, cells)) > SHRINK * len(members):
             return self.pairs(members)
         for cell in cells:
             self.join(cell, depth + 1)
@@ -397,13 +413,12 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
     """Edges (a, b) of set keys that connect what exact links connect, region by region.
 
     A region of at most ``REGION`` sets goes to one task. A larger one is
-    dealt into blocks by a hash of the set; each pair of blocks goes to a task
-    of its own, after all blocks were measured against the region's pivots.
+    divided by ``divide`` until all parts are small, or of one component, or
+    go to ``blocks``.
     """
     spark = given.sparkSession
     num, den = threshold.numerator, threshold.denominator
-    sizes = live.groupBy("region").agg(F.count("*").alias("members"))
-    placed = live.join(sizes, "region").select("key", "region", "members", F.col("least").alias("id"))
+    placed = live.select("key", "region", F.col("least").alias("id"))
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The n-gram sets of the region's documents; rows that share an id but not the set are left out."""
@@ -414,12 +429,12 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
                 if s.size and set_key(s) == key:
                     keep.append(i), out.append(s.tobytes())
             rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(out, pa.binary())], ["key", "region", "members", "grams"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.binary())], ["key", "unit", "grams"])
 
     # The bitmap only spares texts the shuffle; the join is exact.
     wanted = maybe_in(given, "doc_id", bitmap(live.select("least"), "least"))
-    brought = wanted.join(placed, F.col("doc_id") == F.col("id")).select("key", "region", "members", "text").mapInArrow(bring, "key long, region long, members long, grams binary")
-    brought = work.save(brought, "grams")
+    brought = wanted.join(placed, F.col("doc_id") == F.col("id")).select("key", F.col("region").cast("string").alias("region"), "text").mapInArrow(bring, "key long, unit string, grams binary")
+    now = work.save(brought, "grams").dropDuplicates(["unit", "key"]).withColumn("component", F.lit(None).cast("long")).withColumn("parent", F.lit(None).cast("long"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by unit: joins each unit's sets and returns a forest of links."""
@@ -436,64 +451,107 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for u, key, grams, component in zip(*columns, *([[None] * batch.num_rows] if len(columns) == 3 else []), strict=True):
+            for u, key, grams, component in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if u != unit:
                     if len(sets) > 1:
                         yield out()
                     unit, keys, sets, known = u, [], [], []
-                elif keys and keys[-1] == key:
-                    continue  # the same row twice
                 keys.append(key), sets.append(np.frombuffer(grams, np.uint64)), known.append(component)
         if len(sets) > 1:
             yield out()
 
     def joined(units: DataFrame) -> DataFrame:
-        return units.select("unit", "key", "grams", *(["component"] if "component" in units.columns else [])).repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(solve, "a long, b long")
-
-    small = joined(brought.filter(F.col("members") <= REGION).withColumn("unit", F.col("region").cast("string")))
-    large = brought.filter(F.col("members") > REGION).dropDuplicates(["key"])
-    if large.limit(1).count() == 0:
-        return work.save(small, "near")
-    # Pivots: each block joins itself first; the least set of each component in it stands for it at the next step
-    # only as to components. Pairs of blocks are compared wherever they are not one component yet.
-    half = REGION // 2
-    blocks = F.ceil(F.col("members") / half).cast("long")
-    blocked = large.withColumn("block", F.pmod(F.xxhash64(F.lit(29), "key"), blocks))
-    first = work.save(small.unionByName(joined(blocked.withColumn("unit", F.concat_ws("/", "region", "block")))).unionByName(to_pivots(blocked, num, den)), "near-first")
-    labels = connected_components(first, work, "near-first-cc").withColumnRenamed("node", "key")
-    labelled = work.save(blocked.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key")), "blocked")
-    main = labelled.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("component", "n").alias("main"))
-    labelled = labelled.join(main, "region").withColumn("rest", F.col("component") != F.col("main"))
-    # The sets outside a region's main component get blocks of their own; each meets every block of the region.
-    outside = labelled.filter("rest").groupBy("region").agg(F.ceil(F.count("*") / half).cast("int").alias("rest_blocks"))
-    labelled = labelled.join(outside, "region")
-    ones = labelled.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)))
-    ones = ones.withColumn("unit", F.concat_ws("/", "region", "block", "against"))
-    others = labelled.filter("rest").withColumn("own", F.pmod(F.xxhash64(F.lit(37), "key"), F.col("rest_blocks")))
-    others = others.withColumn("with", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))).withColumn("unit", F.concat_ws("/", "region", "with", "own"))
-    units = ones.select("unit", "key", "grams", "component").unionByName(others.select("unit", "key", "grams", "component")).dropDuplicates(["unit", "key"])
-    return work.save(first.unionByName(joined(units)), "near")
-
-
-def to_pivots(blocked: DataFrame, num: int, den: int, pivots: int = 16) -> DataFrame:
-    """Links of all sets of large regions to ``pivots`` sets of their region."""
-    chosen = blocked.withColumn("h", F.xxhash64(F.lit(31), "key")).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("h") % F.greatest(F.lit(1), (F.col("members") / (4 * pivots)).cast("long")) == 0, F.struct("h", "key", "grams")))), 1, pivots).alias("pivots"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Fraction(num, den)
+        return units.select("unit", "key", "grams", "component").repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(solve, "a long, b long")
+
+    found = None
+    for step in range(STEPS + 1):
+        sizes = work.save(now.groupBy("unit").agg(F.count("*").alias("members"), F.max("parent").alias("parent")), f"sizes-{step}")
+        largest = sizes.agg(F.max("members")).first()[0] or 0
+        sized = now.drop("parent").join(sizes, "unit")
+        links = joined(sized.filter(F.col("members") <= REGION))
+        if largest > REGION:
+            large = sized.filter(F.col("members") > REGION)
+            stuck = F.col("members") > SHRINK * F.coalesce("parent", F.lit(1 << 62)) if step < STEPS else F.lit(True)
+            links = links.unionByName(joined(blocks(large.filter(stuck))))
+            divided = work.save(divide(large.filter(~stuck), threshold, step), f"divided-{step}")
+            links = links.unionByName(divided.filter("cell = -1").select(F.col("key").alias("a"), F.col("other").alias("b")))
+        found = work.save(links if found is None else links.unionByName(found), f"near-{step}")
+        if largest <= REGION or step == STEPS:
+            return found
+        # Parts of one component need no further comparison.
+        labels = connected_components(found, work, f"near-cc-{step}").withColumnRenamed("node", "key")
+        parts = divided.filter("cell >= 0").select(F.concat_ws("/", "unit", "cell").alias("unit"), "key", "grams", "parent").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        open_ = parts.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("unit")
+        now = work.save(parts.join(open_, "unit", "left_semi"), f"parts-{step}")
+    raise AssertionError("the last step returns")
+
+
+def divide(large: DataFrame, threshold: Fraction, step: int) -> DataFrame:
+    """One step of Voronoi regions of units too large for a task.
+
+    Rows unit, cell >= 0, key, grams, parent (the unit's size): a set and a
+    region it belongs to; rows with cell -1, key, other: links to pivots. The
+    sets of a unit are measured in parts of ``REGION``, each beside a copy of
+    the unit's ``WIDE_PIVOTS`` pivots.
+    """
+    draw = F.xxhash64(F.lit(31 + step), "key")
+    few = large.filter(F.shiftrightunsigned(draw, 33) < F.lit(4.0 * WIDE_PIVOTS * (1 << 31)) / F.col("members"))
+    place = F.row_number().over(Window.partitionBy("unit").orderBy(draw))
+    ways = F.ceil(F.col("members") / REGION).cast("int")
+    pivots = few.withColumn("place", place).filter(F.col("place") <= WIDE_PIVOTS).withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    members = large.withColumn("way", F.pmod(F.xxhash64(F.lit(29), "key"), ways).cast("int")).withColumn("place", F.lit(0))
+    columns = ["unit", "way", F.col("place") == 0, "key", "grams", "members"]
+    rows = pivots.select(*columns).toDF("unit", "way", "member", "key", "grams", "members").unionByName(members.select(*columns).toDF("unit", "way", "member", "key", "grams", "members"))
+    reach, t = float(1 - threshold), threshold
+    names = ["unit", "cell", "key", "grams", "parent", "other"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, sets, held = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            region = Region(sets + [np.frombuffer(g, np.uint64) for _, g, _ in held], t)
+            mine = np.arange(len(sets), len(sets) + len(held))
+            n = region.common(np.arange(len(sets)), mine)
+            a, b = region.sizes[: len(sets)][:, None], region.sizes[mine][None]
+            rows = [(at[0], -1, held[j][0], None, None, keys[k]) for k, j in zip(*np.nonzero(linked(n, a, b, t)), strict=True) if held[j][0] != keys[k]]
+            rows += [(at[0], int(c), held[j][0], held[j][1], held[j][2], None) for c, j in zip(*np.nonzero(windows(1 - n / (a + b - n), reach)), strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            a, b = [], []
-            for key, grams, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                s = np.frombuffer(grams, np.uint64)
-                for p in own:
-                    q = np.frombuffer(p["grams"], np.uint64)
-                    n = np.intersect1d(s, q, assume_unique=True).size
-                    if p["key"] != key and linked(np.int64(n), np.int64(s.size), np.int64(q.size), t):
-                        a.append(key), b.append(p["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return blocked.join(chosen, "region").select("key", "grams", "pivots").mapInArrow(near, "a long, b long")
+            for unit, way, member, key, grams, members in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (unit, way) != at:
+                    if held:
+                        yield out()
+                    at, keys, sets = (unit, way), [], []
+                if member:
+                    held.append((key, grams, members))
+                    if len(held) == 256:
+                        yield out()
+                else:
+                    keys.append(key), sets.append(np.frombuffer(grams, np.uint64))
+        if held:
+            yield out()
+
+    dealt = rows.repartition("unit", "way").sortWithinPartitions("unit", "way", "member", "key")
+    return dealt.mapInArrow(measure, "unit string, cell int, key long, grams binary, parent long, other long")
+
+
+def blocks(large: DataFrame) -> DataFrame:
+    """Units that pivots don't make smaller, as units of at most REGION sets: each pair of blocks meets, but for pairs inside the largest component."""
+    half = REGION // 2
+    named = large.withColumn("component", F.coalesce("component", "key"))
+    main = named.groupBy("unit", "component").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    named = named.join(main, "unit").withColumn("rest", F.col("component") != F.col("main"))
+    counts = named.groupBy("unit").agg(F.ceil(F.count_if("rest") / half).cast("int").alias("outer"), F.ceil(F.count("*") / half).cast("int").alias("all"))
+    named = named.join(counts.filter(F.col("outer") > 0), "unit")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(37), "key"), F.col(n)).cast("int")
+    unit = F.concat_ws("/", "unit", "x", "y")
+    ones = named.withColumn("x", own("all")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
+    others = named.filter("rest").withColumn("y", own("outer")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    columns = [unit.alias("unit"), "key", "grams", "component"]
+    return ones.select(*columns).unionByName(others.select(*columns)).dropDuplicates(["unit", "key"])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,15 +51,40 @@ def brute_components(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "t", "region"), [(4, Fraction(85, 100), 8192), (5, Fraction(8, 10), 8192), (4, Fraction(85, 100), 2)])
-def test_jaccard_join_finds_all_links(spark, monkeypatch, k, t, region):
+@pytest.mark.parametrize(("k", "t", "region", "shrink"), [(4, Fraction(85, 100), 1024, 0.9), (5, Fraction(8, 10), 1024, 0.9), (4, Fraction(85, 100), 2, 0.9), (4, Fraction(85, 100), 2, 0.0)])
+def test_jaccard_join_finds_all_links(spark, monkeypatch, k, t, region, shrink):
     monkeypatch.setattr(jaccard_join, "REGION", region)
+    monkeypatch.setattr(jaccard_join, "SHRINK", shrink)  # 0: all large regions end in blocks
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute_components([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], k, t.numerator, t.denominator)
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(docs, k, t).collect()}
     assert got == want
 
 
+def test_voronoi_regions_lose_no_link_and_do_divide():
+    rng = np.random.default_rng(3)
+    sets, families = [], 60
+    for f in range(families):
+        base = rng.choice(1 << 40, 80, replace=False)
+        shared = rng.choice(1 << 20, 40) + (f % 4 << 30)  # families overlap in fours, below the threshold
+        for _ in range(int(rng.integers(1, 12))):
+            own = np.concatenate([base, shared, rng.choice(1 << 50, int(rng.integers(0, 14)))])
+            sets.append(np.unique(own.astype(np.uint64)))
+    t = Fraction(85, 100)
+    region, called = jaccard_join.Region(sets, t), []
+    inner = region.join
+    region.join = lambda members, depth=0: (called.append((depth, len(members))), inner(members, depth))[1]
+    region.join(np.arange(len(sets)))
+    plain = jaccard_join.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            n = np.intersect1d(sets[i], sets[j]).size
+            if 100 * n >= 85 * (sets[i].size + sets[j].size - n):
+                plain.join(i, j)
+    assert [region.forest.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
+    assert max(d for d, _ in called) >= 2 and sum(n for d, n in called if d == 1) < 4 * len(sets)
+
+
 def test_jaccard_join_odd_rows(odd, none):
     got = sorted(((r[0], r[2]) for r in jaccard_join.near_duplicates(odd, 4, Fraction(85, 100)).collect()), key=str)
     assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1), (6, 1), (None, None), (8, 8), (9, 9)], key=str)
