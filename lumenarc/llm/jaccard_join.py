@@ -53,8 +53,10 @@ THIN = 2
 REGION = 1024
 #: Sets that are compared at all pairs.
 LEAF = 8
-#: Pivots of a region in one task, and in a distributed step; steps; share of a region at which one of its parts counts as not smaller.
-PIVOTS, WIDE_PIVOTS, STEPS, SHRINK = 6, 24, 6, 0.9
+#: In one task a pivot for so many sets of a region, at most so many pivots; pivots of a distributed step; steps.
+SETS_PER_PIVOT, PIVOTS, WIDE_PIVOTS, STEPS = 8, 64, 32, 6
+#: A region's parts are used only if the largest has at most this share of its sets, and all together at most this multiple: else recursion would cost more than pairs.
+SHRINK, SPREAD = 0.8, 1.5
 #: Sets below this size carry a profile.
 PROFILED = 256
 #: Sets of one cell up to which its pairs are told apart by size and profile; larger cells stay whole.
@@ -241,12 +243,12 @@ class Region:
         if len(members) <= LEAF or depth > 12:
             return self.pairs(members)
         rng = np.random.default_rng(len(members) + depth)
-        pivots = rng.choice(members, min(PIVOTS, len(members) // 2), replace=False)
+        pivots = rng.choice(members, min(PIVOTS, max(2, len(members) // SETS_PER_PIVOT)), replace=False)
         far = self.measure(pivots, members)
         if self.forest.single(members):
             return None
         cells = [members[own] for own in windows(far, float(1 - self.t))]
-        if max(map(len, cells)) > SHRINK * len(members):
+        if max(map(len, cells)) > SHRINK * len(members) or sum(map(len, cells)) > SPREAD * len(members):
             return self.pairs(members)
         for cell in cells:
             self.join(cell, depth + 1)
@@ -434,7 +436,7 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
     # The bitmap only spares texts the shuffle; the join is exact.
     wanted = maybe_in(given, "doc_id", bitmap(live.select("least"), "least"))
     brought = wanted.join(placed, F.col("doc_id") == F.col("id")).select("key", F.col("region").cast("string").alias("region"), "text").mapInArrow(bring, "key long, unit string, grams binary")
-    now = work.save(brought, "grams").dropDuplicates(["unit", "key"]).withColumn("component", F.lit(None).cast("long")).withColumn("parent", F.lit(None).cast("long"))
+    now = work.save(brought, "grams").dropDuplicates(["unit", "key"]).withColumn("component", F.lit(None).cast("long"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by unit: joins each unit's sets and returns a forest of links."""
@@ -464,34 +466,39 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
         return units.select("unit", "key", "grams", "component").repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(solve, "a long, b long")
 
     found = None
+    now = now.withColumn("stuck", F.lit(False))
     for step in range(STEPS + 1):
-        sizes = work.save(now.groupBy("unit").agg(F.count("*").alias("members"), F.max("parent").alias("parent")), f"sizes-{step}")
+        sizes = work.save(now.groupBy("unit").agg(F.count("*").alias("members")), f"sizes-{step}")
         largest = sizes.agg(F.max("members")).first()[0] or 0
-        sized = now.drop("parent").join(sizes, "unit")
+        sized = now.join(sizes, "unit")
         links = joined(sized.filter(F.col("members") <= REGION))
         if largest > REGION:
             large = sized.filter(F.col("members") > REGION)
-            stuck = F.col("members") > SHRINK * F.coalesce("parent", F.lit(1 << 62)) if step < STEPS else F.lit(True)
+            stuck = F.col("stuck") if step < STEPS else F.lit(True)
             links = links.unionByName(joined(blocks(large.filter(stuck))))
             divided = work.save(divide(large.filter(~stuck), threshold, step), f"divided-{step}")
             links = links.unionByName(divided.filter("cell = -1").select(F.col("key").alias("a"), F.col("other").alias("b")))
         found = work.save(links if found is None else links.unionByName(found), f"near-{step}")
         if largest <= REGION or step == STEPS:
             return found
-        # Parts of one component need no further comparison.
+        # Units whose parts overlap too much, or one of which is hardly smaller, go on as they are, to blocks.
+        parts = divided.filter("cell >= 0").groupBy("unit", "cell").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+        wide = parts.groupBy("unit").agg(((F.sum("n") > SPREAD * F.max("members")) | (F.max("n") > SHRINK * F.max("members"))).alias("wide"))
+        cells = divided.filter("cell >= 0").join(wide, "unit").select("unit", "key", F.when(F.col("wide"), 0).otherwise(F.col("cell")).alias("cell"), "wide").distinct()
         labels = connected_components(found, work, f"near-cc-{step}").withColumnRenamed("node", "key")
-        parts = divided.filter("cell >= 0").select(F.concat_ws("/", "unit", "cell").alias("unit"), "key", "grams", "parent").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        open_ = parts.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("unit")
-        now = work.save(parts.join(open_, "unit", "left_semi"), f"parts-{step}")
+        held = large.filter(~stuck).select("unit", "key", "grams").join(cells, ["unit", "key"]).join(labels, "key", "left")
+        held = held.select(F.concat_ws("/", "unit", "cell").alias("unit"), "key", "grams", F.coalesce("component", "key").alias("component"), F.col("wide").alias("stuck"))
+        # Parts of one component need no further comparison.
+        open_ = held.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("unit")
+        now = work.save(held.join(open_, "unit", "left_semi"), f"parts-{step}")
     raise AssertionError("the last step returns")
 
 
 def divide(large: DataFrame, threshold: Fraction, step: int) -> DataFrame:
     """One step of Voronoi regions of units too large for a task.
 
-    Rows unit, cell >= 0, key, grams, parent (the unit's size): a set and a
-    region it belongs to; rows with cell -1, key, other: links to pivots. The
-    sets of a unit are measured in parts of ``REGION``, each beside a copy of
+    Rows unit, cell >= 0, key, members (the unit's size): a set and a region it
+    belongs to; rows with cell -1, key, other: links to pivots. The sets of a unit are measured in parts of ``REGION``, each beside a copy of
     the unit's ``WIDE_PIVOTS`` pivots.
     """
     draw = F.xxhash64(F.lit(31 + step), "key")
@@ -503,8 +510,8 @@ def divide(large: DataFrame, threshold: Fraction, step: int) -> DataFrame:
     columns = ["unit", "way", F.col("place") == 0, "key", "grams", "members"]
     rows = pivots.select(*columns).toDF("unit", "way", "member", "key", "grams", "members").unionByName(members.select(*columns).toDF("unit", "way", "member", "key", "grams", "members"))
     reach, t = float(1 - threshold), threshold
-    names = ["unit", "cell", "key", "grams", "parent", "other"]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["unit", "cell", "key", "members", "other"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, sets, held = None, [], [], []
@@ -514,8 +521,8 @@ def divide(large: DataFrame, threshold: Fraction, step: int) -> DataFrame:
             mine = np.arange(len(sets), len(sets) + len(held))
             n = region.common(np.arange(len(sets)), mine)
             a, b = region.sizes[: len(sets)][:, None], region.sizes[mine][None]
-            rows = [(at[0], -1, held[j][0], None, None, keys[k]) for k, j in zip(*np.nonzero(linked(n, a, b, t)), strict=True) if held[j][0] != keys[k]]
-            rows += [(at[0], int(c), held[j][0], held[j][1], held[j][2], None) for c, j in zip(*np.nonzero(windows(1 - n / (a + b - n), reach)), strict=True)]
+            rows = [(at[0], -1, held[j][0], None, keys[k]) for k, j in zip(*np.nonzero(linked(n, a, b, t)), strict=True) if held[j][0] != keys[k]]
+            rows += [(at[0], int(c), held[j][0], held[j][2], None) for c, j in zip(*np.nonzero(windows(1 - n / (a + b - n), reach)), strict=True)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -535,7 +542,7 @@ def divide(large: DataFrame, threshold: Fraction, step: int) -> DataFrame:
             yield out()
 
     dealt = rows.repartition("unit", "way").sortWithinPartitions("unit", "way", "member", "key")
-    return dealt.mapInArrow(measure, "unit string, cell int, key long, grams binary, parent long, other long")
+    return dealt.mapInArrow(measure, "unit string, cell int, key long, members long, other long")
 
 
 def blocks(large: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def brute_components(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "t", "region", "shrink"), [(4, Fraction(85, 100), 1024, 0.9), (5, Fraction(8, 10), 1024, 0.9), (4, Fraction(85, 100), 2, 0.9), (4, Fraction(85, 100), 2, 0.0)])
+@pytest.mark.parametrize(("k", "t", "region", "shrink"), [(4, Fraction(85, 100), 1024, 0.8), (5, Fraction(8, 10), 1024, 0.8), (4, Fraction(85, 100), 2, 0.8), (4, Fraction(85, 100), 2, 0.0)])
 def test_jaccard_join_finds_all_links(spark, monkeypatch, k, t, region, shrink):
     monkeypatch.setattr(jaccard_join, "REGION", region)
     monkeypatch.setattr(jaccard_join, "SHRINK", shrink)  # 0: all large regions end in blocks
