@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ PREFERRED_EXTENSION = {"image/jpeg": "jpg", "image/png": "png", "image/gif": "gi
 RESTORABLE = ["jpg", "png", "gif", "mp4", "mov", "avi", "mp"]
 SIDECAR_SUFFIX = ".supplemental-metadata"
 NAME_LIMIT = 51
+SIZE_LIMIT = 64 << 20
+RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{port}{n}" for port in ("COM", "LPT") for n in range(1, 10))]
 
 
 def base_name(path: Column) -> Column:
@@ -56,8 +60,35 @@ def in_year_folder(path: Column) -> Column:
 
 
 def is_edited(name: Column) -> Column:
+    """Also where the name writes an accent as a character of its own, as some file systems do."""
     plain = F.lower(stem(name))
-    return F.exists(F.array(*map(F.lit, EDITED_SUFFIXES)), lambda suffix: plain.endswith(suffix))
+    apart = [unicodedata.normalize("NFD", s) for s in EDITED_SUFFIXES]
+    return F.exists(F.array(*map(F.lit, dict.fromkeys(EDITED_SUFFIXES + apart))), lambda suffix: plain.endswith(suffix))
+
+
+def without_extra(name: Column) -> Column:
+    """The name before an edit: by the complete ending; else by a partial one; else a film's still; else by the edge case."""
+    film = is_edited(name) & extension(name).isin("mp4", "mov", "avi")
+    still = F.concat(F.regexp_replace(stem(name), ends_with_edit(99), ""), F.lit(".jpg"))
+    tried = [without_edit(name), without_partial_edit(name), F.when(film, still).otherwise(name), without_edge_edit(name)]
+    return F.coalesce(*(F.when(t != name, t) for t in tried), name)
+
+
+def too_large(size: Column, enforced: Column, limit: int = SIZE_LIMIT) -> Column:
+    """Beyond the limit, if the limit is enforced."""
+    return enforced & (size > limit)
+
+
+def zip_entry_name(path: Column) -> Column:
+    """Segments without characters and endings that some systems refuse; a last one that is a device's name gets ``_file``."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    clean = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r'[<>:"|?*\x00-\x1f]', "_"), r"[. ]+$", ""))
+
+    def last(x: Column) -> Column:
+        return F.when(F.upper(stem(x)).isin(RESERVED_NAMES), F.concat(stem(x), F.lit("_file"), F.regexp_extract(x, r"^.+(\.[^.]*)$", 1))).otherwise(x)
+
+    named = F.transform(clean, lambda x, i: F.when(i == F.size(clean) - 1, last(x)).otherwise(x))
+    return F.array_join(F.transform(named, lambda x: F.when(x == "", "_").otherwise(x)), "/")
 
 
 def special_folder(path: Column) -> Column:

@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from lumenarc.functions import names
 
 
+#: Distinct shared sizes up to which they are broadcast: 8 bytes each.
+SIZES_BROADCAST = 2_000_000
+
+
+def of_shared_size(files: DataFrame) -> DataFrame:
+    """The files whose size another file has too: all others have a content of their own, which need not be read.
+
+    The sizes of a scan come without any content. So many that they are not
+    broadcast leave all files in: then hashing is cheaper than shuffling contents.
+    """
+    shared = files.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
+    return files.join(F.broadcast(shared), "size", "left_semi") if shared.count() <= SIZES_BROADCAST else files
+
+
 def content_groups(files: DataFrame, by_ext: bool = False, content: str = "text") -> DataFrame:
     """sha256, size (and ext) of contents that several files have, members and wasted bytes.
 
-    Only (size, hash) is shuffled, combined before the shuffle; contents never are.
+    Sizes come first; only contents of a size that several files have are
+    hashed. Only (size, hash) is shuffled, combined before; contents never are.
     """
+    files = of_shared_size(files)
     keys = ["size", "sha256", *(["ext"] if by_ext else [])]
     hashed = files.withColumn("sha256", F.sha2(F.col(content), 256)).select(*keys)
     groups = hashed.groupBy(*keys).agg(F.count("*").alias("members")).filter("members > 1")
@@ -26,8 +42,23 @@ def head_groups(files: DataFrame, head: int, content: str = "text") -> DataFrame
 
 
 def keeper_order() -> list[Column]:
-    """Shorter name, then no album, then shorter path, then the path."""
-    return [F.length("name"), (~names.is_year_folder(F.col("folder"))).cast("int"), F.length("path"), F.col("path"), F.col("file_id")]
+    """More accurate date, then shorter name, no album, shorter path, the path."""
+    return [F.coalesce("accuracy", F.lit(999)), F.length("name"), (~names.is_year_folder(F.col("folder"))).cast("int"), F.length("path"), F.col("path"), F.col("file_id")]
+
+
+def keepers(files: DataFrame, dated: DataFrame, content: str = "text") -> DataFrame:
+    """sha256, keeper, path: of each content the file that stays; a file without an accuracy comes last."""
+    hashed = files.select("file_id", "size", F.sha2(F.col(content), 256).alias("sha256"), "folder", "name", "path")
+    ranked = hashed.join(dated.select("file_id", "accuracy"), "file_id", "left")
+    first = F.row_number().over(Window.partitionBy("size", "sha256").orderBy(*keeper_order()))
+    return ranked.withColumn("n", first).filter("n = 1").select("sha256", F.col("file_id").alias("keeper"), "path")
+
+
+def identical(pairs: DataFrame, files: DataFrame, content: str = "text") -> DataFrame:
+    """pairs(a, b) of file ids with ``same``: equal sizes and equal contents."""
+    sides = [files.select(F.col("file_id").alias(x), F.col("size").alias(f"size_{x}"), F.sha2(F.col(content), 256).alias(f"sha_{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return both.select("a", "b", ((F.col("size_a") == F.col("size_b")) & (F.col("sha_a") == F.col("sha_b"))).alias("same"))
 
 
 def roles(files: DataFrame, content: str = "text") -> DataFrame:

@@ -11,10 +11,10 @@ ENTITY = ["size", "ext", "sha256"]
 
 
 def best_media(roles: DataFrame, dated: DataFrame) -> DataFrame:
-    """sha256, ext, best, albums: the file with the most accurate date, then the shorter path, then the lesser path."""
+    """sha256, ext, best, albums: the file with the most accurate date, then one in an album, then the shorter path, then the lesser path."""
     rows = roles.join(dated.select("file_id", "accuracy"), "file_id")
     album = F.when(~names.is_canonical(F.col("folder")), F.col("folder"))
-    order = F.struct("accuracy", F.length("path").alias("length"), "path", "file_id")
+    order = F.struct("accuracy", names.is_canonical(F.col("folder")).cast("int").alias("no_album"), F.length("path").alias("length"), "path", "file_id")
     return rows.groupBy(*ENTITY).agg(F.min_by("file_id", order).alias("best"), F.countDistinct(album).alias("albums")).select("sha256", "ext", "best", "albums")
 
 
@@ -86,6 +86,16 @@ def extension_fixes(files: DataFrame, skip_jpeg: bool = False) -> DataFrame:
     return rows.join(taken, ["folder", "new_name"], "left_anti").select("file_id", "mime", "new_name")
 
 
+def remaining(entities: DataFrame, merged_away: DataFrame) -> DataFrame:
+    """entities(entity, ..) without those that merged_away(entity) names."""
+    return entities.join(merged_away.select("entity"), "entity", "left_anti")
+
+
+def all_files(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The files of both lists, each (source, target, link) once."""
+    return one.unionByName(other).dropDuplicates(["source", "target", "link"])
+
+
 def replaced(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """rows(entity, ..) with each entity that mapping(old, new) merged away under its new name."""
     return rows.join(mapping, rows["entity"] == mapping["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")

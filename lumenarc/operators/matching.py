@@ -22,6 +22,8 @@ STRATEGIES = [
     ("no edge-case ending", names.without_edge_edit),
 ]
 BASIC = 6
+# Fixed value: types whose tags are read natively.
+NATIVE_TYPES = ["image/jpeg", "image/tiff", "image/heic", "image/png", "image/webp", "image/jxl"]
 
 
 def labelled(json_names: Column, strategy: str) -> Column:
@@ -53,12 +55,20 @@ def sidecar_names(name: Column, tryhard: bool = False) -> Column:
     return F.concat(*groups)
 
 
+def root_of(name: Column) -> Column:
+    """The start of a name that every strategy keeps: up to the first bracket, dot or dash, at most 12 characters."""
+    return F.left(F.regexp_extract(name, r"^[^(.\-]*", 0), F.lit(12))
+
+
 def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False) -> DataFrame:
     """file_id, json_name, strategy, body of the first sidecar name that exists in the file's folder.
 
-    The names are exploded per file with their rank and joined by equality, so
-    that the plan is one join on (folder, name) and one aggregate.
+    Files whose folder has no sidecar with the same root leave first. The names
+    of the others are exploded with their rank, each once, and joined by equality.
     """
+    rooted = sidecars.select("dir", root_of(F.col("json_name")).alias("root")).distinct()
+    near = files.select("file_id", "name", "folder", root_of(F.col("name")).alias("root"))
+    files = near.join(rooted, (near["folder"] == rooted["dir"]) & (near["root"] == rooted["root"]), "left_semi")
     wide = files.select("file_id", F.col("folder").alias("dir"), F.posexplode(sidecar_names(F.col("name"), tryhard)).alias("priority", "c")).select("file_id", "dir", "priority", "c.*")
     met = wide.join(sidecars, ["dir", "json_name"])
     best = met.groupBy("file_id").agg(F.min_by(F.struct("json_name", "strategy", "body"), F.struct("priority", "body")).alias("m"))
@@ -100,12 +110,45 @@ def sidecar_fields(matched: DataFrame) -> DataFrame:
     return matched.select("file_id", dates.from_epoch(get("$.photoTakenTime.timestamp")).alias("taken"), get("$.geoData.latitude").try_cast("double").alias("latitude"), get("$.geoData.longitude").try_cast("double").alias("longitude"), get("$.title").alias("title"), get("$.googlePhotosOrigin.fromPartnerSharing").isNotNull().alias("partner_shared"))
 
 
-def date_waterfall(files: DataFrame, fields: DataFrame, latest_year: int = 2026) -> DataFrame:
-    """file_id, taken, method, accuracy: the sidecar's date, else the name's, else the folder's."""
-    found = files.select("file_id", "folder", "name").join(fields.select("file_id", F.col("taken").alias("json_date")), "file_id", "left")
-    guess, year = dates.from_name(F.col("name")), dates.from_folder(F.col("folder"), latest_year)
-    found = found.withColumns({"guess": guess, "year": year})
-    method = F.when(F.col("json_date").isNotNull(), "json").when(F.col("guess").isNotNull(), "guess").when(F.col("year").isNotNull(), "folderYear").otherwise("none")
-    found = found.select("file_id", F.coalesce("json_date", "guess", "year").alias("taken"), method.alias("method"))
-    accuracy = F.coalesce(*(F.when(F.col("method") == m, F.lit(a)) for m, a in dates.ACCURACY.items()))
-    return found.withColumn("accuracy", accuracy)
+def method_dates(files: DataFrame, matched: DataFrame, exif: DataFrame, latest_year: int = 2026) -> DataFrame:
+    """file_id and the date that each method finds: json, exif, guess, jsonTryHard, folderYear.
+
+    ``matched`` has the best of all strategies; a match by one of the careful
+    ones is json, one by the bold ones jsonTryHard. ``exif`` is (file_id, raw).
+    """
+    taken = sidecar_fields(matched).select("file_id", F.col("taken").alias("sidecar")).join(matched.select("file_id", "strategy"), "file_id")
+    careful = F.col("strategy").isin([s for s, _ in STRATEGIES[:BASIC]])
+    rows = files.select("file_id", "folder", "name").join(taken, "file_id", "left").join(exif.select("file_id", dates.from_exif(F.col("raw")).alias("exif")), "file_id", "left")
+    found = {"json": F.when(careful, F.col("sidecar")), "exif": F.col("exif"), "guess": dates.from_name(F.col("name")), "jsonTryHard": F.when(~careful, F.col("sidecar")), "folderYear": dates.from_folder(F.col("folder"), latest_year)}
+    return rows.select("file_id", *(c.alias(m) for m, c in found.items()))
+
+
+def first_method(columns: dict[str, Column]) -> list[Column]:
+    """taken, method and accuracy: of the first method with a date; ``none`` and 99 without any."""
+    method = F.coalesce(*(F.when(c.isNotNull(), F.lit(m)) for m, c in columns.items()), F.lit("none"))
+    accuracy = F.coalesce(*(F.when(c.isNotNull(), F.lit(dates.ACCURACY[m])) for m, c in columns.items()), F.lit(dates.ACCURACY["none"]))
+    return [F.coalesce(*columns.values()).alias("taken"), method.alias("method"), accuracy.alias("accuracy")]
+
+
+def date_waterfall(found: DataFrame) -> DataFrame:
+    """file_id, taken, method, accuracy of method_dates: the first method that has one."""
+    return found.select("file_id", *first_method({m: F.col(m) for m in dates.METHODS[:-1]}))
+
+
+def entity_dates(roles: DataFrame, found: DataFrame) -> DataFrame:
+    """sha256, ext, taken, method, accuracy of each entity: method by method, its primary file first, then the others in rank.
+
+    EXIF is read of the primary alone; duplicates have no say.
+    """
+    rows = roles.filter("role <> 'duplicate'").join(found, "file_id")
+    first = lambda m: F.min_by(m, F.when(F.col(m).isNotNull(), F.col("entity_rank")))
+    own = {m: (F.max(F.when(F.col("role") == "primary", F.col(m))) if m == "exif" else first(m)) for m in dates.METHODS[:-1]}
+    best = rows.groupBy("size", "ext", "sha256").agg(*(c.alias(m) for m, c in own.items()))
+    return best.select("sha256", "ext", *first_method({m: F.col(m) for m in dates.METHODS[:-1]}))
+
+
+def exif_route(size: Column, enforced: Column, mime: Column, listed: Column, native: Column, external: Column) -> Column:
+    """The date to take of an outside list, the native reader and an outside tool: the list first; nothing for a file that is
+    too large; the tool alone for films and types that the native reader doesn't know; else the native date, then the tool's."""
+    read = F.when(names.too_large(size, enforced), None).when(mime.isin(*NATIVE_TYPES), F.coalesce(native, external)).otherwise(external)
+    return F.coalesce(listed, read)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names, repairs
-from lumenarc.operators import content, entities, execute, matching, moves
+from lumenarc.operators import content, entities, execute, matching, moves, tags
 from lumenarc.sources import zips
-from lumenarc.sources.archive import FILES_SQL, SIDECARS_SQL, files, sidecars
+from lumenarc.sources.archive import EXIF_TAG_SQL, FILES_SQL, SIDECARS_SQL, exif, files, sidecars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,15 +48,6 @@ roles AS (SELECT *, CASE WHEN entity_rank = 1 THEN 'primary' WHEN folder_rank =
 """
 
 
-def dup_keeper(f: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    hashed = f.withColumn("sha256", F.sha2("text", 256)).select("file_id", "size", "sha256", "folder", "name", "path")
-    first = F.row_number().over(Window.partitionBy("size", "sha256").orderBy(*content.keeper_order()))
-    return hashed.withColumn("n", first).filter("n = 1").select("sha256", F.col("file_id").alias("keeper"), "path")
-
-
-on_files("dup_keeper", dup_keeper, f", k AS (SELECT sha256(text) AS sha256, file_id AS keeper, path, row_number() OVER (PARTITION BY size, sha256(text) ORDER BY length(name), CASE WHEN {YEAR_SQL} THEN 0 ELSE 1 END, length(path), path, file_id) AS n FROM file) SELECT sha256, keeper, path FROM k WHERE n = 1")
 on_files("entity_file_roles", lambda f: content.roles(f).select("file_id", "sha256", "entity_rank", "folder_rank", "role"), ROLES_SQL + "SELECT file_id, sha256, entity_rank, folder_rank, role FROM roles")
 CANONICAL_SQL = "(regexp_matches(folder, '^(19|20)[0-9]{2}$') OR regexp_matches(lower(folder), 'photos\\s+from\\s+(19|20)[0-9]{2}'))"
 on_files("entity_role_crosstab", lambda f: content.roles(f).groupBy("role", names.is_canonical(F.col("folder")).alias("canonical")).agg(F.count("*").alias("n")), ROLES_SQL + f"SELECT role, {CANONICAL_SQL} AS canonical, count(*) AS n FROM roles GROUP BY ALL")
@@ -70,7 +61,7 @@ on_files("canonical_flag", lambda f: f.select("file_id", names.is_canonical(F.co
 on_files("special_folder", lambda f: f.select("file_id", names.special_folder(F.col("path")).alias("special")).filter("special is not null"), f"SELECT file_id, upper(substr({SPECIAL_SQL}, 1, 1)) || substr({SPECIAL_SQL}, 2) AS special FROM file WHERE {SPECIAL_SQL} IS NOT NULL")
 on_files("photo_video_filter", lambda f: f.filter(F.col("ext").isin(names.MEDIA_EXTENSIONS)).select("file_id", "ext", F.col("ext").isin(names.VIDEO_EXTENSIONS).alias("is_video")), f"SELECT file_id, ext, ext IN ({quoted(names.VIDEO_EXTENSIONS)}) AS is_video FROM file WHERE ext IN ({quoted(names.MEDIA_EXTENSIONS)})")
 on_files("skip_extras", lambda f: f.filter(~names.is_edited(F.col("name"))).select("file_id", "name"), "SELECT file_id, name FROM file WHERE NOT (" + " OR ".join(f"ends_with(regexp_replace(lower(name), '\\.[^.]*$', ''), '{s}')" for s in names.EDITED_SUFFIXES) + ")")
-on_files("size_limit", lambda f: f.filter(F.col("size") <= 4096).select("file_id", "size"), "SELECT file_id, size FROM file WHERE size <= 4096")
+on_files("size_limit", lambda f: f.select("file_id", names.too_large(F.col("size"), F.col("file_id") % 2 == 0, 4096).alias("refused"), names.too_large(F.col("size") * 65536, F.lit(True)).alias("large")), "SELECT file_id, file_id % 2 = 0 AND size > 4096 AS refused, size * 65536 > 67108864 AS large FROM file")
 on_files("pixel_rename", lambda f: f.select("file_id", names.pixel_name(F.regexp_replace("name", r"\.mp4$", ".MP")).alias("renamed")), "SELECT file_id, regexp_replace(regexp_replace(name, '\\.mp4$', '.MP'), '\\.[mM][pPvV]$', '.mp4') AS renamed FROM file")
 on_files("name_forms", lambda f: f.select("file_id", names.short_name(F.concat(F.repeat("name", 3))).alias("short"), names.bracket_swap(F.regexp_replace("name", r"(\.[^.]*)$", "(7)$1")).alias("swapped"), names.stem(F.col("name")).alias("stem"), names.extension(F.col("name")).alias("extension"), names.base_name(F.col("path")).alias("base"), names.directory(F.col("path")).alias("directory")), "SELECT file_id, CASE WHEN length(repeat(name, 3)) + 5 > 51 THEN left(repeat(name, 3), 46) ELSE repeat(name, 3) END AS short, name || '(7)' AS swapped, regexp_replace(name, '\\.[^.]*$', '') AS stem, ext AS extension, name AS base, 'Takeout/' || folder AS directory FROM file")
 on("path_sanitize", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", names.safe_name(F.col("url")).alias("safe"), names.clean_segments(F.col("url")).alias("clean")), "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '\\s+', ' ', 'g')) AS safe, array_to_string(list_transform(string_split(url, '/'), lambda x: CASE WHEN regexp_replace(x, '[. ]+$', '') = '' THEN '_' ELSE regexp_replace(x, '[. ]+$', '') END), '/') AS clean FROM pages")
@@ -156,11 +147,24 @@ def dms(spark: SparkSession, sf_dir: str) -> DataFrame:
 on("geo_dms", dms, MATCH_SQL + ", g AS (SELECT file_id, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) AS la, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) AS lo FROM matched) SELECT file_id, CAST(floor(abs(la)) AS INT) AS lat_deg, CAST(floor(abs(la) * 60 % 60) AS INT) AS lat_min, CASE WHEN la < 0 THEN 'S' ELSE 'N' END AS lat_ref, CAST(floor(abs(lo)) AS INT) AS lon_deg, CAST(floor(abs(lo) * 60 % 60) AS INT) AS lon_min, CASE WHEN lo < 0 THEN 'W' ELSE 'E' END AS lon_ref FROM g")
 
 
-def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.date_waterfall(files(spark, sf_dir), matching.sidecar_fields(matched(spark, sf_dir)), LATEST_YEAR)
+def found_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    return matching.method_dates(f, matching.sidecar_match(f, sidecars(spark, sf_dir), tryhard=True), exif(spark, sf_dir), LATEST_YEAR)
 
 
-DATED_SQL = MATCH_SQL + f", w AS (SELECT f.file_id, {TAKEN_SQL} AS jd, {NAME_DATE_SQL} AS gd, {FOLDER_DATE_SQL} AS fd FROM (SELECT file_id, folder, name FROM file) f LEFT JOIN (SELECT file_id, body FROM matched) m USING (file_id)), dated AS (SELECT file_id, coalesce(jd, gd, fd) AS taken, CASE WHEN jd IS NOT NULL THEN 'json' WHEN gd IS NOT NULL THEN 'guess' WHEN fd IS NOT NULL THEN 'folderYear' ELSE 'none' END AS method, CASE WHEN jd IS NOT NULL THEN 1 WHEN gd IS NOT NULL THEN 3 WHEN fd IS NOT NULL THEN 5 ELSE 99 END AS accuracy FROM w) "
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.date_waterfall(found_dates(spark, sf_dir))
+
+
+CAREFUL_SQL = f"strategy IN ({quoted([s for s, _ in matching.STRATEGIES[: matching.BASIC]])})"
+DATED_SQL = match_sql(True) + f""", w AS (SELECT f.file_id, CASE WHEN {CAREFUL_SQL} THEN {TAKEN_SQL} END AS jd, {EXIF_TAG_SQL} AS ed, {NAME_DATE_SQL} AS gd, CASE WHEN NOT {CAREFUL_SQL} THEN {TAKEN_SQL} END AS hd, {FOLDER_DATE_SQL} AS fd
+    FROM (SELECT file_id, folder, name, ext FROM file) f LEFT JOIN (SELECT file_id, strategy, body FROM matched) m USING (file_id)),
+dated AS (SELECT file_id, coalesce(jd, ed, gd, hd, fd) AS taken, CASE WHEN jd IS NOT NULL THEN 'json' WHEN ed IS NOT NULL THEN 'exif' WHEN gd IS NOT NULL THEN 'guess' WHEN hd IS NOT NULL THEN 'jsonTryHard' WHEN fd IS NOT NULL THEN 'folderYear' ELSE 'none' END AS method,
+    CASE WHEN jd IS NOT NULL THEN 1 WHEN ed IS NOT NULL THEN 2 WHEN gd IS NOT NULL THEN 3 WHEN hd IS NOT NULL THEN 4 WHEN fd IS NOT NULL THEN 5 ELSE 99 END AS accuracy FROM w) """
+on("dup_keeper", lambda s, d: content.keepers(files(s, d), dated(s, d)), DATED_SQL + f", k AS (SELECT sha256(text) AS sha256, file_id AS keeper, path, row_number() OVER (PARTITION BY size, sha256(text) ORDER BY accuracy, length(name), CASE WHEN {YEAR_SQL} THEN 0 ELSE 1 END, length(path), path, file_id) AS n FROM file JOIN dated USING (file_id)) SELECT sha256, keeper, path FROM k WHERE n = 1")
+METHOD_SQL = {m: f"min_by({c}, entity_rank) FILTER ({c} IS NOT NULL{more})" for m, c, more in (("json", "jd", ""), ("exif", "ed", " AND role = 'primary'"), ("guess", "gd", ""), ("jsonTryHard", "hd", ""), ("folderYear", "fd", ""))}
+on("entity_dates", lambda s, d: matching.entity_dates(content.roles(files(s, d)), found_dates(s, d)).withColumn("taken", text_of("taken")), DATED_SQL + ROLES_SQL + f""", e AS (SELECT sha256, ext, {", ".join(f'{sql} AS "{m}"' for m, sql in METHOD_SQL.items())} FROM roles JOIN w USING (file_id) WHERE role <> 'duplicate' GROUP BY size, ext, sha256)
+    SELECT sha256, ext, strftime(coalesce("json", "exif", "guess", "jsonTryHard", "folderYear"), {SQL_FORMAT}) AS taken, CASE {" ".join(f"WHEN \"{m}\" IS NOT NULL THEN '{m}'" for m in METHOD_SQL)} ELSE 'none' END AS method, CASE {" ".join(f'WHEN "{m}" IS NOT NULL THEN {dates.ACCURACY[m]}' for m in METHOD_SQL)} ELSE 99 END AS accuracy FROM e""")
 on("date_waterfall", lambda s, d: dated(s, d).withColumn("taken", text_of("taken")), DATED_SQL + f"SELECT file_id, strftime(taken, {SQL_FORMAT}) AS taken, method, accuracy FROM dated")
 on("date_method_histogram", lambda s, d: dated(s, d).groupBy("method", "accuracy").agg(F.count("*").alias("n")), DATED_SQL + "SELECT method, accuracy, count(*) AS n FROM dated GROUP BY ALL")
 on("target_directory", lambda s, d: dated(s, d).select("file_id", dates.date_folder(F.col("taken"), 1).alias("by_year"), dates.date_folder(F.col("taken"), 2).alias("by_month"), dates.date_folder(F.col("taken"), 3).alias("by_day")), DATED_SQL + "SELECT file_id, coalesce(strftime(taken, '%Y'), 'date-unknown') AS by_year, coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS by_month, coalesce(strftime(taken, '%Y/%m/%d'), 'date-unknown') AS by_day FROM dated")
@@ -215,14 +219,12 @@ on("exif_plan", exif_plan, EXIF_SQL + "SELECT * FROM x")
 
 
 def tagset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with equal tags share a batch of at most 24."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("writer", "tags").orderBy("file_id"))
-    return exif_plan(spark, sf_dir).withColumn("batch", F.floor((n - 1) / 24)).groupBy("writer", "tags", "batch").agg(F.count("*").alias("files"))
+    """Files with equal tags share a batch: at most 100 images or 24 films."""
+    rows = exif_plan(spark, sf_dir).withColumn("video", F.col("writer") == "exif")
+    return tags.batches(rows, ["writer", "tags"], F.col("video")).groupBy("writer", "tags", "batch").agg(F.count("*").alias("files"))
 
 
-on("exif_tagset_batches", tagset_batches, EXIF_SQL + ", b AS (SELECT writer, tags, (row_number() OVER (PARTITION BY writer, tags ORDER BY file_id) - 1) // 24 AS batch FROM x) SELECT writer, tags, batch, count(*) AS files FROM b GROUP BY ALL")
+on("exif_tagset_batches", tagset_batches, EXIF_SQL + ", b AS (SELECT writer, tags, (row_number() OVER (PARTITION BY writer, tags ORDER BY file_id) - 1) // CASE writer WHEN 'exif' THEN 24 ELSE 100 END AS batch FROM x) SELECT writer, tags, batch, count(*) AS files FROM b GROUP BY ALL")
 on("time_plan", lambda s, d: content.roles(files(s, d)).filter("role <> 'duplicate'").select("file_id").join(dated(s, d).filter("taken is not null"), "file_id").select("file_id", F.unix_seconds("taken").alias("mtime"), (F.unix_millis("taken") * 10000 + 116444736000000000).alias("filetime")), DATED_SQL + ROLES_SQL + "SELECT file_id, CAST(epoch(taken) AS BIGINT) AS mtime, CAST(epoch(taken) AS BIGINT) * 10000000 + 116444736000000000 AS filetime FROM dated JOIN (SELECT file_id FROM roles WHERE role <> 'duplicate') USING (file_id) WHERE taken IS NOT NULL")
 
 
@@ -233,7 +235,7 @@ u AS (SELECT *, regexp_replace(title, '\.[a-zA-Z0-9]{2,5}$', '') AS full_name FR
 v AS (SELECT *, CASE WHEN length(stem) < length(full_name) AND starts_with(lower(full_name), lower(stem)) THEN replace(full_name, ':', '_') || '.' || ext END AS new_name FROM u),
 w AS (SELECT *, CASE WHEN body IS NULL THEN 'no sidecar' WHEN title = '' THEN 'no title' WHEN new_name IS NULL THEN 'not truncated' WHEN (folder, new_name) IN (SELECT (folder, name) FROM file) THEN 'target exists' ELSE 'truncated' END AS status FROM v) """
 on("title_truncation_status", lambda s, d: matching.title_status(matched(s, d), files(s, d)), TITLE_SQL + "SELECT file_id, status, CASE WHEN status = 'truncated' THEN new_name END AS new_name FROM w")
-on("partner_shared", lambda s, d: dated(s, d).join(matching.sidecar_fields(matched(s, d)).select("file_id", "partner_shared"), "file_id", "left").select("file_id", moves.main_directory(F.col("taken"), 2, F.coalesce("partner_shared", F.lit(False))).alias("target")), DATED_SQL + "SELECT file_id, CASE WHEN json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL THEN 'PARTNER_SHARED/' ELSE '' END || 'ALL_PHOTOS/' || coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS target FROM dated LEFT JOIN matched USING (file_id)")
+on("partner_shared", lambda s, d: dated(s, d).join(matching.sidecar_fields(matched(s, d)).select("file_id", "partner_shared"), "file_id", "left").select("file_id", moves.main_directory(F.col("taken"), 2, F.coalesce("partner_shared", F.lit(False))).alias("target")), DATED_SQL + "SELECT file_id, CASE WHEN json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL THEN 'PARTNER_SHARED/' ELSE '' END || 'ALL_PHOTOS/' || coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS target FROM dated LEFT JOIN (SELECT file_id, body FROM matched WHERE " + CAREFUL_SQL + ") USING (file_id)")
 
 
 def camera_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +274,7 @@ def folder_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on("folder_year_forms", folder_years, f"SELECT event_id, CAST(CASE WHEN event_id % 7 < 6 AND 1850 + event_id % 250 BETWEEN 1900 AND {LATEST_YEAR + 1} THEN 1850 + event_id % 250 END AS VARCHAR) AS year FROM events")
 on("untitled_album", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("UNBENANNT "), F.col("conv_id").cast("string"))).otherwise(F.col("role")).alias("album")).select("conv_id", "turn", moves.album_directory(F.col("album")).alias("directory")), "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Untitled Albums/UNBENANNT ' || conv_id ELSE 'Albums/' || role END AS directory FROM conversations")
-on("dup_best_media", lambda s, d: entities.best_media(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", a AS (SELECT size, ext, sha256, count(DISTINCT CASE WHEN NOT {CANONICAL_SQL} THEN folder END) AS albums FROM roles GROUP BY ALL), r AS (SELECT sha256, ext, file_id, albums, row_number() OVER (PARTITION BY size, ext, sha256 ORDER BY accuracy, length(path), path, file_id) AS n FROM roles JOIN dated USING (file_id) JOIN a USING (size, ext, sha256)) SELECT sha256, ext, file_id AS best, albums FROM r WHERE n = 1")
+on("dup_best_media", lambda s, d: entities.best_media(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", a AS (SELECT size, ext, sha256, count(DISTINCT CASE WHEN NOT {CANONICAL_SQL} THEN folder END) AS albums FROM roles GROUP BY ALL), r AS (SELECT sha256, ext, file_id, albums, row_number() OVER (PARTITION BY size, ext, sha256 ORDER BY accuracy, CASE WHEN {CANONICAL_SQL} THEN 1 ELSE 0 END, length(path), path, file_id) AS n FROM roles JOIN dated USING (file_id) JOIN a USING (size, ext, sha256)) SELECT sha256, ext, file_id AS best, albums FROM r WHERE n = 1")
 on("entity_merge", lambda s, d: entities.merged(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", d AS (SELECT size, ext, sha256, roles.file_id, role, folder, {CANONICAL_SQL} AS canonical, taken, accuracy, entity_rank FROM roles JOIN dated USING (file_id)) SELECT sha256, ext, min(file_id) FILTER (role = 'primary') AS primary_file, count(*) FILTER (role = 'secondary') AS secondaries, count(*) FILTER (role = 'duplicate') AS duplicates, coalesce(array_to_string(list_sort(list(DISTINCT folder) FILTER (NOT canonical)), '|'), '') AS albums, strftime((array_agg(taken ORDER BY accuracy, entity_rank))[1], {SQL_FORMAT}) AS taken, min(accuracy) AS accuracy FROM d GROUP BY size, ext, sha256")
 on_files("grouping_stats", entities.grouping_stats, ", g AS (SELECT size, count(*) AS n, count(DISTINCT sha256(text)) AS contents FROM file GROUP BY size) SELECT count(*) AS size_buckets, count(*) FILTER (n = 1) AS single_buckets, count(*) FILTER (n > 1) AS shared_buckets, CAST(sum(contents) AS BIGINT) AS contents, max(n) AS largest FROM g")
 on("collection_stats", lambda s, d: entities.collection_stats(content.roles(files(s, d)), dated(s, d)), DATED_SQL + ROLES_SQL + f", cs AS (SELECT size, ext, sha256, bool_or(accuracy < 99) AS dated, bool_or(NOT {CANONICAL_SQL}) AS in_album FROM roles JOIN dated USING (file_id) GROUP BY ALL), k AS (SELECT count(*) AS files FROM file) SELECT count(*) AS entities, count(*) FILTER (dated) AS dated, count(*) FILTER (in_album) AS in_album, any_value(files) - count(*) AS more_files FROM cs, k")
@@ -322,3 +324,85 @@ on_files("free_names", free_name_plan, """, c AS (SELECT file_id, folder AS dir,
 on("quarantine_plan", lambda s, d: execute.quarantine_plan(content.roles(files(s, d))), f"WITH {FILES_SQL}" + ROLES_SQL + "SELECT sha256, file_id, 'quarantine' AS op, '_Duplicates/Takeout/' || folder AS target FROM roles WHERE role = 'duplicate'")
 on_files("zip_safe_path", lambda f: f.select("file_id", zips.safe_path(F.concat(F.element_at(F.array(*map(F.lit, ["", "../", "/", "C:", "a/./", "a\\..\\", "\x07"])), (F.col("file_id") % 7 + 1).cast("int")), "path")).alias("target")), "SELECT file_id, CASE file_id % 7 WHEN 0 THEN path WHEN 4 THEN 'a/' || path WHEN 6 THEN path END AS target FROM file")
 on("filetime_ticks", lambda s, d: dated(s, d).filter("taken IS NOT NULL").select("file_id", dates.filetime(F.col("taken")).alias("ticks")), DATED_SQL + "SELECT file_id, epoch_ms(taken) * 10000 + 116444736000000000 AS ticks FROM dated WHERE taken IS NOT NULL")
+
+# Tags to write, and what else a whole run needs
+
+MIMES = {"jpg": "image/jpeg", "png": "image/png", "mp4": "video/x-msvideo", "txt": "video/mpeg"}
+
+
+def not_written(f: DataFrame) -> DataFrame:
+    """Types by content of every other file only, with some extensions that no writer takes."""
+    ext = F.when(F.col("file_id") % 6 == 0, "bmp").when(F.col("file_id") % 10 == 0, "mpg").otherwise(F.col("ext"))
+    mime = F.when(F.col("file_id") % 2 == 0, F.try_element_at(F.create_map(*(F.lit(x) for kv in MIMES.items() for x in kv)), F.col("ext")))
+    return f.select("file_id", tags.unsupported(ext, mime, F.lit(None).cast("string")).alias("kind"))
+
+
+on_files("write_unsupported", not_written, ", u AS (SELECT file_id, CASE WHEN file_id % 6 = 0 THEN 'bmp' WHEN file_id % 10 = 0 THEN 'mpg' ELSE ext END AS x, CASE WHEN file_id % 2 = 0 THEN CASE ext WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'mp4' THEN 'video/x-msvideo' ELSE 'video/mpeg' END END AS mime FROM file) SELECT file_id, CASE WHEN x = 'avi' OR mime = 'video/x-msvideo' THEN 'AVI' WHEN x = 'mpg' OR mime LIKE '%mpeg%' THEN 'MPEG' WHEN x = 'bmp' THEN 'BMP' END AS kind FROM u")
+
+
+def tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, tags: the whole set for each dated or placed file, JPEG ones under XMP names."""
+    fields = matching.sidecar_fields(matched(spark, sf_dir)).select("file_id", "latitude", "longitude")
+    rows = files(spark, sf_dir).select("file_id", "ext").join(dated(spark, sf_dir), "file_id").join(fields, "file_id", "left")
+    plain = tags.tags_of(F.col("taken"), F.col("method"), F.col("latitude"), F.col("longitude"))
+    rows = rows.withColumn("plain", plain).filter(F.size("plain") > 0)
+    return rows.select("file_id", tags.tag_key(F.when(F.col("ext") == "jpg", tags.as_xmp(F.col("plain"))).otherwise(F.col("plain"))).alias("tags"))
+
+
+PLACE_SQL = f"SELECT file_id, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) AS la, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) AS lo FROM matched WHERE {CAREFUL_SQL}"
+on("write_tag_sets", tag_sets, DATED_SQL + f""", g AS ({PLACE_SQL}), t AS (SELECT file_id, ext, strftime(taken, '%Y:%m:%d %H:%M:%S') AS c, method IN ('json', 'jsonTryHard') AS utc, la IS NOT NULL AND la <> 0 AND lo <> 0 AS placed, la, lo FROM dated JOIN (SELECT file_id, ext FROM file) USING (file_id) LEFT JOIN g USING (file_id)),
+    k AS (SELECT file_id, CASE WHEN ext = 'jpg' THEN
+        CASE WHEN utc THEN ['OffsetTime="+00:00"', 'OffsetTimeDigitized="+00:00"', 'OffsetTimeOriginal="+00:00"'] ELSE [] END || CASE WHEN c IS NOT NULL THEN ['XMP:CreateDate=' || c, 'XMP:DateTimeOriginal=' || c, 'XMP:ModifyDate=' || c] ELSE [] END || CASE WHEN placed THEN ['XMP:GPSLatitude=' || la, 'XMP:GPSLongitude=' || lo] ELSE [] END
+        ELSE CASE WHEN c IS NOT NULL THEN ['DateTime=' || c, 'DateTimeDigitized=' || c, 'DateTimeOriginal=' || c] ELSE [] END || CASE WHEN placed THEN ['GPSLatitude=' || abs(la), 'GPSLatitudeRef=' || CASE WHEN la < 0 THEN 'S' ELSE 'N' END, 'GPSLongitude=' || abs(lo), 'GPSLongitudeRef=' || CASE WHEN lo < 0 THEN 'W' ELSE 'E' END] ELSE [] END || CASE WHEN utc THEN ['OffsetTime="+00:00"', 'OffsetTimeDigitized="+00:00"', 'OffsetTimeOriginal="+00:00"'] ELSE [] END END AS l FROM t)
+    SELECT file_id, array_to_string(list_sort(l), ';') AS tags FROM k WHERE len(l) > 0""")
+on("xmp_dates", lambda s, d: dated(s, d).filter("taken IS NOT NULL").select("file_id", dates.xmp_clock(F.col("taken"), F.col("method")).alias("xmp")), DATED_SQL + "SELECT file_id, strftime(taken, '%Y:%m:%d %H:%M:%S') || CASE WHEN method IN ('json', 'jsonTryHard') THEN '+00:00' ELSE '' END AS xmp FROM dated WHERE taken IS NOT NULL")
+on("valid_positions", lambda s, d: matching.sidecar_fields(matched(s, d)).select("file_id", (tags.valid_coordinate(F.col("latitude")) & tags.valid_coordinate(F.col("longitude"))).alias("valid"), tags.valid_coordinate(F.col("longitude")).alias("east_west")), MATCH_SQL + "SELECT file_id, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) <> 0 AND CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) <> 0 AS valid, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) <> 0 AS east_west FROM matched")
+on_files("identical_pairs", lambda f: content.identical(f.select(F.col("file_id").alias("b"), "size").join(f.groupBy("size").agg(F.min("file_id").alias("a")), "size").select("a", "b"), f), ", m AS (SELECT size, min(file_id) AS a FROM file GROUP BY 1) SELECT a, f.file_id AS b, sha256(g.text) = sha256(f.text) AS same FROM file f JOIN m USING (size) JOIN file g ON g.file_id = a")
+
+
+def merged_away(f: DataFrame) -> DataFrame:
+    """Entities of which a smaller file has the same size are taken to be merged away."""
+    rows = f.select(F.col("file_id").alias("entity"), "size")
+    gone = rows.join(f.groupBy("size").agg(F.min("file_id").alias("first")), "size").filter("entity <> first")
+    return entities.remaining(rows, gone)
+
+
+on_files("entities_remaining", merged_away, "SELECT min(file_id) AS entity, size FROM file GROUP BY size")
+
+
+def plan_files(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    return plan_of(spark, sf_dir, policy).select(F.col("file_id").alias("source"), "target", (F.col("op") == "symlink").alias("link"))
+
+
+on("files_union", lambda s, d: entities.all_files(plan_files(s, d, "nothing"), plan_files(s, d, "shortcut")), plan_sql("nothing").replace(" ops AS", " ops1 AS").replace(" o AS (SELECT", " o1 AS (SELECT").replace("FROM o)", "FROM o1)") + plan_sql("shortcut")[plan_sql("shortcut").index(", k AS") :][plan_sql("shortcut")[plan_sql("shortcut").index(", k AS") :].index(",\n    o AS") :] + "SELECT file_id AS source, target, op = 'symlink' AS link FROM ops1 UNION SELECT file_id, target, op = 'symlink' FROM ops")
+on_files("touched_files", lambda f: tags.touched(content.roles(f).select("path", (F.col("role") == "primary").alias("is_primary"))), ROLES_SQL + ", t AS (SELECT path, bool_or(role = 'primary') AS p FROM roles GROUP BY 1) SELECT count(*) FILTER (p) AS primary_files, count(*) FILTER (NOT p) AS other_files FROM t")
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metric, value of a whole run, each step's in a row of its own."""
+    f = files(spark, sf_dir)
+    rows = content.roles(f).join(dated(spark, sf_dir).select("file_id", "method"), "file_id")
+    canonical = names.is_canonical(F.col("folder"))
+    found = rows.agg(F.count("*").alias("files"), F.count_if(F.col("ext").isin(names.MEDIA_EXTENSIONS)).alias("media"), F.count_if(F.col("role") == "duplicate").alias("duplicates_removed"), F.count_if(names.is_edited(F.col("name"))).alias("extras"), F.count_if(F.col("method") != "none").alias("dated"), F.countDistinct(F.when(~canonical, F.col("folder"))).alias("albums"))
+    return found.select(F.explode(F.map_entries(F.create_map(*(x for c in found.columns for x in (F.lit(c), F.col(c)))))).alias("e")).select(F.col("e.key").alias("metric"), F.col("e.value").alias("value"))
+
+
+EDITED_NAME_SQL = " OR ".join(f"ends_with(regexp_replace(lower(name), '\\.[^.]*$', ''), '{s}')" for s in names.EDITED_SUFFIXES)
+on("run_summary", run_summary, DATED_SQL + ROLES_SQL + f", r AS (SELECT * FROM roles JOIN (SELECT file_id, method FROM dated) USING (file_id)), s AS (SELECT count(*) AS files, count(*) FILTER (ext IN ({quoted(names.MEDIA_EXTENSIONS)})) AS media, count(*) FILTER (role = 'duplicate') AS duplicates_removed, count(*) FILTER ({EDITED_NAME_SQL}) AS extras, count(*) FILTER (method <> 'none') AS dated, count(DISTINCT CASE WHEN NOT {CANONICAL_SQL} THEN folder END) AS albums FROM r) UNPIVOT s ON files, media, duplicates_removed, extras, dated, albums INTO NAME metric VALUE value".replace("UNPIVOT s ON", "SELECT metric, value FROM (UNPIVOT s ON") + ")")
+on_files("extras_removed", lambda f: f.select("file_id", names.without_extra(F.col("name")).alias("plain")), f", e AS (SELECT file_id, name, ext, {EDITED_NAME_SQL} AS edited FROM file) SELECT file_id, CASE WHEN edited THEN regexp_replace(name, '-edited\\.[^.]*$', '') || '.' || ext ELSE name END AS plain FROM e")
+on_files("zip_entry_names", lambda f: f.select("file_id", names.zip_entry_name(F.concat(F.lit("a?\\x. /"), "folder", F.lit("//"), F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("aux."), "ext")).otherwise(F.col("name")), F.lit(". "))).alias("entry")), "SELECT file_id, 'a_/x/' || folder || '/' || CASE WHEN file_id % 3 = 0 THEN 'aux_file.' || ext ELSE name END AS entry FROM file")
+on_files("error_paths", lambda f: tags.bad_paths(f.select(F.concat(F.lit("Error: cannot read - /"), "path", F.lit("\nWarning: '/other/"), "name", F.lit("' is odd\nError in "), "path")).toDF("error")), "SELECT DISTINCT unnest(['/' || path, '/other/' || name]) AS path FROM file WHERE ext <> 'txt'")
+on_files("media_counts", lambda f: f.filter(F.col("ext").isin(names.MEDIA_EXTENSIONS)).groupBy(names.is_year_folder(F.col("folder")).alias("in_year")).agg(F.count("*").alias("n")), f"SELECT {YEAR_SQL} AS in_year, count(*) AS n FROM file WHERE ext IN ({quoted(names.MEDIA_EXTENSIONS)}) GROUP BY 1")
+on("resumed_dates", lambda s, d: dated(s, d).select("file_id", "taken").join(from_dictionary(s, d).withColumnRenamed("taken", "known"), "file_id", "left").select("file_id", F.coalesce("known", text_of("taken")).alias("taken")), DATED_SQL + f", k AS (SELECT path, min(file_id) AS i FROM file WHERE file_id % 2 = 0 GROUP BY 1) SELECT file_id, coalesce(strftime(make_timestamp((i * 86400 + 1200000000) * 1000000), {SQL_FORMAT}), strftime(taken, {SQL_FORMAT})) AS taken FROM dated JOIN (SELECT file_id, path FROM file) USING (file_id) LEFT JOIN k USING (path)")
+on_files("albums_info_json", lambda f: f.filter(~names.is_canonical(F.col("folder"))).select("file_id", F.to_json(F.struct(F.trim("folder").alias("album"), F.col("name").alias("file"), "size")).alias("entry")), f"SELECT file_id, '{{\"album\":\"' || trim(folder) || '\",\"file\":\"' || name || '\",\"size\":' || size || '}}' AS entry FROM file WHERE NOT {CANONICAL_SQL}")
+
+
+def exif_routes(f: DataFrame) -> DataFrame:
+    """Every way through the router: listed, too large, native, native miss, film."""
+    i, day = F.col("file_id"), lambda n: F.timestamp_seconds(F.col("file_id") * 86400 + n)
+    mime = F.try_element_at(F.create_map(*(F.lit(x) for kv in {"jpg": "image/jpeg", "png": "image/png", "mp4": "video/mp4"}.items() for x in kv)), F.col("ext"))
+    taken = matching.exif_route(F.col("size") * 65536, i % 3 == 0, mime, F.when(i % 10 == 0, day(1)), F.when(i % 4 != 1, day(2)), F.when(i % 7 != 0, day(3)))
+    return f.select("file_id", text_of(taken).alias("taken"))
+
+
+on_files("exif_route", exif_routes, f", r AS (SELECT file_id, CASE WHEN file_id % 10 = 0 THEN 1 WHEN file_id % 3 = 0 AND size * 65536 > 67108864 THEN NULL WHEN ext IN ('jpg', 'png') AND file_id % 4 <> 1 THEN 2 WHEN file_id % 7 <> 0 THEN 3 END AS n FROM file) SELECT file_id, strftime(make_timestamp((file_id * 86400 + n) * 1000000), {SQL_FORMAT}) AS taken FROM r")

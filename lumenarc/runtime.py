@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +31,11 @@ def session(app: str = "lumenarc", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lumenarc-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,7 +48,11 @@ class Workspace:
     were running, since everything before is read again from shared storage.
     """
 
+    #: Workspaces that are not removed yet, in the order they were made.
+    live: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        Workspace.live.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lumenarc/{name}-{uuid.uuid4().hex}"
 
@@ -60,9 +67,14 @@ class Workspace:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(f"{self.root}/{name}")
 
+    def remove(self) -> None:
+        """Deletes all tables; for when no result that reads them is needed any more."""
+        Workspace.live.remove(self)
+        self.drop("")
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

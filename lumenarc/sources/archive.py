@@ -61,3 +61,13 @@ sidecar AS (SELECT folder AS dir, ([name, name || '.supplemental-metadata', left
     || CASE WHEN toxic = 1 THEN ',"googlePhotosOrigin":{"fromPartnerSharing":{}}' ELSE '' END || '}' AS body
     FROM file JOIN labels ON doc_id = file_id)
 """
+
+
+def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, raw: the date tag of a part of the JPEG files, some of them placeholders."""
+    f = files(spark, sf_dir).filter((F.col("ext") == "jpg") & (F.col("file_id") % 7).isin(3, 5)).select("file_id")
+    clock = F.date_format(F.timestamp_seconds(F.col("file_id") * 86400 + 1150000000), "yyyy:MM:dd HH:mm:ss")
+    return f.select("file_id", F.when(F.col("file_id") % 7 == 5, "0000:00:00 00:00:00").otherwise(clock).alias("raw"))
+
+
+EXIF_TAG_SQL = "CASE WHEN ext = 'jpg' AND file_id % 7 = 3 THEN make_timestamp((file_id * 86400 + 1150000000) * 1000000) END"
