@@ -12,9 +12,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import fold
+from lumenarc.llm.common import aside, fold
 from lumenarc.llm.jaccard_join import near_duplicates
-from lumenarc.llm.language_id import identify, sample, train
+from lumenarc.llm.language_id import identify, learn
 from lumenarc.llm.line_dedup import line_dedup
 from lumenarc.llm.mixing import mix_sources
 from lumenarc.llm.packing import pack
@@ -25,34 +25,45 @@ MAX_REPEAT = 1.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; what is rejected (no letters, no known language) goes."""
-    model = train(sample(docs.filter(fold(F.col("doc_id"), 4) != 2), "text", "lang"))
-    # Names of their own, so that no column of docs is taken for one of the operator's.
-    own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    found = identify(docs.withColumnsRenamed(own), model, own["text"], keep=tuple(own.values()))
+    """Documents whose language is recognised; what is rejected (no letters, no known language) goes.
+
+    Null and empty texts are rejected, repeated rows judged alike; an empty table gives an empty one.
+    """
+    held, own = aside(docs)
+    model = learn(held.filter(fold(F.col(own["doc_id"]), 4) != 2), own["text"], own["lang"])
+    found = identify(held, model, own["text"], keep=tuple(own.values()))
     return found.filter(~F.col("rejected")).select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each group of equal or similar lines keeps its first; documents left without a line go."""
+    """Each group of equal or similar lines keeps its first; documents left without a line go.
+
+    Documents that lost no line stay, also empty ones; rows that repeat an id and its text stay alike.
+    """
     found = line_dedup(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the document with the least id stays."""
+    """Of each group of near duplicates (five-word shingles, 0.8) the document with the least id stays.
+
+    Rows that repeat an id stay or go together; documents without words or id stay.
+    """
     found = near_duplicates(docs, 5, Fraction(8, 10))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in flattened shares: every document at least once, none of a source over MAX_REPEAT times on average."""
+    """Sources in flattened shares: every document at least once, none of a source over MAX_REPEAT times on average.
+
+    A null source is one of its own; documents without a word are drawn once.
+    """
     return mix_sources(docs, max_repeat=MAX_REPEAT).select(*docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all drawn documents in windows of 1024 ids."""
+    """The pieces of all drawn documents in windows of 1024 ids; a null or empty text is its end id."""
     packed = pack(docs)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -64,9 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage wrote for itself is then removed."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = len(Workspace.live)
         docs = work.save(stage(spark, docs, sf_dir), name)
+        for own in Workspace.live[before:]:
+            own.remove()
     return docs
