@@ -84,7 +84,8 @@ def brute_groups(lines):
 @pytest.mark.parametrize("open_pairs", [10**9, 0], ids=["at once", "by rounds"])
 def test_no_pair_of_a_cell_goes_uncompared(spark, monkeypatch, open_pairs):
     monkeypatch.setattr(line_dedup, "band_rows", lambda: [[]])  # all lines in one cell
-    monkeypatch.setattr(line_dedup, "OPEN_PAIRS", open_pairs, raising=False)
+    monkeypatch.setattr(line_dedup, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(line_dedup, "CELL", 2)  # else the one cell is small enough for all pairs
     rng, latin = random.Random(9), "abcdefghijklmnopqrstuvwxyz"
     frame, lines = "the order of this customer was sent on", []
     for _ in range(20):
@@ -106,3 +107,27 @@ def test_short_lines_take_part(spark):
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs).collect()}
     # Blank lines stay; abcdefgh has four of the five shingles of abcdefghi.
     assert got == {1: (rows[0][1], 0), 2: ("\n\t", 3), 3: ("Les\n\t", 1)}
+
+
+def test_families_of_borderline_lines(spark):
+    """Members differ in one of 14 words; all that exact all-pairs joins must be found, and nothing else."""
+    rng, latin = random.Random(11), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(latin, k=rng.randrange(3, 9)))
+    lines = []
+    for _ in range(150):
+        own = [word() for _ in range(14)]
+        for _ in range(4):
+            lines.append(" ".join(own[:at] + [word()] + own[at + 1 :]) if (at := rng.randrange(14)) else " ".join(own))
+    for _ in range(40):  # without spaces: addresses, encoded bytes
+        url = "https://example.org/" + "".join(rng.choices(latin, k=100))
+        code = "".join(rng.choices(latin + latin.upper() + "0123456789+/", k=76))
+        lines += [url, "https://fxample.org/" + url[20:], code, edited(code, 0, latin, rng)]
+    # Lines of few different shingles, on both sides of the lengths that are signed whole.
+    lines += ["ab" * 95, "ab" * 110, "-" * 300, "-" * 900]
+    want, found = brute_groups(lines), {}
+    for line, grp in groups_of(spark, lines).items():
+        found.setdefault(grp, set()).add(line)
+    links = lambda groups: sum(len(g) - 1 for g in groups)
+    whole = {x: g for g in want for x in g}
+    assert all(len({whole.get(x) for x in g}) == 1 for g in found.values() if len(g) > 1)
+    assert links(found.values()) >= 0.98 * links(want)

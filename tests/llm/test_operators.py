@@ -227,6 +227,49 @@ def test_mixing_keeps_to_budget(spark, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_neighbour_votes_against_brute_force():
+    rng = np.random.default_rng(2)
+    rows = [(" ".join(rng.choice(["plain", "word", "text", "good", "calm"], 12)), 1) for _ in range(40)] + [("!! " + " ".join(rng.choice(["BUY", "NOW", "$$$", "x1x"], 9)), 0) for _ in range(40)]
+    space = quality.fit(rows, 0.7)
+    found = np.stack([quality.terms(t.encode()) for t in ("plain text, good words", "BUY $$$ NOW", "", "plain BUY")])
+    latent = space.project(found)
+    for got, own in zip(space.vote(latent), latent, strict=True):
+        near = sorted(((float(own @ v), i) for i, v in enumerate(space.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [(min(1.0, max(0.0, c)) ** 4 * space.weights[i], space.labels[i]) for c, i in near]
+        total = sum(w for w, _ in weights)
+        want = sum(w * y for w, y in weights) / total if total > 1e-9 else space.prior
+        assert abs(got - want) < 1e-5
+    assert quality.fit_counts(np.zeros((0, quality.TERMS), np.float32), np.zeros(0), 0.5) is None
+
+
+def test_imatch_fingerprints_against_plain_python(spark, odd):
+    words = imatch.lexicon(odd, min_share=0.1, max_share=0.9)
+    texts = [r[1] or "" for r in ROWS]
+    terms = [set("".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.translate({i: i + 32 for i in range(65, 91)})).encode().split()) for t in texts]
+    df = Counter(x for own in terms for x in own)
+    assert sorted(words.at) == sorted(t for t, n in df.items() if 1 <= n <= int(0.9 * len(texts)))
+    prints = [words.fingerprint(t.encode()) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            inside = [x & set(words.at) for x in (terms[i], terms[j])]
+            same = inside[0] == inside[1] if any(inside) else a == b
+            assert (prints[i] == prints[j]) == same
+            assert (imatch.likeness(prints[i], prints[j]) == 1.0) == same
+
+
+def test_packing_of_blanks_that_break_the_fast_encoder():
+    encoder = packing.Encoder()
+    assert encoder.ids(" " * 2_000_000) == encoder.exact(" " * 2_000_000)
+
+
+@pytest.mark.parametrize("extra", ["rest", "rounds", "blocks", "cut", "left", "last", "__s", "__text", "__rk", "TEXT2", "tokens", "share", "line", "pos"])
+def test_clashing_columns(spark, extra):
+    docs = spark.createDataFrame([(i, f"some words of text number {i}", "en", "ab"[i % 2], 9, f"x{i}") for i in range(6)], f"{SCHEMA}, `{extra}` string")
+    for found in (mixing.mix_sources(docs, max_repeat=2.0), line_dedup.line_dedup(docs) if extra in ("__rk", "line") else None, language_id.identify(docs, None, keep=("doc_id", extra)), quality.score(docs, None, keep=("doc_id", extra))):
+        if found is not None:
+            assert {(r["doc_id"], r[extra]) for r in found.collect()} == {(i, f"x{i}") for i in range(6)}
+
+
 def test_classifiers_odd_rows(odd, none):
     model = language_id.train([(r[1], r[2]) for r in ROWS if r[1] and r[2]] * 40)
     assert np.isfinite(model.weights).all() and np.isfinite(model.bias).all() and np.isfinite(model.temperature)

@@ -47,7 +47,7 @@ def brute_lines(rows):
     places, grams = defaultdict(list), {}
     for r in rows:
         for pos, line in enumerate((r["text"] or "").split("\n")):
-            if len(line) >= 10 and line.strip(" "):
+            if line.strip(" \t\r\x0b\x0c"):
                 places[line].append((r["doc_id"], pos))
                 grams[line] = {line[i : i + 5] for i in range(len(line) - 4)}
     up, order = {x: x for x in places}, sorted(places, key=lambda x: len(grams[x]))
@@ -58,6 +58,8 @@ def brute_lines(rows):
         return x
 
     for i, a in enumerate(order):
+        if not grams[a]:
+            continue  # shorter than a shingle: only equal to itself
         for b in order[i + 1 :]:
             if 5 * len(grams[a]) < 4 * len(grams[b]):
                 break
