@@ -150,7 +150,10 @@ def alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame, work: Workspace
     # Each array is named before its several uses, so that it is made once.
     sets = both.select("a", "b", grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
     common = sets.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("n"), F.size(F.array_union("ga", "gb")).alias("all"))
-    return work.save(common.filter(F.col("n") >= threshold * F.col("all")).select("a", "b"), f"kept-{step}")
+    kept = work.save(common.filter(F.col("n") >= threshold * F.col("all")).select("a", "b"), f"kept-{step}")
+    for name in ("pairs", "nodes", "texts"):
+        work.drop(f"{name}-{step}")
+    return kept
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -197,6 +200,8 @@ def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: floa
         pairs = named.join(minor, "band").filter("c <> d").select("level", "lh", "other")
         found = alike(ordered(pairs), signed, lines, work, threshold, step)
         kept = work.save(kept.unionByName(found), f"links-{step}")
+        for name in (f"kept-{step}", f"kept-{step - 1}", f"links-{step - 1}", f"named-{step - 1}", f"pivots-{step - 1}", f"open-{step - 1}"):
+            work.drop(name)
         if last:
             return connected_components(kept, work, "lines")
         # A pivot has met all that are left in its cell.
