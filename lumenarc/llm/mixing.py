@@ -27,6 +27,8 @@ SECTIONS, PRECISION = 16, 1e-7
 #: Documents a block holds on average.
 BLOCK = 256
 BROADCAST_SOURCES = 10_000
+#: Ranges of block orders whose sums are added up first; so no task orders all blocks of a source.
+RANGE_BITS = 12
 
 
 def token_count(text: Column) -> Column:
@@ -75,6 +77,13 @@ def exponent(sources: DataFrame, tokens: int, budget: float | None, entropy: flo
     return high
 
 
+def first_over(parts: DataFrame, order: str) -> DataFrame:
+    """__s, at, left: per source of parts(__s, rest, n) the first in order with which the sum exceeds rest, and what is left for it."""
+    upto = F.sum("n").over(Window.partitionBy("__s").orderBy(order))
+    over = parts.withColumn("__upto", upto).filter("__upto > rest")
+    return over.groupBy("__s").agg(F.min(order).alias("at"), F.min_by(F.col("rest") - (F.col("__upto") - F.col("n")), order).alias("left"))
+
+
 def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", budget: float | None = None, entropy: float | None = None, max_repeat: float | None = 2.0, seed: int = 1) -> DataFrame:
     """The rows of ``docs`` as often as they are drawn, with n_tokens, weight, draw (1, 2, ...) and block_order.
 
@@ -117,10 +126,12 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", doc
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.col("blocks"))
     order = F.xxhash64(F.lit(seed + 2), "__s", block)
     placed = with_plan(thin, plan.filter("rest > 0")).withColumn("block_order", order)
-    blocks = placed.groupBy("__s", "block_order", "rest").agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("__s").orderBy("block_order"))
-    # The first block that no longer fits as a whole, and what is left for it.
-    cut = blocks.withColumn("upto", upto).filter("upto > rest").groupBy("__s").agg(F.min("block_order").alias("cut"), F.min_by(F.col("rest") - (F.col("upto") - F.col("n")), "block_order").alias("left"))
+    # The first range of orders that no longer fits as a whole, then in it the first such block, and what is left for it.
+    blocks = placed.groupBy("__s", "block_order", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("__range", F.shiftright("block_order", 64 - RANGE_BITS))
+    blocks = work.save(blocks, "blocks")
+    ranges = first_over(blocks.groupBy("__s", "__range", "rest").agg(F.sum("n").alias("n")), "__range").select("__s", F.col("at").alias("__range"), F.col("left").alias("room"))
+    inner = with_plan(blocks, work.save(ranges, "ranges").withColumnRenamed("__range", "__cut")).filter("__range = __cut")
+    cut = first_over(inner.select("__s", "block_order", F.col("room").alias("rest"), "n"), "block_order").withColumnRenamed("at", "cut")
     cut = work.save(cut, "cut")
     inside = with_plan(placed.select("__s", "block_order", "__h", "n_tokens"), cut).filter("block_order = cut")
     run = F.sum("n_tokens").over(Window.partitionBy("__s").orderBy("__h"))  # of one block per source; equal rows together
