@@ -47,11 +47,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, 0.8) the document with the least id stays.
 
-    Rows that repeat an id stay or go together; documents without words or id stay.
+    Rows that share an id but not the text are told apart; a null id comes last.
+    Rows that repeat an id and its text stay or go together; documents without
+    words stay.
     """
-    found = near_duplicates(docs, 5, Fraction(8, 10))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    held, own = aside(docs)
+    id_ = F.col(own["doc_id"])
+    # Never null, and told apart by the text too.
+    held = held.withColumn("__row", F.xxhash64(id_, F.coalesce(F.col(own["text"]), F.lit(""))))
+    found = near_duplicates(held, 5, Fraction(8, 10), text=own["text"], doc_id="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    # Rows that are alone in their group, nearly all, need no comparison.
+    groups = found.groupBy("__group").agg(F.min("__row").alias("x"), F.max("__row").alias("y")).filter("x < y").select("__group")
+    ids = held.select("__row", F.coalesce(id_.cast("long"), F.lit((1 << 63) - 1)).alias("__id"))
+    members = found.join(groups, "__group", "left_semi").distinct().join(ids, "__row").distinct()
+    members = Workspace(spark, "near").save(members, "members")
+    first = members.groupBy("__group").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__first"))
+    gone = members.join(first, "__group").filter("__row <> __first").select("__row")
+    return held.join(gone, "__row", "left_anti").select(*(F.col(o).alias(c) for c, o in own.items()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
