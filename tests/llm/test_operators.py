@@ -227,6 +227,16 @@ def test_mixing_keeps_to_budget(spark, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_first_block_over_the_rest(spark, monkeypatch):
+    """Draws do not depend on how the sums over blocks are parted."""
+    docs = spark.createDataFrame([(i, "a b c " * (i % 5 + 1), "en", "ab"[i % 7 == 0], 9) for i in range(3000)], SCHEMA)
+    found = []
+    for bits in (1, 12, 40):
+        monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+        found.append(sorted((r["doc_id"], r["draw"], r["block_order"]) for r in mixing.mix_sources(docs, max_repeat=1.4).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3000
+
+
 def test_neighbour_votes_against_brute_force():
     rng = np.random.default_rng(2)
     rows = [(" ".join(rng.choice(["plain", "word", "text", "good", "calm"], 12)), 1) for _ in range(40)] + [("!! " + " ".join(rng.choice(["BUY", "NOW", "$$$", "x1x"], 9)), 0) for _ in range(40)]

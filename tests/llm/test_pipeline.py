@@ -93,6 +93,16 @@ def test_near_keeps_one_of_each_group(stages):
     assert all(given[r["doc_id"]] == r for r in stages["near"])
 
 
+def test_near_tells_rows_that_share_an_id_apart(spark):
+    """Of rows with one id or none only those go that are near a row of lesser id."""
+    a, b, c = ("one two three four five six seven eight", "nothing of all that is in any other text here", "a third one that nobody else has ever written down")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (3, None), (3, ""), (4, a + " nine"), (5, c)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, __row int")
+    got = corpus_pipeline.near(spark, docs, DIR)
+    assert got.columns == docs.columns
+    assert {rows[r[2]] for r in got.collect()} == {(1, a), (2, b), (3, None), (3, ""), (5, c)}
+
+
 def test_mix_draws_all_within_the_limit(stages):
     given = {r["doc_id"]: r for r in stages["near"]}
     draws = Counter(r["doc_id"] for r in stages["mix"])
