@@ -101,7 +101,7 @@ def signatures(lines: DataFrame, work: Workspace) -> DataFrame:
     if few.isEmpty():
         return signed
     again = maybe_in(lines.select("lh", "line"), "lh", bitmap(few, "lh")).join(few, "lh", "left_semi")
-    return work.save(signed.unionByName(signed_at(again, 0)), "signatures-all")
+    return signed.unionByName(work.save(signed_at(again, 0), "signatures-few"))
 
 
 def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
