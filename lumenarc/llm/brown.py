@@ -68,21 +68,38 @@ def tail_type(word: bytes) -> int:
     return HEAD + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-4:]) % TAILS
 
 
-class Types:
-    """The type of each word: its own for the head, a pseudo-word by its last bytes for the others."""
-
-    def __init__(self, head: list[bytes]):
-        self.own = {w: i for i, w in enumerate(head)}
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, word: bytes) -> int:
-        found = self.own.get(word, self.seen.get(word))
-        if found is None:
-            if len(self.seen) > FLUSH:
-                self.seen.clear()
-            found = self.seen[word] = tail_type(word)
+class Ids(dict):
+    """One number per word: its place in the lexicon (most frequent first), or beyond it the lexicon's size + the number of its pseudo-word.
+
+    A plain dictionary of the lexicon that adds what it is asked for; what was
+    added goes when it is more than FLUSH words.
+    """
+
+    def __init__(self, lexicon: list[bytes]):
+        super().__init__(zip(lexicon, range(len(lexicon)), strict=True))
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.lexicon) + FLUSH:
+            self.clear()
+            self.update(zip(self.lexicon, range(len(self.lexicon)), strict=True))
+        found = self[word] = len(self.lexicon) + tail_type(word) - HEAD
         return found
 
+    def __reduce__(self):
+        return Ids, (self.lexicon,)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def types(self) -> np.ndarray:
+        """The type of each number: its own for the head, a pseudo-word for the others."""
+        return np.array([*range(min(HEAD, len(self.lexicon))), *map(tail_type, self.lexicon[HEAD:]), *range(HEAD, HEAD + TAILS)], np.int64)
+
+
+def framed(x: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate([[end], x, [end]])
+
 
 def code_counts(docs: DataFrame, codes, state) -> DataFrame:
     """code long, n long: how often ``codes(state, words)`` gives each code, over all rows of docs(text). The state is broadcast."""
@@ -117,35 +134,38 @@ def code_counts(docs: DataFrame, codes, state) -> DataFrame:
     return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def type_pairs(types: Types, words: list[bytes]) -> np.ndarray:
+def type_pairs(state: tuple, words: list[bytes]) -> np.ndarray:
     """first * TYPES + second of the text's types, the ends included on both sides."""
-    x = np.array([END, *map(types, words), END], np.int64)
+    ids, types = state
+    x = framed(types[ids.of(words)], END)
     return x[:-1] * TYPES + x[1:]
 
 
 def contexts(state: tuple, words: list[bytes]) -> np.ndarray:
-    """place * 2 * CLASSES + (class before, or CLASSES + class after) of each word that has a place in the lexicon."""
-    types, cls, place = state
-    c = cls[np.array([END, *map(types, words), END], np.int64)]
-    at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-    own = np.flatnonzero(at >= 0)
-    return np.concatenate([at[own] * 2 * CLASSES + c[own], (at[own] * 2 + 1) * CLASSES + c[own + 2]])
+    """place * 2 * CLASSES + (class before, or CLASSES + class after) of each word of the lexicon beyond the head, which has the places from 0."""
+    ids, class_of, end = state
+    x = ids.of(words)
+    c = framed(class_of[x], end)
+    own = np.flatnonzero((x >= HEAD) & (x < len(ids.lexicon)))
+    at = (x[own] - HEAD) * 2
+    return np.concatenate([at * CLASSES + c[own], (at + 1) * CLASSES + c[own + 2]])
 
 
 def class_pairs(classes: Classes, words: list[bytes]) -> np.ndarray:
-    x = np.array([classes.end, *map(classes, words), classes.end], np.int64)
+    x = framed(classes.of(words), classes.end)
     return x[:-1] * CLASSES + x[1:]
 
 
+@dataclass
 class Classes:
-    """The class of each word: by its type, or its own if it is in the lexicon beyond the head."""
+    """The class of each word: by its own number or its pseudo-word's."""
 
-    def __init__(self, types: Types, cls: np.ndarray, own: dict[bytes, int]):
-        self.types, self.cls, self.own, self.end = types, cls, own, int(cls[END])
+    ids: Ids
+    class_of: np.ndarray
+    end: int
 
-    def __call__(self, word: bytes) -> int:
-        found = self.own.get(word)
-        return int(self.cls[self.types(word)]) if found is None else found
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return self.class_of[self.ids.of(words)]
 
 
 def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -213,7 +233,7 @@ class Model:
     classes: Classes
     transition: np.ndarray  # log10 P(class | class before)
     emission_base: np.ndarray  # class -> log10 of the emission's denominator
-    known: dict[bytes, float]  # lexicon word -> log10(c + ADD)
+    known: np.ndarray  # log10(c + ADD) of the lexicon's words
     base_denominator: float
     end_log: float
     end_known: bool
@@ -236,24 +256,23 @@ def fit(train: DataFrame, work: Workspace) -> tuple[Model, DataFrame]:
     docs = train.count()
     first = counts.orderBy(F.desc("c"), "word").limit(LEXICON).toArrow()
     top = list(zip(first["word"].to_pylist(), first["c"].to_pylist(), strict=True))
-    types = Types([w for w, _ in top[:HEAD]])
-    cells = code_counts(train, type_pairs, types).toArrow()  # at most TYPES * TYPES rows
+    ids = Ids([w for w, _ in top])
+    types = ids.types()
+    cells = code_counts(train, type_pairs, (ids, types)).toArrow()  # at most TYPES * TYPES rows
     code, n = cells["code"].to_numpy(), cells["n"].to_numpy()
     del cells
     cls = exchange(code // TYPES, code % TYPES, n, TYPES)
     grid = np.bincount(cls[code // TYPES] * CLASSES + cls[code % TYPES], n, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
     del code, n
-    place = {w: i for i, (w, _) in enumerate(top[HEAD:])}
     log = smoothed(grid, (grid.sum(0) + 1) / (grid.sum() + CLASSES))
-    own: dict[bytes, int] = {}
-    if place:
-        met = code_counts(train, contexts, (types, cls, place)).toArrow()  # at most LEXICON * 2 * CLASSES rows
-        near = np.zeros(len(place) * 2 * CLASSES)
+    class_of, end, places = cls[types], int(cls[END]), max(0, len(top) - HEAD)
+    if places:
+        met = code_counts(train, contexts, (ids, class_of, end)).toArrow()  # at most LEXICON * 2 * CLASSES rows
+        near = np.zeros(places * 2 * CLASSES)
         near[met["code"].to_numpy()] = met["n"].to_numpy()
-        near = near.reshape(len(place), 2, CLASSES)
-        best = (near[:, 0] @ log + near[:, 1] @ log.T)[:, : CLASSES - 1].argmax(1)
-        own = {w: int(best[i]) for w, i in place.items()}
-    classes = Classes(types, cls, own)
+        near = near.reshape(places, 2, CLASSES)
+        class_of[HEAD : len(top)] = (near[:, 0] @ log + near[:, 1] @ log.T)[:, : CLASSES - 1].argmax(1)
+    classes = Classes(ids, class_of, end)
     pairs = code_counts(train, class_pairs, classes).collect()  # at most CLASSES * CLASSES rows
     grid = np.zeros(CLASSES * CLASSES)
     for r in pairs:
@@ -264,7 +283,7 @@ def fit(train: DataFrame, work: Workspace) -> tuple[Model, DataFrame]:
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(CLASSES), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            c = np.fromiter(map(shared.value, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            c = shared.value.of(batch.column(0).to_pylist())
             n += np.bincount(c, batch.column(1).to_numpy(), CLASSES)
             v += np.bincount(c, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n.astype(np.int64)), pa.array(v)], ["class", "n", "v"])
@@ -277,7 +296,7 @@ def fit(train: DataFrame, work: Workspace) -> tuple[Model, DataFrame]:
     total, vocabulary = int(n.sum()), int(v.sum())
     transition = smoothed(grid, (n + 1) / (n.sum() + CLASSES))
     emission_base = np.log10(n + ADD * (v + 1))
-    known = {w: float(np.log10(c + ADD)) for w, c in top}
+    known = np.log10(np.array([c for _, c in top], np.float64) + ADD)
     model = Model(classes, transition, emission_base, known, float(np.log10(total + ADD * (vocabulary + 1))), float(np.log10(docs + ADD)), bool(docs), total)
     last = top[-1] if len(top) == LEXICON else None
     rest = counts.filter((F.col("c") < last[1]) | ((F.col("c") == last[1]) & (F.col("word") > F.lit(last[0])))) if last else counts.limit(0)
@@ -304,26 +323,16 @@ def scores(docs: DataFrame, model: Model, rest: DataFrame, keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        # One lookup per word: its class and, if it is in the lexicon, log10(c + ADD); else None.
-        memo: dict[bytes, tuple[int, float | None]] = {}
-        end = m.classes.end
+        ids, class_of, end = m.classes.ids, m.classes.class_of, m.classes.end
         for batch in batches:
             out = []
             for body in texts(batch, "__text"):
-                words, classes, logs, seldom = tokens(body), [end], 0.0, Counter()
-                for w in words:
-                    x = memo.get(w)
-                    if x is None:
-                        x = memo[w] = (m.classes(w), m.known.get(w))
-                    classes.append(x[0])
-                    if x[1] is None:
-                        seldom[w] += 1
-                    else:
-                        logs += x[1]
-                if len(memo) > FLUSH:
-                    memo.clear()
-                path = np.array([*classes, end])
-                logs += m.end_log
+                words = tokens(body)
+                x = ids.of(words)
+                beyond = x >= len(ids.lexicon)
+                seldom = Counter(words[i] for i in np.flatnonzero(beyond))
+                path = framed(class_of[x], end)
+                logs = float(m.known[x[~beyond]].sum()) + m.end_log
                 n = len(words) + 1
                 path_log = float(m.transition[path[:-1], path[1:]].sum() - m.emission_base[path[1:]].sum())
                 out.append((n, n - sum(seldom.values()) - (not m.end_known), logs - n * m.base_denominator, logs + path_log, list(seldom), list(seldom.values())))
