@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenarc.llm import brown, exact_dedup, filter_audit, imatch, jaccard_join, language_id, line_dedup, mixing, packing, quality, url_filter
+from lumenarc.llm import brown, exact_dedup, filter_audit, imatch, jaccard_join, language_id, line_dedup, mixing, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_sharding": sharding.op12_sharding,
 }
 
 ORACLES = {"op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
