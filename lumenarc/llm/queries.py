@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenarc.llm import brown, exact_dedup, filter_audit, imatch, jaccard_join, language_id, line_dedup, mixing, packing, quality, sharding, url_filter
+from lumenarc.llm import brown, exact_dedup, filter_audit, imatch, jaccard_join, language_id, line_dedup, mixing, packing, prefix_trie, quality, sharding, url_filter
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_sharding": sharding.op12_sharding,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}

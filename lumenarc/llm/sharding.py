@@ -24,24 +24,25 @@ from lumenarc.runtime import Workspace, ship
 
 SHARDS = 8
 #: A group with over this part of all bytes or rows is scheduled before the others.
-LARGE = 16_384
-#: Groups a part has on average, and parts there are at most: the driver gets one row of each.
-PART_GROUPS, PARTS = 1 << 18, 4_096
+LARGE = 65_536
+#: Groups a part has on average; and how often at least the largest of the other groups goes into a shard's share of a part.
+#: So there are at most LARGE / (FIT * shards) parts, of which the driver gets one row each.
+PART_GROUPS, FIT = 1 << 18, 16
 #: Rows a slot range has on average, and ranges of a shard there are at most.
 RANGE_ROWS, RANGES = 1 << 16, 1 << 16
 
 
 class Heap:
-    """The shards by their load, the least-loaded (of equal ones the first) on top."""
+    """The shards by their load, the least-loaded on top; of equal ones, shard ``first`` and then those after it."""
 
-    def __init__(self, loads: list[float]):
-        self.heap = [(load, i) for i, load in enumerate(loads)]
+    def __init__(self, loads: list[float], first: int = 0):
+        self.heap = [(load, (i - first) % len(loads), i) for i, load in enumerate(loads)]
         heapq.heapify(self.heap)
 
     def place(self, size: int) -> int:
         """The shard of the next group; sizes come in falling order."""
-        load, i = self.heap[0]
-        heapq.heapreplace(self.heap, (load + size, i))
+        load, turn, i = self.heap[0]
+        heapq.heapreplace(self.heap, (load + size, turn, i))
         return i
 
 
@@ -56,7 +57,7 @@ def assigned(groups: DataFrame, shards: int, work: Workspace) -> tuple[DataFrame
     chosen = [heap.place(r["bytes"]) for r in top]
     loads = [float(sum(r["bytes"] for r, s in zip(top, chosen, strict=True) if s == i)) for i in range(shards)]
     large = spark.createDataFrame([(bytes(r["digest"]), s) for r, s in zip(top, chosen, strict=True)], "digest binary, shard int")
-    parts = max(1, min(PARTS, count // PART_GROUPS))
+    parts = max(1, min(LARGE // (FIT * shards), count // PART_GROUPS))
     small = groups.filter(~is_large).select("digest", "bytes", F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int").alias("part"))
     shares = {r["part"]: r["b"] for r in small.groupBy("part").agg(F.sum("bytes").alias("b")).collect()}
     rest = sum(shares.values())
@@ -68,7 +69,7 @@ def assigned(groups: DataFrame, shards: int, work: Workspace) -> tuple[DataFrame
             out = []
             for p, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if p != part:
-                    part, heap = p, Heap(starts[p])
+                    part, heap = p, Heap(starts[p], p % shards)
                 out.append(heap.place(size))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["digest", "shard"])
 
