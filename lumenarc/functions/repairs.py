@@ -85,15 +85,25 @@ def fnv1a(slices: list[bytes], basis: int, prime: int, dtype: type) -> np.ndarra
     return out
 
 
+def signatures_of(sizes: list[int], exts: list[str], heads: list[bytes], middles: list[bytes], tails: list[bytes]) -> list[str]:
+    """``size|ext|head|middle|tail``, each 4 KiB in FNV-1a 32; films and files from 64 MiB have no middle (0)."""
+    no_middle = [n <= CHUNK or e in TWO_POINT_EXTENSIONS or n >= TWO_POINT_FROM for n, e in zip(sizes, exts, strict=True)]
+    head, middle, tail = (fnv1a(slices, FNV32_BASIS, FNV32_PRIME, np.uint32) for slices in (heads, middles, tails))
+    return [f"{n}|{e}|{x}|{0 if skip else y}|{z}" for n, e, x, y, z, skip in zip(sizes, exts, head, middle, tail, no_middle, strict=True)]
+
+
+@F.pandas_udf(StringType())
+def slice_signature(size: pd.Series, ext: pd.Series, head: pd.Series, middle: pd.Series, tail: pd.Series) -> pd.Series:
+    """The signature of a content of which only three slices are at hand."""
+    return pd.Series(signatures_of([int(n) if pd.notna(n) else 0 for n in size], list(ext), *([b or b"" for b in x] for x in (head, middle, tail))))
+
+
 @F.pandas_udf(StringType())
 def quick_signature(content: pd.Series, ext: pd.Series) -> pd.Series:
-    """``size|ext|head|middle|tail``, each 4 KiB in FNV-1a 32; films and files from 64 MiB have no middle (0)."""
+    """The signature of a whole content."""
     bodies = [b or b"" for b in content]
-    no_middle = [len(b) <= CHUNK or e in TWO_POINT_EXTENSIONS or len(b) >= TWO_POINT_FROM for b, e in zip(bodies, ext, strict=True)]
-    hashed = lambda slices: fnv1a(slices, FNV32_BASIS, FNV32_PRIME, np.uint32)
-    head, tail = hashed([b[:CHUNK] for b in bodies]), hashed([b[max(0, len(b) - CHUNK) :] for b in bodies])
-    middle = hashed([b[len(b) // 2 : len(b) // 2 + CHUNK] for b in bodies])
-    return pd.Series([f"{len(b)}|{e}|{x}|{0 if skip else y}|{z}" for b, e, x, y, z, skip in zip(bodies, ext, head, middle, tail, no_middle, strict=True)])
+    n = CHUNK
+    return pd.Series(signatures_of([len(b) for b in bodies], list(ext), [b[:n] for b in bodies], [b[len(b) // 2 : len(b) // 2 + n] for b in bodies], [b[max(0, len(b) - n) :] for b in bodies]))
 
 
 @F.pandas_udf(StringType())

@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from lumenarc.functions import names
 
 
-#: Distinct shared sizes up to which they are broadcast: 8 bytes each.
-SIZES_BROADCAST = 2_000_000
+#: Bits of the map of shared sizes: half a megabyte is broadcast, whatever the number of sizes.
+SLOTS = 1 << 22
 
 
 def of_shared_size(files: DataFrame) -> DataFrame:
-    """The files whose size another file has too: all others have a content of their own, which need not be read.
+    """The files whose size another file has too, and a few others whose size falls into the same slot of the map.
 
-    The sizes of a scan come without any content. So many that they are not
-    broadcast leave all files in: then hashing is cheaper than shuffling contents.
+    All that are left out have a content of their own, which need not be hashed.
+    Sizes are counted without any content, and contents are not shuffled.
     """
-    shared = files.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
-    return files.join(F.broadcast(shared), "size", "left_semi") if shared.count() <= SIZES_BROADCAST else files
+    slot = F.pmod(F.xxhash64("size"), F.lit(SLOTS))
+    shared = files.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1")
+    maps = shared.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("map"))
+    bit = F.bitmap_bit_position(slot)
+    held = F.conv(F.hex(F.substring("map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = files.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("bucket"))
+    return found.filter(F.getbit(held, (bit % 8).cast("int")) == 1).select(*files.columns)
 
 
 def content_groups(files: DataFrame, by_ext: bool = False, content: str = "text") -> DataFrame:

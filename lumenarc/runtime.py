@@ -19,6 +19,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

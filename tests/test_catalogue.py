@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lumenarc.plans import catalogue
+from lumenarc.plans import catalogue, refinement  # noqa: F401 - registers its queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ["documents", "pages", "labels", "conversations", "events", "orders", "lineitem"]
