@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names
+from lumenarc.runtime import Workspace
 
 
 #: (name, transformation of the file's name), from the most careful to the boldest; the last four only if tried hard.
@@ -30,8 +31,8 @@ def labelled(json_names: Column, strategy: str) -> Column:
     return F.transform(json_names, lambda n: F.struct(n.alias("json_name"), F.lit(strategy).alias("strategy")))
 
 
-def sidecar_names(name: Column, tryhard: bool = False) -> Column:
-    """(json_name, strategy) of all sidecars a file could have, in the order they are tried; a name may come again.
+def sidecar_names(name: Column, strategies: list[tuple]) -> Column:
+    """(json_name, strategy) of all sidecars that a file could have by ``strategies``, in the order they are tried; a name may come again.
 
     Per strategy: the full suffix; if that exceeds the limit, the suffix cut to
     each length that fits; the full suffix with the file's number after or
@@ -39,7 +40,7 @@ def sidecar_names(name: Column, tryhard: bool = False) -> Column:
     """
     full, number = names.SIDECAR_SUFFIX, F.regexp_extract(name, r"(\(\d+\))", 1)
     groups = []
-    for strategy, change in STRATEGIES if tryhard else STRATEGIES[:BASIC]:
+    for strategy, change in strategies:
         plain = change(name)
         bare = F.regexp_replace(plain, r"\(\d+\)", "")
         long = F.length(plain) + len(full) + 5 > names.NAME_LIMIT
@@ -60,21 +61,80 @@ def root_of(name: Column) -> Column:
     return F.left(F.regexp_extract(name, r"^[^(.\-]*", 0), F.lit(12))
 
 
-def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False) -> DataFrame:
-    """file_id, json_name, strategy, body of the first sidecar name that exists in the file's folder.
+def names_met(files: DataFrame, sidecars: DataFrame, strategies: list[tuple]) -> DataFrame:
+    """file_id, dir, json_name, strategy of the first sidecar name that exists in the file's folder.
 
     Files whose folder has no sidecar with the same root leave first. The names
-    of the others are exploded with their rank, each once, and joined by equality.
+    of the others are exploded with their rank and joined by equality.
     """
-    rooted = sidecars.select("dir", root_of(F.col("json_name")).alias("root")).distinct()
+    there = sidecars.select("dir", "json_name").distinct()
+    rooted = there.select("dir", root_of(F.col("json_name")).alias("root")).distinct()
     near = files.select("file_id", "name", "folder", root_of(F.col("name")).alias("root"))
-    files = near.join(rooted, (near["folder"] == rooted["dir"]) & (near["root"] == rooted["root"]), "left_semi")
-    wide = files.select("file_id", F.col("folder").alias("dir"), F.posexplode(sidecar_names(F.col("name"), tryhard)).alias("priority", "c")).select("file_id", "dir", "priority", "c.*")
-    met = wide.join(sidecars, ["dir", "json_name"])
-    best = met.groupBy("file_id").agg(F.min_by(F.struct("json_name", "strategy", "body"), F.struct("priority", "body")).alias("m"))
+    near = near.join(rooted, (near["folder"] == rooted["dir"]) & (near["root"] == rooted["root"]), "left_semi")
+    wide = near.select("file_id", F.col("folder").alias("dir"), F.posexplode(sidecar_names(F.col("name"), strategies)).alias("priority", "c")).select("file_id", "dir", "priority", "c.*")
+    best = wide.join(there, ["dir", "json_name"]).groupBy("file_id").agg(F.min_by(F.struct("dir", "json_name", "strategy"), "priority").alias("m"))
     return best.select("file_id", "m.*")
 
 
+def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False) -> DataFrame:
+    """file_id, json_name, strategy, body of the first sidecar name that exists in the file's folder.
+
+    The bold strategies look only at files that the careful ones leave without
+    a sidecar. Bodies come last: of the one chosen; of repeated names the least.
+    """
+    met = names_met(files, sidecars, STRATEGIES[:BASIC])
+    if tryhard:
+        rest = files.join(met.select("file_id"), "file_id", "left_anti")
+        met = met.unionByName(names_met(rest, sidecars, STRATEGIES[BASIC:]))
+    bodies = sidecars.groupBy("dir", "json_name").agg(F.min("body").alias("body"))
+    return met.join(bodies, ["dir", "json_name"]).select("file_id", "json_name", "strategy", "body")
+
+
+def staged_match(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """file_id, stage, dir, json_name: the sidecar of each file(file_id, folder, name), found for the mending of extensions.
+
+    Stages, each an equi-join over what is still without a sidecar: the careful
+    names; the bold ones; ``<name>.json``; the same without regard to case and
+    blanks at the end, or to the extension (``folded``); and both in the folder
+    without the blanks at its end, if it has any. Of several sidecars with one
+    folded name, full names go before names without extension, then the least.
+    Files without a sidecar are absent, as are those with a null name or folder.
+    """
+    work = Workspace(files.sparkSession, "staged-match")
+    there = sidecars.select("dir", "json_name").filter(F.lower("json_name").endswith(".json")).distinct()
+    plain = F.left(F.col("json_name"), F.length("json_name") - 5)
+    # Two keys a sidecar: its whole name, and its name as if it were a file's without extension.
+    keyed = there.select("dir", "json_name", F.posexplode(F.array(F.lower("json_name"), F.lower(F.rtrim(plain)))).alias("rank", "key"))
+    bare = F.rtrim("folder")
+
+    def direct(rest: DataFrame, folder: Column) -> DataFrame:
+        wanted = rest.select("file_id", folder.alias("dir"), F.concat("name", F.lit(".json")).alias("json_name"))
+        return wanted.join(there, ["dir", "json_name"], "left_semi")
+
+    def folded(rest: DataFrame, folder: Column) -> DataFrame:
+        full, short = F.lower(F.concat("name", F.lit(".json"))), F.lower(F.rtrim(names.stem(F.col("name"))))
+        wanted = rest.select("file_id", folder.alias("dir"), F.posexplode(F.array(full, short)).alias("rank", "key"))
+        best = wanted.join(keyed, ["dir", "rank", "key"]).groupBy("file_id").agg(F.min(F.struct("rank", "json_name", "dir")).alias("m"))
+        return best.select("file_id", "m.dir", "m.json_name")
+
+    trimmed = lambda find: lambda rest: find(rest.filter(bare != F.col("folder")), bare)
+    stages = {
+        "careful": lambda rest: names_met(rest, there, STRATEGIES[:BASIC]),
+        "bold": lambda rest: names_met(rest, there, STRATEGIES[BASIC:]),
+        "direct": lambda rest: direct(rest, F.col("folder")),
+        "folded": lambda rest: folded(rest, F.col("folder")),
+        "trimmed": trimmed(direct),
+        "trimmed folded": trimmed(folded),
+    }
+    rest, found = work.save(files.select("file_id", "folder", "name"), "rest"), None
+    for i, (stage, find) in enumerate(stages.items()):
+        met = work.save(find(rest).select("file_id", F.lit(stage).alias("stage"), "dir", "json_name"), f"met-{i}")
+        found = met if found is None else found.unionByName(met)
+        # What is left shrinks from stage to stage; it is written, so a stage doesn't repeat the ones before.
+        rest = work.save(rest.join(met, "file_id", "left_anti"), f"rest-{i}")
+    return found
+
+
 def title_status(matched: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, status, new_name: whether the sidecar's title shows that the file's name was cut off.
 

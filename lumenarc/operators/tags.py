@@ -83,12 +83,13 @@ def batches(files: DataFrame, by: list[str], is_video: Column, order: str = "fil
     return parted.withColumn("place", place).join(starts, [*by, "part"]).withColumn("batch", F.floor((F.col("place") + F.col("start")) / cap)).drop("part", "place", "start")
 
 
-def bad_paths(errors: DataFrame, text: str = "error") -> DataFrame:
-    """path, different ones: absolute paths that the lines of error texts name after `` - `` or in quotes, with a known extension."""
-    lines = errors.select(F.explode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("line"))
+def bad_paths(errors: DataFrame, text: str = "error", keep: list[str] | None = None) -> DataFrame:
+    """path (and ``keep``), different ones: absolute paths that the lines of error texts name after `` - `` or in quotes, with a known extension."""
+    keep = keep or []
+    lines = errors.select(*keep, F.explode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("line"))
     path = rf"((?:/|[A-Za-z]:[/\\]).*\.(?:{'|'.join(ERROR_EXTENSIONS)}))"
     found = F.concat(*(F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in (rf"(?i) - {path}\s*$", rf"(?i)'{path}'", rf'(?i)"{path}"')))
-    return lines.select(F.explode(found).alias("path")).distinct()
+    return lines.select(*keep, F.explode(found).alias("path")).distinct()
 
 
 def touched(marks: DataFrame) -> DataFrame:
