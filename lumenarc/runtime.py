@@ -42,6 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def mounted(uri: str) -> str:
+    """The path of a folder that the driver and all executors mount, for code that opens files itself."""
+    if "://" in uri and not uri.startswith("file:"):
+        raise ValueError(f"not a mounted folder: {uri}")
+    return "/" + uri.removeprefix("file:").lstrip("/")
+
+
 class Workspace:
     """Parquet tables of one operator run below the shared folder.
 
