@@ -27,33 +27,38 @@ BASIC = 6
 NATIVE_TYPES = ["image/jpeg", "image/tiff", "image/heic", "image/png", "image/webp", "image/jxl"]
 
 
-def labelled(json_names: Column, strategy: str) -> Column:
-    return F.transform(json_names, lambda n: F.struct(n.alias("json_name"), F.lit(strategy).alias("strategy")))
+def sidecar_forms(plain: Column, number: Column) -> Column:
+    """The sidecar names of one plain name, in the order they are tried.
 
-
-def sidecar_names(name: Column, strategies: list[tuple]) -> Column:
-    """(json_name, strategy) of all sidecars that a file could have by ``strategies``, in the order they are tried; a name may come again.
-
-    Per strategy: the full suffix; if that exceeds the limit, the suffix cut to
-    each length that fits; the full suffix with the file's number after or
-    before it; the plain one; the plain one with the number.
+    The full suffix; if that exceeds the limit, the suffix cut to each length
+    that fits; the full suffix with the file's number after or before it; the
+    plain one; the plain one with the number. ``plain`` is used so often that it
+    should be a column or an element, not an expression.
     """
-    full, number = names.SIDECAR_SUFFIX, F.regexp_extract(name, r"(\(\d+\))", 1)
-    groups = []
-    for strategy, change in strategies:
-        plain = change(name)
-        bare = F.regexp_replace(plain, r"\(\d+\)", "")
-        long = F.length(plain) + len(full) + 5 > names.NAME_LIMIT
-        room = F.greatest(F.lit(0), F.least(F.lit(len(full) - 1), F.lit(names.NAME_LIMIT - 6) - F.length(plain)))
-        cut = F.transform(F.when(long & (room > 0), F.sequence(room, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.concat(plain, F.left(F.lit(full), n + 1), F.lit(".json")))
-        numbered = lambda *parts: F.when(number != "", F.concat(*parts))
-        forms = F.concat(
+    full = names.SIDECAR_SUFFIX
+    bare = F.regexp_replace(plain, r"\(\d+\)", "")
+    long = F.length(plain) + len(full) + 5 > names.NAME_LIMIT
+    room = F.greatest(F.lit(0), F.least(F.lit(len(full) - 1), F.lit(names.NAME_LIMIT - 6) - F.length(plain)))
+    cut = F.transform(F.when(long & (room > 0), F.sequence(room, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.concat(plain, F.left(F.lit(full), n + 1), F.lit(".json")))
+    numbered = lambda *parts: F.when(number != "", F.concat(*parts))
+    return F.array_compact(
+        F.concat(
             F.array(F.concat(plain, F.lit(f"{full}.json"))),
             cut,
             F.array(numbered(bare, F.lit(full), number, F.lit(".json")), numbered(bare, number, F.lit(f"{full}.json")), F.concat(plain, F.lit(".json")), numbered(bare, number, F.lit(".json"))),
         )
-        groups.append(labelled(F.array_compact(forms), strategy))
-    return F.concat(*groups)
+    )
+
+
+def number_of(name: Column) -> Column:
+    return F.regexp_extract(name, r"(\(\d+\))", 1)
+
+
+def sidecar_names(name: Column, strategies: list[tuple]) -> Column:
+    """(json_name, strategy) of all sidecars that a file could have by ``strategies``, in the order they are tried; a name may come again."""
+    plains = F.array(*(F.struct(F.lit(strategy).alias("strategy"), change(name).alias("plain"), number_of(name).alias("number")) for strategy, change in strategies))
+    forms = lambda x: F.transform(sidecar_forms(x["plain"], x["number"]), lambda n: F.struct(n.alias("json_name"), x["strategy"].alias("strategy")))
+    return F.flatten(F.transform(plains, forms))
 
 
 def root_of(name: Column) -> Column:
@@ -61,19 +66,22 @@ def root_of(name: Column) -> Column:
     return F.left(F.regexp_extract(name, r"^[^(.\-]*", 0), F.lit(12))
 
 
-def names_met(files: DataFrame, sidecars: DataFrame, strategies: list[tuple]) -> DataFrame:
-    """file_id, dir, json_name, strategy of the first sidecar name that exists in the file's folder.
-
-    Files whose folder has no sidecar with the same root leave first. The names
-    of the others are exploded with their rank and joined by equality.
-    """
-    there = sidecars.select("dir", "json_name").distinct()
+def near_sidecars(files: DataFrame, there: DataFrame) -> DataFrame:
+    """file_id, dir, name of the files whose folder has a sidecar (of ``there``) with the same root: no other can have one."""
     rooted = there.select("dir", root_of(F.col("json_name")).alias("root")).distinct()
-    near = files.select("file_id", "name", "folder", root_of(F.col("name")).alias("root"))
-    near = near.join(rooted, (near["folder"] == rooted["dir"]) & (near["root"] == rooted["root"]), "left_semi")
-    wide = near.select("file_id", F.col("folder").alias("dir"), F.posexplode(sidecar_names(F.col("name"), strategies)).alias("priority", "c")).select("file_id", "dir", "priority", "c.*")
-    best = wide.join(there, ["dir", "json_name"]).groupBy("file_id").agg(F.min_by(F.struct("dir", "json_name", "strategy"), "priority").alias("m"))
-    return best.select("file_id", "m.*")
+    near = files.select("file_id", "name", F.col("folder").alias("dir"), root_of(F.col("name")).alias("root"))
+    return near.join(rooted, ["dir", "root"], "left_semi").drop("root")
+
+
+def names_met(near: DataFrame, there: DataFrame, strategies: list[tuple]) -> DataFrame:
+    """file_id, dir, json_name, strategy of the first name of ``there`` (dir, json_name; each once) that fits near(file_id, dir, name)."""
+    # Exploded twice, so that the costly plain names are made once each and their forms, by the dozen, from a column.
+    name = F.col("name")
+    plains = near.select("file_id", "dir", "name", number_of(name).alias("number"), F.posexplode(F.array_distinct(F.array(*(change(name) for _, change in strategies)))).alias("rank", "plain"))
+    wide = plains.select("file_id", "dir", "name", "rank", "plain", F.posexplode(sidecar_forms(F.col("plain"), F.col("number"))).alias("form", "json_name"))
+    best = wide.join(there, ["dir", "json_name"]).groupBy("file_id").agg(F.min_by(F.struct("dir", "json_name", "name", "plain"), F.struct("rank", "form")).alias("m")).select("file_id", "m.*")
+    strategy = F.coalesce(*(F.when(change(name) == F.col("plain"), strategy) for strategy, change in strategies))
+    return best.select("file_id", "dir", "json_name", strategy.alias("strategy"))
 
 
 def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False) -> DataFrame:
@@ -81,11 +89,18 @@ def sidecar_match(files: DataFrame, sidecars: DataFrame, tryhard: bool = False)
 
     The bold strategies look only at files that the careful ones leave without
     a sidecar. Bodies come last: of the one chosen; of repeated names the least.
+    Names are written once and read by every step.
     """
-    met = names_met(files, sidecars, STRATEGIES[:BASIC])
+    work = Workspace(files.sparkSession, "sidecars")
+    there = work.save(sidecars.select("dir", "json_name").distinct(), "there")
+    near = near_sidecars(files, there)
     if tryhard:
-        rest = files.join(met.select("file_id"), "file_id", "left_anti")
-        met = met.unionByName(names_met(rest, sidecars, STRATEGIES[BASIC:]))
+        near = work.save(near, "near")
+        careful = work.save(names_met(near, there, STRATEGIES[:BASIC]), "careful")
+        rest = near.join(careful.select("file_id"), "file_id", "left_anti")
+        met = careful.unionByName(names_met(rest, there, STRATEGIES[BASIC:]))
+    else:
+        met = names_met(near, there, STRATEGIES[:BASIC])
     bodies = sidecars.groupBy("dir", "json_name").agg(F.min("body").alias("body"))
     return met.join(bodies, ["dir", "json_name"]).select("file_id", "json_name", "strategy", "body")
 
@@ -119,8 +134,8 @@ def staged_match(files: DataFrame, sidecars: DataFrame) -> DataFrame:
 
     trimmed = lambda find: lambda rest: find(rest.filter(bare != F.col("folder")), bare)
     stages = {
-        "careful": lambda rest: names_met(rest, there, STRATEGIES[:BASIC]),
-        "bold": lambda rest: names_met(rest, there, STRATEGIES[BASIC:]),
+        "careful": lambda rest: names_met(near_sidecars(rest, there), there, STRATEGIES[:BASIC]),
+        "bold": lambda rest: names_met(near_sidecars(rest, there), there, STRATEGIES[BASIC:]),
         "direct": lambda rest: direct(rest, F.col("folder")),
         "folded": lambda rest: folded(rest, F.col("folder")),
         "trimmed": trimmed(direct),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions import dates
+from lumenarc.runtime import Workspace
 
 # Endings of files that no writer takes, tags of a date, extensions that an error's paths may have, and
 # files of one batch.
@@ -74,7 +75,8 @@ def batches(files: DataFrame, by: list[str], is_video: Column, order: str = "fil
     Numbers run on over parts of a group, so that one frequent tag set is not
     numbered by one task.
     """
-    parted = files.withColumn("part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
+    # Written, as it is used twice and what makes it is dear.
+    parted = Workspace(files.sparkSession, "batches").save(files.withColumn("part", F.pmod(F.xxhash64(order), F.lit(PARTS))), "parted")
     sizes = parted.groupBy(*by, "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("start", before).drop("n")
