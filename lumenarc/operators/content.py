@@ -55,8 +55,9 @@ def keepers(files: DataFrame, dated: DataFrame, content: str = "text") -> DataFr
     """sha256, keeper, path: of each content the file that stays; a file without an accuracy comes last."""
     hashed = files.select("file_id", "size", F.sha2(F.col(content), 256).alias("sha256"), "folder", "name", "path")
     ranked = hashed.join(dated.select("file_id", "accuracy"), "file_id", "left")
-    first = F.row_number().over(Window.partitionBy("size", "sha256").orderBy(*keeper_order()))
-    return ranked.withColumn("n", first).filter("n = 1").select("sha256", F.col("file_id").alias("keeper"), "path")
+    # A least value, combined before the shuffle: copies of one content don't meet in one task.
+    first = ranked.groupBy("size", "sha256").agg(F.min_by(F.struct("file_id", "path"), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keeper_order())))).alias("first"))
+    return first.select("sha256", F.col("first.file_id").alias("keeper"), "first.path")
 
 
 def identical(pairs: DataFrame, files: DataFrame, content: str = "text") -> DataFrame:
@@ -85,3 +86,9 @@ def roles(files: DataFrame, content: str = "text") -> DataFrame:
 def duplicate_stats(files: DataFrame, content: str = "text") -> DataFrame:
     groups = files.withColumn("sha256", F.sha2(F.col(content), 256)).groupBy("size", "sha256").agg(F.count("*").alias("n"))
     return groups.agg(F.sum("n").alias("total_files"), F.count("*").alias("unique_files"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum(F.col("n") - 1).alias("duplicate_files"), F.sum(F.col("size") * (F.col("n") - 1)).alias("wasted_bytes"))
+
+
+def duplicate_share(stats: DataFrame) -> DataFrame:
+    """duplicate_stats with the duplicates' share of all files in hundredths of a percent, 0 of none."""
+    share = F.when(F.col("total_files") > 0, F.floor(F.col("duplicate_files") * 10_000 / F.col("total_files") + 0.5)).otherwise(0)
+    return stats.withColumn("duplicate_share", share.cast("long"))

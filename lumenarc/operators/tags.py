@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lumenarc.functions import dates
 from lumenarc.runtime import Workspace
 
-# Endings of files that no writer takes, tags of a date, extensions that an error's paths may have, and
+# Endings of files that no writer takes, tags of a date, those that a date is read from, extensions that an error's paths may have, and
 # files of one batch.
 NOT_WRITTEN = ["avi", "mpg", "mpeg", "bmp"]
 DATE_TAGS = ["DateTimeOriginal", "DateTimeDigitized", "DateTime"]
 XMP_DATES = ["XMP:CreateDate", "XMP:DateTimeOriginal", "XMP:ModifyDate"]
+DATE_READ = ["DateTimeOriginal", "DateTime", "CreateDate", "DateCreated", "CreationDate", "MediaCreateDate", "TrackCreateDate", "EncodedDate", "MetadataDate", "ModifyDate"]
 ERROR_EXTENSIONS = ["jpg", "jpeg", "png", "heic", "tif", "tiff", "mp4", "mov", "avi", "mpg", "mpeg"]
 IMAGE_BATCH, VIDEO_BATCH = 100, 24
 PARTS = 16
@@ -33,6 +34,17 @@ def valid_coordinate(x: Column) -> Column:
     return F.coalesce(x.isNotNull() & ~F.isnan(x) & (x != 0), F.lit(False))
 
 
+def read_dates(tags: Column) -> Column:
+    """The usable dates, in order of DATE_READ, of a map of tag and text: no placeholders, no sentinels."""
+    return F.filter(F.transform(F.array(*map(F.lit, DATE_READ)), lambda t: dates.from_text(F.try_element_at(tags, t))), lambda d: d.isNotNull())
+
+
+def dms(x: Column) -> Column:
+    """degrees, minutes and the hundredths of seconds of a coordinate's size; rounding carries over into minutes and degrees."""
+    hundredths = F.floor(F.abs(x) * 360_000 + 0.5).cast("long")
+    return F.struct(F.floor(hundredths / 360_000).cast("int").alias("degrees"), (F.floor(hundredths / 6_000) % 60).cast("int").alias("minutes"), (hundredths % 6_000).cast("int").alias("seconds"), F.lit(100).alias("per_second"))
+
+
 def tags_of(taken: Column, method: Column, latitude: Column, longitude: Column) -> Column:
     """Map of tag and text: the date three times, its offset if it is UTC, and a valid position with its directions."""
     clock, utc = dates.exif_clock(taken), method.isin("json", "jsonTryHard")

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenarc.functions import names
 from lumenarc.runtime import Workspace, ship
 
 ENTRIES = "zip string, entry string, position long, size long, is_link boolean, error string"
@@ -82,14 +83,14 @@ def extract(zips: DataFrame, destination: str, task_bytes: int = 256 << 20) -> D
     """zip, entry, target, ok, error of each entry of zips(path), extracted below ``destination``.
 
     The destination must be empty or absent. Entries that would leave it, and
-    links, are refused. Of entries with one target the last one of the last
+    links, are refused; names that some systems refuse are mended. Of entries with one target the last one of the last
     archive (by path) is taken, the others say so. Repeating it is harmless.
     """
     if os.path.isdir(destination) and os.listdir(destination):
         raise FileExistsError(f"not empty: {destination}")
     work = Workspace(zips.sparkSession, "zips")
     root = F.lit(destination.rstrip("/") + "/")
-    found = work.save(entries(zips).withColumn("target", F.concat(root, safe_path(F.col("entry")))), "entries")
+    found = work.save(entries(zips).withColumn("target", F.concat(root, names.zip_entry_name(safe_path(F.col("entry"))))), "entries")
     usable = found.filter(F.col("error").isNull() & F.col("target").isNotNull() & ~F.col("is_link"))
     last = usable.groupBy("target").agg(F.max(F.struct("zip", "position")).alias("last")).select("target", "last.*", F.lit(True).alias("taken"))
     marked = found.join(last, ["target", "zip", "position"], "left")

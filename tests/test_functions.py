@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names, repairs
-from lumenarc.operators import entities, matching
+from lumenarc.operators import entities, matching, tags
 
 
 def column(spark, values, build):
@@ -135,3 +135,13 @@ def test_membership_by_prefix(spark):
     assert sorted(map(tuple, entities.membership(files).collect())) == [(1, "Trip"), (2, "Day"), (2, "Trip"), (3, "Trip"), (4, "Tripod")]
 
 
+
+
+def test_seconds_carry_over(spark):
+    got = spark.createDataFrame([(1.0,), (-0.9999999999,), (12.5083333,), (179.99999,), (0.0,), (None,)], "x double").select(tags.dms(F.col("x")).alias("p")).collect()
+    assert [None if r["p"]["degrees"] is None else tuple(r["p"])[:3] for r in got] == [(1, 0, 0), (1, 0, 0), (12, 30, 3000), (179, 59, 5996), (0, 0, 0), None]
+
+
+def test_dates_of_tags_skip_what_is_none(spark):
+    df = spark.createDataFrame([({"CreateDate": "2001:01:01 00:00:00", "DateTimeOriginal": "0000:00:00", "ModifyDate": "2000:01:01 00:00:00", "Other": "1999:01:01"},), ({"DateTime": "1904:01:01 00:00:00"},), (None,)], "t map<string,string>")
+    assert [[d.year for d in r[0] or []] for r in df.select(tags.read_dates(F.col("t"))).collect()] == [[2001, 2000], [], []]
