@@ -10,7 +10,7 @@ rounds are at most log2 of the largest batch, and one where errors name names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,18 +39,33 @@ def bisected(ops: DataFrame, act: Callable[[list], object], by_name: bool = Fals
     kept = ops.select("op_id", "batch", "payload")
     schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes) + ", part string, error string, size long"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        error = None
-        try:
-            act(list(group["payload"]))
-        except Exception as e:  # noqa: BLE001 - whatever the tool raises is a result
-            error = f"{type(e).__name__}: {e}"
-        return group.assign(error=pd.Series([error] * len(group), index=group.index, dtype=object), size=len(group))
+    def tested(frame: pd.DataFrame) -> pd.DataFrame:
+        errors, sizes = pd.Series(index=frame.index, dtype=object), pd.Series(0, index=frame.index)
+        for _, group in frame.groupby("key", sort=False):
+            try:
+                act(list(group["payload"]))
+                error = None
+            except Exception as e:  # noqa: BLE001 - whatever the tool raises is a result
+                error = f"{type(e).__name__}: {e}"
+            errors[group.index], sizes[group.index] = error, len(group)
+        return frame.assign(error=errors, size=sizes).drop(columns="key")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last group may go on in the next frame; it is as small as a batch
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            last = frame["key"] == frame["key"].iloc[-1]
+            rest = frame[last]
+            if not last.all():
+                yield tested(frame[~last])
+        if rest is not None:
+            yield tested(rest)
 
     rows, found, n = kept.withColumn("part", F.lit("")), None, 0
     while True:
         n += 1
-        tried = work.save(rows.groupBy("batch", "part").applyInPandas(run, schema), f"tried-{n}")
+        keyed = rows.withColumn("key", F.to_json(F.struct("batch", "part"))).repartition("key").sortWithinPartitions("key", "op_id")
+        tried = work.save(keyed.mapInPandas(run, schema), f"tried-{n}")
         settled = tried.filter("error IS NULL OR size = 1").select("op_id", "batch", F.col("error").isNull().alias("ok"), "error", F.lit(n).alias("tries"))
         found = settled if found is None else found.unionByName(settled)
         failed = tried.filter("error IS NOT NULL AND size > 1")

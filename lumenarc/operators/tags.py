@@ -34,9 +34,14 @@ def valid_coordinate(x: Column) -> Column:
     return F.coalesce(x.isNotNull() & ~F.isnan(x) & (x != 0), F.lit(False))
 
 
-def read_dates(tags: Column) -> Column:
-    """The usable dates, in order of DATE_READ, of a map of tag and text: no placeholders, no sentinels."""
-    return F.filter(F.transform(F.array(*map(F.lit, DATE_READ)), lambda t: dates.from_text(F.try_element_at(tags, t))), lambda d: d.isNotNull())
+def read_dates(tags: DataFrame, by: list[str]) -> DataFrame:
+    """by, earliest and first of tags(.., tag, value): the earliest usable date of all, and that of the first tag, in order of DATE_READ, that has one.
+
+    Placeholders, sentinels and other tags are no dates; without any, both are null.
+    """
+    rank = F.array_position(F.array(*map(F.lit, DATE_READ)), F.col("tag"))
+    rows = tags.select(*by, F.when(rank > 0, rank).alias("rank"), dates.from_text(F.when(rank > 0, F.col("value"))).alias("taken"))
+    return rows.groupBy(*by).agg(F.min("taken").alias("earliest"), F.min_by("taken", F.when(F.col("taken").isNotNull(), F.struct("rank", "taken"))).alias("first"))
 
 
 def dms(x: Column) -> Column:

@@ -14,11 +14,8 @@ def dates_of_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
     tag = F.get(F.array(*map(F.lit, tags.DATE_READ)), (F.col("l_linenumber") * 3 % 10).cast("int"))
     value = F.when(F.col("l_partkey") % 5 == 0, "0000:00:00 00:00:00").when(F.col("l_partkey") % 5 == 1, "1970:01:01 00:00:00").otherwise(F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss"))
-    # A tag has one value; so a map has at most ten.
     each = li.groupBy("l_orderkey", tag.alias("tag")).agg(F.min(value).alias("value"))
-    rows = each.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("tags"))
-    found = tags.read_dates(F.col("tags"))
-    return rows.select("l_orderkey", text_of(F.array_min(found)).alias("earliest"), text_of(F.get(found, 0)).alias("first_tag"))
+    return tags.read_dates(each, ["l_orderkey"]).select("l_orderkey", text_of("earliest").alias("earliest"), text_of("first").alias("first_tag"))
 
 
 on("dates_of_ten_tags", dates_of_tags, """WITH t AS (SELECT l_orderkey, l_linenumber * 3 % 10 AS rank, min(CASE l_partkey % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END) AS v FROM lineitem GROUP BY ALL)

@@ -143,5 +143,6 @@ def test_seconds_carry_over(spark):
 
 
 def test_dates_of_tags_skip_what_is_none(spark):
-    df = spark.createDataFrame([({"CreateDate": "2001:01:01 00:00:00", "DateTimeOriginal": "0000:00:00", "ModifyDate": "2000:01:01 00:00:00", "Other": "1999:01:01"},), ({"DateTime": "1904:01:01 00:00:00"},), (None,)], "t map<string,string>")
-    assert [[d.year for d in r[0] or []] for r in df.select(tags.read_dates(F.col("t"))).collect()] == [[2001, 2000], [], []]
+    rows = [(1, "CreateDate", "2001:01:01 00:00:00"), (1, "DateTimeOriginal", "0000:00:00"), (1, "ModifyDate", "2000:01:01 00:00:00"), (1, "Other", "1999:01:01"), (2, "DateTime", "1904:01:01 00:00:00"), (3, None, None), (4, "DateTime", None)]
+    got = {r["i"]: tuple(d and d.year for d in (r["earliest"], r["first"])) for r in tags.read_dates(spark.createDataFrame(rows, "i int, tag string, value string"), ["i"]).collect()}
+    assert got == {1: (2000, 2001), 2: (None, None), 3: (None, None), 4: (None, None)}
