@@ -96,11 +96,6 @@ def all_files(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other).dropDuplicates(["source", "target", "link"])
 
 
-def replaced(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """rows(entity, ..) with each entity that mapping(old, new) merged away under its new name."""
-    return rows.join(mapping, rows["entity"] == mapping["old"], "left").withColumn("entity", F.coalesce("new", "entity")).drop("old", "new")
-
-
 def reserved_names(links: DataFrame) -> DataFrame:
     """links(entity, album, file_id, base) with the name each link takes in its album: ``base``, then ``stem(n).ext``."""
     n = F.row_number().over(Window.partitionBy("entity", "album", "base").orderBy("file_id")) - 1

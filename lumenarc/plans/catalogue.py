@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names, repairs
 from lumenarc.operators import content, entities, execute, matching, moves, tags
+from lumenarc.runtime import Workspace
 from lumenarc.sources import zips
 from lumenarc.sources.archive import EXIF_TAG_SQL, FILES_SQL, SIDECARS_SQL, exif, files, sidecars
 
@@ -147,15 +148,29 @@ def dms(spark: SparkSession, sf_dir: str) -> DataFrame:
 on("geo_dms", dms, MATCH_SQL + ", g AS (SELECT file_id, CAST(json_extract_string(body, '$.geoData.latitude') AS DOUBLE) AS la, CAST(json_extract_string(body, '$.geoData.longitude') AS DOUBLE) AS lo FROM matched) SELECT file_id, CAST(floor(abs(la)) AS INT) AS lat_deg, CAST(floor(abs(la) * 60 % 60) AS INT) AS lat_min, CASE WHEN la < 0 THEN 'S' ELSE 'N' END AS lat_ref, CAST(floor(abs(lo)) AS INT) AS lon_deg, CAST(floor(abs(lo) * 60 % 60) AS INT) AS lon_min, CASE WHEN lo < 0 THEN 'W' ELSE 'E' END AS lon_ref FROM g")
 
 
-def found_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def found_dates(spark: SparkSession, sf_dir: str, sidecar_of: DataFrame | None = None) -> DataFrame:
     f = files(spark, sf_dir)
-    return matching.method_dates(f, matching.sidecar_match(f, sidecars(spark, sf_dir), tryhard=True), exif(spark, sf_dir), LATEST_YEAR)
+    met = matching.sidecar_match(f, sidecars(spark, sf_dir), tryhard=True) if sidecar_of is None else sidecar_of
+    return matching.method_dates(f, met, exif(spark, sf_dir), LATEST_YEAR)
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.date_waterfall(found_dates(spark, sf_dir))
 
 
+def dated_and_placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dates, and the fields of careful sidecars: both of one match by all strategies, written once."""
+    met = Workspace(spark, "matched").save(matching.sidecar_match(files(spark, sf_dir), sidecars(spark, sf_dir), tryhard=True), "matched")
+    careful = met.filter(F.col("strategy").isin([s for s, _ in matching.STRATEGIES[: matching.BASIC]]))
+    return matching.date_waterfall(found_dates(spark, sf_dir, met)), matching.sidecar_fields(careful)
+
+
+def partner_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days, fields = dated_and_placed(spark, sf_dir)
+    rows = days.join(fields.select("file_id", "partner_shared"), "file_id", "left")
+    return rows.select("file_id", moves.main_directory(F.col("taken"), 2, F.coalesce("partner_shared", F.lit(False))).alias("target"))
+
+
 CAREFUL_SQL = f"strategy IN ({quoted([s for s, _ in matching.STRATEGIES[: matching.BASIC]])})"
 DATED_SQL = match_sql(True) + f""", w AS (SELECT f.file_id, CASE WHEN {CAREFUL_SQL} THEN {TAKEN_SQL} END AS jd, {EXIF_TAG_SQL} AS ed, {NAME_DATE_SQL} AS gd, CASE WHEN NOT {CAREFUL_SQL} THEN {TAKEN_SQL} END AS hd, {FOLDER_DATE_SQL} AS fd
     FROM (SELECT file_id, folder, name, ext FROM file) f LEFT JOIN (SELECT file_id, strategy, body FROM matched) m USING (file_id)),
@@ -235,7 +250,7 @@ u AS (SELECT *, regexp_replace(title, '\.[a-zA-Z0-9]{2,5}$', '') AS full_name FR
 v AS (SELECT *, CASE WHEN length(stem) < length(full_name) AND starts_with(lower(full_name), lower(stem)) THEN replace(full_name, ':', '_') || '.' || ext END AS new_name FROM u),
 w AS (SELECT *, CASE WHEN body IS NULL THEN 'no sidecar' WHEN title = '' THEN 'no title' WHEN new_name IS NULL THEN 'not truncated' WHEN (folder, new_name) IN (SELECT (folder, name) FROM file) THEN 'target exists' ELSE 'truncated' END AS status FROM v) """
 on("title_truncation_status", lambda s, d: matching.title_status(matched(s, d), files(s, d)), TITLE_SQL + "SELECT file_id, status, CASE WHEN status = 'truncated' THEN new_name END AS new_name FROM w")
-on("partner_shared", lambda s, d: dated(s, d).join(matching.sidecar_fields(matched(s, d)).select("file_id", "partner_shared"), "file_id", "left").select("file_id", moves.main_directory(F.col("taken"), 2, F.coalesce("partner_shared", F.lit(False))).alias("target")), DATED_SQL + "SELECT file_id, CASE WHEN json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL THEN 'PARTNER_SHARED/' ELSE '' END || 'ALL_PHOTOS/' || coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS target FROM dated LEFT JOIN (SELECT file_id, body FROM matched WHERE " + CAREFUL_SQL + ") USING (file_id)")
+on("partner_shared", partner_targets, DATED_SQL + "SELECT file_id, CASE WHEN json_extract(body, '$.googlePhotosOrigin.fromPartnerSharing') IS NOT NULL THEN 'PARTNER_SHARED/' ELSE '' END || 'ALL_PHOTOS/' || coalesce(strftime(taken, '%Y/%m'), 'date-unknown') AS target FROM dated LEFT JOIN (SELECT file_id, body FROM matched WHERE " + CAREFUL_SQL + ") USING (file_id)")
 
 
 def camera_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,8 +357,8 @@ on_files("write_unsupported", not_written, ", u AS (SELECT file_id, CASE WHEN fi
 
 def tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, tags: the whole set for each dated or placed file, JPEG ones under XMP names."""
-    fields = matching.sidecar_fields(matched(spark, sf_dir)).select("file_id", "latitude", "longitude")
-    rows = files(spark, sf_dir).select("file_id", "ext").join(dated(spark, sf_dir), "file_id").join(fields, "file_id", "left")
+    days, fields = dated_and_placed(spark, sf_dir)
+    rows = files(spark, sf_dir).select("file_id", "ext").join(days, "file_id").join(fields.select("file_id", "latitude", "longitude"), "file_id", "left")
     plain = tags.tags_of(F.col("taken"), F.col("method"), F.col("latitude"), F.col("longitude"))
     rows = rows.withColumn("plain", plain).filter(F.size("plain") > 0)
     return rows.select("file_id", tags.tag_key(F.when(F.col("ext") == "jpg", tags.as_xmp(F.col("plain"))).otherwise(F.col("plain"))).alias("tags"))

@@ -126,7 +126,8 @@ def test_files_of_a_signature_of_their_own_are_never_hashed(spark, root, monkeyp
 def test_unreadable_files_are_errors(spark, tmp_path):
     for n in "ab":
         (tmp_path / f"{n}.jpg").write_bytes(b"1234")
-    files = table_of(spark, tmp_path).localCheckpoint()
+    files = table_of(spark, tmp_path)
+    files = spark.createDataFrame([tuple(r) for r in files.collect()], files.schema)
     (tmp_path / "b.jpg").unlink()
     found = refine.refined(files, refine.OfFiles())
     assert found.members.count() == 0 and [(r["phase"], "FileNotFoundError" in r["error"]) for r in found.errors.collect()] == [("hash", True)]
