@@ -5,9 +5,13 @@ say nothing nor so rare that they are noise) form the lexicon. A document's
 lexicon terms, distinct and sorted, are hashed; further hashes take only the
 terms of one of several randomised subsets of the lexicon, drawn at three
 rates, so that documents which differ in some terms still agree in a part of
-their hashes. The lexicon has at most (mean distinct terms of a document) /
-``MIN_SHARE`` terms, whatever the number of documents, as every term in it is
-in at least ``MIN_SHARE`` of them; that bounds what is broadcast.
+their hashes. Texts that many rows repeat count once, so that copies don't
+push their own terms out of the band. A document with few lexicon terms (of
+rare terms, in a tiny table, in a large family of near copies) is hashed by
+all its terms instead. The lexicon has at most (mean distinct terms of a
+document) / ``MIN_SHARE`` terms, as every term in it is in at least
+``MIN_SHARE`` of them, and never more than ``LEXICON``: that bounds what is
+broadcast.
 """
 
 from __future__ import annotations
@@ -24,12 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.llm.common import mix, small_batches, table, texts
+from lumenarc.runtime import Workspace
 
 #: The band of the inverse document frequency, as shares of the documents.
 MIN_SHARE, MAX_SHARE = 0.001, 0.2
 #: Subsets per rate at which a lexicon term belongs to a subset.
 RATES, PER_RATE = (1 / 16, 1 / 64, 1 / 256), 8
 SUBSETS = len(RATES) * PER_RATE
+#: Documents with fewer lexicon terms are hashed by all their terms: few of them would make unlike documents equal.
+FEW = 8
+#: Most terms of a lexicon; where the band holds more, its low end rises.
+LEXICON = 1 << 20
+#: A text that at least 1 / HOT of all rows have counts as one document; there are at most HOT such texts.
+HOT = 4096
+#: What a hot text's copies add up to, dealt out evenly in whole numbers.
+UNIT = 1 << 40
 #: Terms that one task counts before it passes its counts on.
 FLUSH = 300_000
 
@@ -41,27 +54,44 @@ def distinct_terms(text: bytes) -> set[bytes]:
     return set(text.translate(FOLD).split())
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term binary, df long over all documents; null counts as empty."""
+def hot_texts(docs: DataFrame, rows: int, text: str = "text") -> dict[int, int]:
+    """xxhash64 and rows of each text that several rows and at least 1 / HOT of all have; HOT entries at most."""
+    same = docs.groupBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("same")).agg(F.count("*").alias("n"))
+    return {r["same"]: r["n"] for r in same.filter(F.col("n") >= max(2, rows / HOT)).collect()}
+
+
+def document_frequencies(docs: DataFrame, text: str = "text", hot: dict[int, int] | None = None) -> DataFrame:
+    """term binary, df long over all documents; null counts as empty, the rows of each ``hot`` text as one document."""
+    hot = hot or {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        parts: Counter = Counter()  # of hot texts, in shares of UNIT
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "df"])
+            terms = list(seen | parts)
+            columns = [pa.array(terms, pa.binary()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (seen, parts))]
             seen.clear()
-            return batch
+            parts.clear()
+            return pa.RecordBatch.from_arrays(columns, ["term", "df", "part"])
 
         for batch in batches:
-            for body in texts(batch):
-                seen.update(distinct_terms(body))
-                if len(seen) > FLUSH:
+            for body, same in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
+                copies = hot.get(same)
+                if copies is None:
+                    seen.update(distinct_terms(body))
+                else:
+                    share = UNIT // copies
+                    for term in distinct_terms(body):
+                        parts[term] += share
+                if len(seen) + len(parts) > FLUSH:
                     yield out()
-        if seen:
+        if seen or parts:
             yield out()
 
-    partial = docs.select(F.col(text).alias("text")).mapInArrow(count, "term binary, df long")
-    return partial.groupBy("term").agg(F.sum("df").alias("df"))
+    given = docs.select(F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("same"))
+    sums = given.mapInArrow(count, "term binary, df long, part long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("part").alias("part"))
+    return sums.select("term", (F.col("df") + F.floor((F.col("part") + UNIT // 2) / UNIT)).alias("df"))
 
 
 class Lexicon:
@@ -71,21 +101,32 @@ class Lexicon:
         terms = sorted(terms)
         self.at = {t: i for i, t in enumerate(terms)}
         self.hashes = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
-        draws = mix(self.hashes[:, None] + np.arange(1, SUBSETS + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)) if terms else np.zeros((0, SUBSETS), np.uint64)
+        self.member = self.subsets(self.hashes)
+
+    @staticmethod
+    def subsets(hashes: np.ndarray) -> np.ndarray:
+        """Which of the subsets each term belongs to; its hash alone decides."""
+        draws = mix(hashes[:, None] + np.arange(1, SUBSETS + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
         bounds = np.repeat([int(r * (1 << 53)) for r in RATES], PER_RATE).astype(np.uint64)
-        self.member = (draws >> np.uint64(11)) < bounds[None]
+        return (draws >> np.uint64(11)) < bounds[None]
 
     def fingerprint(self, text: bytes) -> str:
         """32 hex digits for all lexicon terms, then 8 for each subset ('-' without a term).
 
-        A text without any lexicon term has the hash of its bytes instead, so
-        it only equals the same text.
+        With fewer than FEW lexicon terms all terms of the text take their
+        place. A text without any term (empty, only punctuation) has the hash
+        of its bytes instead, so it only equals the same text.
         """
         get = self.at.get
-        at = sorted({i for t in distinct_terms(text) if (i := get(t)) is not None})
-        if not at:
+        terms = distinct_terms(text)
+        at = sorted({i for t in terms if (i := get(t)) is not None})
+        if not terms:
             return "=" + hashlib.md5(text, usedforsecurity=False).hexdigest()
-        hashes, member = self.hashes[at], self.member[at]
+        if len(at) < FEW:
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in sorted(terms)], np.uint64)
+            member = self.subsets(hashes)
+        else:
+            hashes, member = self.hashes[at], self.member[at]
         parts = [xxhash.xxh3_128_hexdigest(hashes.tobytes())]
         for k in range(SUBSETS):
             own = hashes[member[:, k]]
@@ -103,10 +144,27 @@ def likeness(a: str, b: str) -> float:
     return sum(x == y for x, y in pairs) / len(pairs)
 
 
-def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> Lexicon:
-    n = docs.count()
-    inside = document_frequencies(docs, text).filter(F.col("df").between(int(np.ceil(max(1, min_share * n))), int(max_share * n)))
-    return Lexicon([bytes(r["term"]) for r in inside.select("term").collect()])
+def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, most: int = LEXICON) -> Lexicon:
+    """The terms in the band of ``min_share`` to ``max_share`` of all documents, texts that many rows repeat taken once.
+
+    Null and empty texts count as documents without terms. In a tiny or empty
+    table no term may be in the band: the lexicon is empty then. Should the
+    band hold over ``most`` terms, its low end rises to the first document
+    frequency that leaves no more.
+    """
+    rows = docs.count()
+    hot = hot_texts(docs, rows, text)
+    n = rows - sum(hot.values()) + len(hot)
+    inside = document_frequencies(docs, text, hot).filter(F.col("df").between(int(np.ceil(max(1, min_share * n))), int(max_share * n)))
+    work = Workspace(docs.sparkSession, "imatch")
+    inside = work.save(inside, "band")
+    while (found := inside.count()) > most:
+        # The rank is approximate, so one step may leave some too many; each step takes at least one frequency away.
+        low = inside.agg(F.percentile_approx("df", 1 - most / found, 10_000).alias("low")).first()["low"]
+        inside = inside.filter(F.col("df") > low)
+    words = Lexicon([bytes(r["term"]) for r in inside.select("term").collect()])
+    work.remove()
+    return words
 
 
 def fingerprints(docs: DataFrame, words: Lexicon, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -145,7 +203,8 @@ def with_next(docs: DataFrame, words: Lexicon, parts: int | None = None, doc_id:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
     Next is by ascending id, after the last the first; rows that share an id
-    follow each other by text, and a null id comes first. Texts are shuffled
+    follow each other by text, and a null id comes first. Null texts count as
+    empty; a table of one row is its own next, an empty one gives none. Texts are shuffled
     once, to ranges of ids; each range also gets the first row of the next one.
     """
     spark = docs.sparkSession

@@ -256,17 +256,41 @@ def test_imatch_fingerprints_against_plain_python(spark, odd):
     words = imatch.lexicon(odd, min_share=0.1, max_share=0.9)
     texts = [r[1] or "" for r in ROWS]
     terms = [set("".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.translate({i: i + 32 for i in range(65, 91)})).encode().split()) for t in texts]
-    df = Counter(x for own in terms for x in own)
-    assert sorted(words.at) == sorted(t for t, n in df.items() if 1 <= n <= int(0.9 * len(texts)))
+    once = dict(zip(texts, terms, strict=True))  # copies count as one document
+    df = Counter(x for own in once.values() for x in own)
+    assert sorted(words.at) == sorted(t for t, n in df.items() if 1 <= n <= int(0.9 * len(once)))
     prints = [words.fingerprint(t.encode()) for t in texts]
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
-            inside = [x & set(words.at) for x in (terms[i], terms[j])]
-            same = inside[0] == inside[1] if any(inside) else a == b
+            used = [x & set(words.at) if len(x & set(words.at)) >= imatch.FEW else x for x in (terms[i], terms[j])]
+            same = used[0] == used[1] if any(used) else a == b
             assert (prints[i] == prints[j]) == same
             assert (imatch.likeness(prints[i], prints[j]) == 1.0) == same
 
 
+def test_imatch_copies_and_tiny_tables(spark):
+    hot = " ".join(f"hot{i}" for i in range(60))
+    own = [" ".join(f"w{n}x{i}" for i in range(20)) + " " + " ".join(f"common{(n * 7 + i) % 90}" for i in range(40)) for n in range(150)]
+    docs = spark.createDataFrame(list(enumerate([hot] * 50 + own)), "doc_id long, text string")
+    copies = imatch.hot_texts(docs, 200)
+    assert list(copies.values()) == [50]
+    df = Counter({bytes(r["term"]).decode(): r["df"] for r in imatch.document_frequencies(docs, hot=copies).collect()})
+    assert df == Counter(t for text in [hot, *own] for t in set(text.split()))
+    # Copies of the hot text, a quarter of all rows, don't take its terms out of the band; a near copy is found.
+    words = imatch.lexicon(docs)
+    assert b"hot7" in words.at
+    edited = hot.replace("hot30 ", "other ")
+    assert 0.2 < imatch.likeness(words.fingerprint(hot.encode()), words.fingerprint(edited.encode())) < 1
+    assert imatch.likeness(words.fingerprint(hot.encode()), words.fingerprint(own[0].encode())) < 0.1
+    # Three texts: no term fits the band, so all terms count.
+    few = imatch.lexicon(docs.filter("doc_id >= 197"))
+    assert not few.at and 0.2 < imatch.likeness(few.fingerprint(hot.encode()), few.fingerprint(edited.encode())) < 1
+    # The bound on the lexicon lifts the low end of the band.
+    small = imatch.lexicon(docs, max_share=0.9, most=100)
+    assert sorted(small.at) == sorted(f"common{i}".encode() for i in range(90))
+    assert imatch.lexicon(docs.limit(0)).at == {} and imatch.hot_texts(docs.limit(0), 0) == {}
+
+
 def test_packing_of_blanks_that_break_the_fast_encoder():
     encoder = packing.Encoder()
     assert encoder.ids(" " * 2_000_000) == encoder.exact(" " * 2_000_000)
