@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lumenarc.plans import arriving, catalogue, entities, loose, refinement, runs, tags  # noqa: F401 - registers its queries
+from lumenarc.plans import arriving, catalogue, discovery, entities, loose, refinement, runs, tags  # noqa: F401 - registers its queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ["documents", "pages", "labels", "conversations", "events", "orders", "lineitem"]
