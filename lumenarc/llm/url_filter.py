@@ -140,7 +140,7 @@ ORACLE = """
 WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
     ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-u AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host,
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 fit AS (SELECT u.page_id, r.host || r.path AS rule, r.verdict,
                row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC) AS n
