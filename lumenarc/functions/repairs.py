@@ -1,11 +1,12 @@
 """Repairs of names and sampled signatures of contents.
 
-NFC, the emoji codec and FNV have no built-in form; they are Arrow-batched.
+NFC and FNV have no built-in form; they are Arrow-batched, NFC for names beyond ASCII alone.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -46,28 +47,46 @@ def repair(name: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(names: pd.Series) -> pd.Series:
+def _composed(names: pd.Series) -> pd.Series:
     return names.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def emoji_to_hex(names: pd.Series) -> pd.Series:
+def nfc(name: Column) -> Column:
+    """Characters and accents composed; names of ASCII alone, which have none to compose, don't leave the JVM."""
+    return F.coalesce(_composed(F.when(name.rlike(r"[^\x00-\x7f]"), name)), name)
+
+
+@cache
+def emoji_ranges() -> str:
+    """The characters of EMOJI as ranges of a pattern's class: the JVM's patterns know no such property."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = [ord(c) for c in regex.findall(f"(?V1){EMOJI}", every)]
+    starts = [c for c, before in zip(found, [-2, *found], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+def emoji_to_hex(name: Column) -> Column:
     """``_0x1f600_`` for each emoji and variation selector; with one, also for all beyond the basic plane."""
-    mark = regex.compile(f"(?V1){EMOJI}")
-    some = regex.compile(f"(?V1){EMOJI}|[\\U00010000-\\U0010FFFF]")
-    return names.map(lambda x: some.sub(lambda m: f"_0x{ord(m[0]):x}_", x) if mark.search(x) else x, na_action="ignore")
+    code = lambda c: F.concat(F.lit("_0x"), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-32"))), "^0+", ""), F.lit("_"))
+    coded = F.transform(F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(rf"[{emoji_ranges()}\x{{10000}}-\x{{10FFFF}}]"), code(c)).otherwise(c))
+    return F.when(name.rlike(f"[{emoji_ranges()}]"), F.array_join(coded, "")).otherwise(name)
 
 
-@F.pandas_udf(StringType())
-def hex_to_emoji(paths: pd.Series) -> pd.Series:
-    """Undoes ``emoji_to_hex`` in the last segment."""
-    code = regex.compile(r"_0x([0-9a-fA-F]{1,6})_")
+def hex_to_emoji(path: Column) -> Column:
+    """Undoes ``emoji_to_hex`` in the last segment; numbers of no character stay as they are."""
+    form = r"_0x([0-9a-fA-F]{1,6})_"
+    head = F.regexp_extract(path, "(?s)^(?:.*/)?", 0)
+    last = F.substring(path, F.length(head) + 1, F.length(path))
 
-    def back(path: str) -> str:
-        head, slash, last = path.rpartition("/")
-        return head + slash + code.sub(lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else m[0], last)
+    def char(code: Column) -> Column:
+        n = F.conv(code, 16, 10).cast("int")
+        known = (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("_0x"), code, F.lit("_")))
 
-    return paths.map(back, na_action="ignore")
+    # One text more than there are codes: nothing follows the last.
+    back = F.zip_with(F.split(last, form, -1), F.regexp_extract_all(last, F.lit(form), F.lit(1)), lambda text, code: F.concat(text, F.coalesce(char(code), F.lit(""))))
+    return F.when(last.rlike(form), F.concat(head, F.array_join(back, ""))).otherwise(path)
 
 
 def fnv1a(slices: list[bytes], basis: int, prime: int, dtype: type) -> np.ndarray:

@@ -200,14 +200,19 @@ def summary(results: DataFrame, root: str) -> DataFrame:
 
 
 def rename_pair(media: str, new_media: str, sidecar: str | None) -> None:
-    """Renames a file and its sidecar, or neither."""
-    if os.path.lexists(new_media):
-        raise FileExistsError(errno.EEXIST, "another file is there", new_media)
-    os.rename(media, new_media)
+    """Renames a file and its sidecar, or neither; what an earlier attempt renamed stays so."""
+    new_sidecar = f"{new_media}.json"
+    if os.path.lexists(media):
+        if os.path.lexists(new_media):
+            raise FileExistsError(errno.EEXIST, "another file is there", new_media)
+        os.rename(media, new_media)
+    elif not os.path.lexists(new_media):
+        raise FileNotFoundError(errno.ENOENT, "no such file", media)
+    elif sidecar is not None and not os.path.lexists(sidecar) and os.path.lexists(new_sidecar):
+        return
     if sidecar is None:
         return
     try:
-        new_sidecar = f"{new_media}.json"
         if os.path.lexists(new_sidecar):
             raise FileExistsError(errno.EEXIST, "another file is there", new_sidecar)
         os.rename(sidecar, new_sidecar)
@@ -216,6 +221,39 @@ def rename_pair(media: str, new_media: str, sidecar: str | None) -> None:
         raise
 
 
+def rename_plan(files: DataFrame, fixes: DataFrame, found: DataFrame, root: str = "") -> DataFrame:
+    """op_id, media, new_media, sidecar of fixes(file_id, new_name): files(file_id, folder, name) beside their sidecar.
+
+    found(file_id, dir, json_name) are the sidecars of those that have one. Of
+    files that share a sidecar the least id takes it along; the others are
+    renamed alone.
+    """
+    # One row per sidecar before it meets the files.
+    own = found.join(fixes.select("file_id"), "file_id", "left_semi").groupBy("dir", "json_name").agg(F.min("file_id").alias("file_id"))
+    rows = fixes.select("file_id", "new_name").join(files.select("file_id", "folder", "name"), "file_id").join(own, "file_id", "left")
+    prefix = [F.lit(root)] if root else []
+    sidecar = F.when(F.col("json_name").isNotNull(), F.concat_ws("/", *prefix, "dir", "json_name"))
+    return rows.select(F.col("file_id").cast("string").alias("op_id"), F.concat_ws("/", *prefix, "folder", "name").alias("media"), F.concat_ws("/", *prefix, "folder", "new_name").alias("new_media"), sidecar.alias("sidecar"))
+
+
+def _rename_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        errors = []
+        for media, new_media, sidecar in b[["media", "new_media", "sidecar"]].itertuples(index=False, name=None):
+            try:
+                rename_pair(media, new_media, sidecar if isinstance(sidecar, str) else None)
+                errors.append(None)
+            except OSError as error:
+                errors.append(f"{type(error).__name__}: {error}")
+        yield pd.DataFrame({"op_id": b["op_id"], "new_media": b["new_media"], "ok": [e is None for e in errors], "error": errors})
+
+
+def rename_pairs(plan: DataFrame) -> DataFrame:
+    """op_id, new_media, ok, error of each pair of a rename plan; a pair that fails is left as it was and stops no other."""
+    ship(plan.sparkSession)
+    return Workspace(plan.sparkSession, "rename").save(plan.mapInPandas(_rename_all, "op_id string, new_media string, ok boolean, error string"), "renamed")
+
+
 def bisected(batch: list, act: Callable[[list], object]) -> tuple[list, list]:
     """(done, failed): a batch that fails as a whole is halved until the rows at fault stand alone."""
     done, failed, waiting = [], [], [batch] if batch else []

@@ -118,12 +118,3 @@ def resolve_root(path: str) -> str:
             if looks_like_one(candidate):
                 return candidate
     raise ValueError(f"no export found in {path}")
-
-
-def clone(root: str) -> str:
-    """A copy of ``root`` beside it, named ``_tmp``, ``_tmp1`` and so on: the first that is free."""
-    root = root.rstrip("/")
-    n = 0
-    while os.path.lexists(target := f"{root}_tmp{n or ''}"):
-        n += 1
-    return shutil.copytree(root, target, symlinks=True)

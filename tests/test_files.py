@@ -3,6 +3,7 @@
 import os
 import struct
 import zipfile
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions import exif
 from lumenarc.operators import content, execute, moves, progress
-from lumenarc.sources import zips
+from lumenarc.sources import clone, zips
 from lumenarc.sources.archive import scan
 
 CLAIMS = "claim_id int, dir string, name string"
@@ -126,9 +127,36 @@ def test_zip_entries_stay_inside(spark, tmp_path):
         zips.extract(archives, str(out))
 
 
-def test_clone_takes_the_first_free_name(tmp_path):
-    put(tmp_path / "in" / "a")
-    assert [os.path.basename(zips.clone(str(tmp_path / "in"))) for _ in range(3)] == ["in_tmp", "in_tmp1", "in_tmp2"]
+def test_clone_is_made_by_tasks(spark, tmp_path):
+    source = tmp_path / "in"
+    for i in range(12):
+        put(source / f"d{i % 3}" / "deep" / f"f{i}", b"x" * i)
+    os.symlink("f0", source / "d0" / "deep" / "link")
+    os.symlink("..", source / "d1" / "loop")
+    (source / "empty").mkdir()
+    os.utime(source / "d2", (1_000_000, 1_000_000))
+    target, done = clone.clone(spark, str(source) + "/", parts=3)
+    assert os.path.basename(target) == "in_tmp"
+    assert Counter((r["kind"], r["ok"]) for r in done.collect()) == {("dir", True): 7, ("file", True): 12, ("link", True): 2}
+    assert all(open(f"{target}/d{i % 3}/deep/f{i}", "rb").read() == b"x" * i for i in range(12))
+    assert os.readlink(f"{target}/d0/deep/link") == "f0" and os.readlink(f"{target}/d1/loop") == ".."
+    assert os.path.isdir(f"{target}/empty") and os.stat(f"{target}/d2").st_mtime == 1_000_000
+    assert os.path.basename(clone.free_name(str(source))) == "in_tmp1"
+    (tmp_path / "none").mkdir()
+    assert clone.clone(spark, str(tmp_path / "none"))[1].count() == 0
+
+
+def test_rename_pairs_on_a_plan(spark, tmp_path):
+    for name in ("a.png", "a.png.json", "b.png", "c.png", "c.png.json", "c.png.jpg.json", "e.png", "e.png.jpg"):
+        put(tmp_path / "F" / name, name.encode())
+    files = spark.createDataFrame([(i, "F", f"{n}.png") for i, n in enumerate("abcde")], "file_id long, folder string, name string")
+    fixes = files.selectExpr("file_id", "concat(name, '.jpg') as new_name")
+    found = spark.createDataFrame([(0, "F", "a.png.json"), (1, "F", "a.png.json"), (2, "F", "c.png.json"), (9, "F", "x.json")], "file_id long, dir string, json_name string")
+    plan = execute.rename_plan(files, fixes, found, str(tmp_path))
+    for _ in range(2):  # a task that runs twice finds its work done
+        got = {r["op_id"]: (r["ok"], (r["error"] or "").partition(":")[0]) for r in execute.rename_pairs(plan).collect()}
+        assert got == {"0": (True, ""), "1": (True, ""), "2": (False, "FileExistsError"), "3": (False, "FileNotFoundError"), "4": (False, "FileExistsError")}
+    assert sorted(os.listdir(tmp_path / "F")) == ["a.png.jpg", "a.png.jpg.json", "b.png.jpg", "c.png", "c.png.jpg.json", "c.png.json", "e.png", "e.png.jpg"]
 
 
 JPEG = b"\xff\xd8\xff\xe0\x00\x10JFIF\0\1\1\0\0\1\0\1\0\0\xff\xda\x00\x02data\xff\xd9"
