@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.operators import chains, matching, retry
+from lumenarc.operators import chains, execute, matching, retry
 from lumenarc.plans.catalogue import on
 
 # D2: each file has a name of its own, and a sidecar by one of seven ways
@@ -35,6 +35,18 @@ SELECT file_id, arg_min(stage, r) AS stage, arg_min(dir, r) AS dir, arg_min(json
 """
 on("extension_sidecars", lambda s, d: matching.staged_match(*fix_tables(s, d)), FIX_SQL)
 
+
+def extension_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other file gets another extension; its sidecar goes with it."""
+    files, there = fix_tables(spark, sf_dir)
+    fixes = files.filter("file_id % 2 = 0").select("file_id", F.concat("name", F.lit(".png")).alias("new_name"))
+    return execute.rename_plan(files, fixes, matching.staged_match(files, there), "in")
+
+
+on("extension_renames", extension_renames, f"""WITH found AS ({FIX_SQL}), g AS (SELECT doc_id AS file_id, coalesce(source, 'none') || CASE WHEN doc_id % 7 IN (3, 4) THEN '  ' ELSE '' END AS folder, 'P' || doc_id || 'q' || CASE WHEN doc_id % 7 = 5 THEN '-edi' ELSE '' END || '.jpg' AS name FROM documents WHERE doc_id % 2 = 0),
+o AS (SELECT dir, json_name, min(file_id) AS file_id FROM found WHERE file_id % 2 = 0 GROUP BY dir, json_name)
+SELECT CAST(file_id AS VARCHAR) AS op_id, 'in/' || folder || '/' || name AS media, 'in/' || folder || '/' || name || '.png' AS new_media, 'in/' || dir || '/' || json_name AS sidecar FROM g LEFT JOIN o USING (file_id)""")
+
 # D5, E7: chains of eleven entities, each replaced by the one before it
 
 
