@@ -75,6 +75,15 @@ def bag(text: bytes) -> Bag:
     return ids, (n / n.sum()).astype(np.float32)
 
 
+def bags_of(rows: pa.Table, ids: str, shares: str) -> list[Bag]:
+    """The bags of two list columns as slices of their Arrow buffers: a Python number for each would take ten times their size."""
+    found = []
+    for batch in rows.select([ids, shares]).to_batches():
+        (a, a_at), (b, b_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns)
+        found += [(a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]) for i in range(batch.num_rows)]
+    return found
+
+
 def passage(text: bytes, words: int = 8) -> bytes:
     """Some words of the text, from a place that its checksum chooses."""
     found = text.split()
@@ -171,9 +180,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model
             kinds = [pa.list_(pa.int32()), pa.list_(pa.float32())] * 2
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(1), batch.column(2)], ["ids", "w", "part_ids", "part_w", "lang", "h"])
 
-    rows = chosen(labelled, text, lang).mapInArrow(count, "ids array<int>, w array<float>, part_ids array<int>, part_w array<float>, lang string, h long").orderBy("h", "lang").toArrow().to_pylist()
-    pair = lambda r, ids, w: (np.array(r[ids], np.int64), np.array(r[w], np.float32))
-    return fit([pair(r, "ids", "w") for r in rows], [pair(r, "part_ids", "part_w") for r in rows], [r["lang"] for r in rows])
+    rows = chosen(labelled, text, lang).mapInArrow(count, "ids array<int>, w array<float>, part_ids array<int>, part_w array<float>, lang string, h long").orderBy("h", "lang").toArrow()
+    return fit(bags_of(rows, "ids", "w"), bags_of(rows, "part_ids", "part_w"), rows["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
