@@ -10,9 +10,9 @@ documents (the README has figures). The join therefore has two parts.
    table into regions that no link leaves. By size, sets fall into classes; a
    class cuts the universe of n-grams into more parts than two linked sets of
    it can differ in n-grams, so linked sets agree in one part altogether, and
-   meet there. Parts of one or two n-grams don't count; a set whose parts that
-   agree could all be such also meets others by its first n-grams, as in prefix
-   filtering. Sets that meet, directly or through others, form a region.
+   meet there. Parts of one or two n-grams don't count; sets whose parts that
+   agree could all be such meet in another cut, and after ``CUTS`` of them by
+   their first n-grams, as in prefix filtering. Sets that meet, directly or through others, form a region.
 2. Within a region, pivots are documents. All are measured against them, and
    links to pivots join components. A document goes to the Voronoi region of
    its nearest pivot and to each other one that the triangle inequality allows
@@ -45,6 +45,8 @@ from lumenarc.llm.components import connected_components
 from lumenarc.llm.line_dedup import bitmap, maybe_in
 from lumenarc.runtime import Workspace
 
+#: Cuts of the universe, each tried where the one before left a set too many thin parts. The n-grams that come last may be those of a passage that many documents share.
+CUTS = 6
 #: Ratio of the sizes at the ends of a size class.
 CLASS_RATIO = 1.3
 #: N-grams up to which a part can count as thin: so little in common says nothing.
@@ -131,15 +133,17 @@ class Classes:
             differ, m = self.parts(c)
             if not differ:
                 continue  # only equal sets are linked, and those have one key
-            at = ((s >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-            sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > self.thin(c)
-            np.add.at(sums, at, mix(s + np.uint64(0x9E37)))
-            part = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
-            found.append(mix(sums + mix(part + np.uint64(1)))[some])
-            thin = m - int(some.sum())
-            own = min(differ, int((1 - self.threshold) / self.threshold * s.size))
-            if thin >= m - own:
-                # All parts that agree could be thin ones: meet by the first n-grams in hash order too.
+            own, each = min(differ, int((1 - self.threshold) / self.threshold * s.size)), mix(s + np.uint64(0x9E37))
+            for cut in range(CUTS):
+                at = (((mix(s + np.uint64(cut)) if cut else s) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+                sums, some = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > self.thin(c)
+                np.add.at(sums, at, each)
+                part = np.arange(m, dtype=np.uint64) + np.uint64((c << 40) + (cut << 48))
+                found.append(mix(sums + mix(part + np.uint64(1)))[some])
+                if m - int(some.sum()) < m - own:
+                    break
+                # All parts that agree could be thin ones: two such sets meet in the next cut, or after the last by the first n-grams.
+            else:
                 first = s[: s.size - -(-self.threshold.numerator * s.size // self.threshold.denominator) + 1]
                 found.append(mix(first ^ mix(np.array([(c << 40) + (1 << 39)], np.uint64))))
         return np.concatenate(found)
@@ -436,7 +440,8 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
     # The bitmap only spares texts the shuffle; the join is exact.
     wanted = maybe_in(given, "doc_id", bitmap(live.select("least"), "least"))
     brought = wanted.join(placed, F.col("doc_id") == F.col("id")).select("key", F.col("region").cast("string").alias("region"), "text").mapInArrow(bring, "key long, unit string, grams binary")
-    now = work.save(brought, "grams").dropDuplicates(["unit", "key"]).withColumn("component", F.lit(None).cast("long"))
+    # Rows that repeat an id and its text come twice; what groups them leaves one.
+    now = work.save(brought, "grams").withColumn("component", F.lit(None).cast("long"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by unit: joins each unit's sets and returns a forest of links."""
@@ -458,6 +463,8 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
                     if len(sets) > 1:
                         yield out()
                     unit, keys, sets, known = u, [], [], []
+                elif key == keys[-1]:
+                    continue
                 keys.append(key), sets.append(np.frombuffer(grams, np.uint64)), known.append(component)
         if len(sets) > 1:
             yield out()
@@ -468,12 +475,13 @@ def links_of(given: DataFrame, live: DataFrame, words: int, threshold: Fraction,
     found = None
     now = now.withColumn("stuck", F.lit(False))
     for step in range(STEPS + 1):
-        sizes = work.save(now.groupBy("unit").agg(F.count("*").alias("members")), f"sizes-{step}")
+        sizes = work.save(now.select("unit", "key").distinct().groupBy("unit").agg(F.count("*").alias("members")), f"sizes-{step}")
         largest = sizes.agg(F.max("members")).first()[0] or 0
         sized = now.join(sizes, "unit")
         links = joined(sized.filter(F.col("members") <= REGION))
         if largest > REGION:
             large = sized.filter(F.col("members") > REGION)
+            large = large if step else large.dropDuplicates(["unit", "key"])
             stuck = F.col("stuck") if step < STEPS else F.lit(True)
             links = links.unionByName(joined(blocks(large.filter(stuck))))
             divided = work.save(divide(large.filter(~stuck), threshold, step), f"divided-{step}")
@@ -556,9 +564,9 @@ def blocks(large: DataFrame) -> DataFrame:
     own = lambda n: F.pmod(F.xxhash64(F.lit(37), "key"), F.col(n)).cast("int")
     unit = F.concat_ws("/", "unit", "x", "y")
     ones = named.withColumn("x", own("all")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
-    others = named.filter("rest").withColumn("y", own("outer")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    others = named.filter("rest").withColumn("y", own("outer")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).filter(F.col("x") != own("all"))  # where it isn't yet
     columns = [unit.alias("unit"), "key", "grams", "component"]
-    return ones.select(*columns).unionByName(others.select(*columns)).dropDuplicates(["unit", "key"])
+    return ones.select(*columns).unionByName(others.select(*columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,3 +314,18 @@ def test_classifiers_odd_rows(odd, none):
     space = quality.fit([("good plain words here", 1), ("BAD!! BAD!! %%%", 0)], 0.5)
     scores = [r["score"] for r in quality.score(odd, space).collect()]
     assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores) and quality.score(odd, None).first()["score"] == 0.5
+
+
+def test_sets_with_a_common_passage_do_not_all_meet():
+    """Sets with many thin parts met by their first n-grams, so a passage joined all of them to one region that grows with the table."""
+    rng, classes = np.random.default_rng(3), jaccard_join.Classes(Fraction(85, 100))
+    passage = np.arange(12, dtype=np.uint64) * np.uint64((1 << 35) + 7)  # first in hash order
+    draw = lambda n: rng.integers(1 << 40, 1 << 63, n, np.uint64)
+    cells = Counter(int(x) for _ in range(1500) for x in set(classes.signatures(np.unique(np.concatenate([passage, draw(200)]))).tolist()))
+    assert max(cells.values()) <= 10
+    for size in [1, 2, 3, 5, 7, 8, 10, 13, 20, 35, 60, 110, 200, 330, 700] * 60:  # no linked pair is lost
+        a = np.unique(draw(size))
+        b, gone = a, int(rng.integers(0, max(1, int(0.15 * a.size)) + 1))
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], draw(int(rng.integers(0, 1 + int(0.1 * size))))]))
+        if 100 * np.intersect1d(a, b).size >= 85 * np.union1d(a, b).size and not np.array_equal(a, b):
+            assert np.intersect1d(classes.signatures(a), classes.signatures(b)).size, (size, gone)
