@@ -89,18 +89,25 @@ def hex_to_emoji(path: Column) -> Column:
     return F.when(last.rlike(form), F.concat(head, F.array_join(back, ""))).otherwise(path)
 
 
+#: Bytes of contents that are hashed at a time.
+GRID = 16 << 20
+
+
 def fnv1a(slices: list[bytes], basis: int, prime: int, dtype: type) -> np.ndarray:
     """FNV-1a of each slice: byte by byte, all slices at a time, in unsigned arithmetic that wraps."""
-    sizes = np.array([len(s) for s in slices])
-    order = np.argsort(-sizes, kind="stable")
-    grid = np.zeros((len(slices), max(sizes, default=0)), np.uint8)
-    for row, i in enumerate(order):
-        grid[row, : sizes[i]] = np.frombuffer(slices[i], np.uint8)
-    h, live = np.full(len(slices), basis, dtype), np.searchsorted(-sizes[order], -np.arange(grid.shape[1]), "left")
-    for j, n in enumerate(live):
-        h[:n] = (h[:n] ^ grid[:n, j]) * dtype(prime)
-    out = np.empty_like(h)
-    out[order] = h
+    sizes = np.array([len(s) for s in slices], np.int64)
+    order, out, at = np.argsort(-sizes, kind="stable"), np.full(len(slices), basis, dtype), 0
+    while at < len(order) and sizes[order[at]]:
+        # The longest that are left, as many as fit into one grid of their width.
+        own = order[at : at + max(1, GRID // int(sizes[order[at]]))]
+        grid = np.zeros((len(own), sizes[own[0]]), np.uint8)
+        for row, i in enumerate(own):
+            grid[row, : sizes[i]] = np.frombuffer(slices[i], np.uint8)
+        h, live = np.full(len(own), basis, dtype), np.searchsorted(-sizes[own], -np.arange(grid.shape[1]), "left")
+        for j, n in enumerate(live):
+            h[:n] = (h[:n] ^ grid[:n, j]) * dtype(prime)
+        out[own] = h
+        at += len(own)
     return out
 
 
