@@ -12,7 +12,8 @@
    then, while lines of unlike components would make too many pairs, with one
    more line outside the cell's largest component; at last all lines of
    different components with each other. So no pair of a cell goes uncompared
-   unless both are in one component already. Pairs whose signatures agree in
+   unless both are in one component already. Four bits of each minimum travel
+   with a line, so that pairs that can't agree go where they meet. Pairs whose signatures agree in
    fewer than ``AGREE`` minima are not verified.
 3. Pairs are kept if the exact Jaccard similarity of their lines, as sets of
    all shingles, is at least the threshold.
@@ -28,6 +29,7 @@ Native: DataFrame functions only. Lines are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,6 +131,24 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike(r"\S")).withColumn("lh", F.xxhash64("line"))
 
 
+def sketch() -> list[Column]:
+    """Two numbers with four bits of each minimum."""
+    nibble = lambda k, at: F.shiftleft(F.shiftright(F.col(f"m{k}"), 3).bitwiseAND(F.lit(15)).cast("long"), 4 * at)
+    half = MINIMA // 2
+    return [functools.reduce(Column.bitwiseOR, (nibble(k, k - first) for k in range(first, first + half))).alias(f"s{i}") for i, first in enumerate((0, half))]
+
+
+def may_agree() -> Column:
+    """Whether the sketches s and t allow AGREE equal minima: equal minima have equal bits, so no pair that agrees is lost."""
+    differ = F.lit(0)
+    for i in range(2):
+        x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x0111_1111_1111_1111))
+        differ = differ + F.bit_count(x)
+    return differ <= MINIMA - AGREE
+
+
 def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Different pairs of pairs(a, b, level) with at least AGREE equal minima."""
     mins = F.array(*(f"m{k}" for k in range(MINIMA)))
@@ -164,25 +184,26 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: float) -> DataFrame:
     """node, component of the lines linked by similar pairs of a cell."""
     bands = F.array(*(F.xxhash64(F.lit(j), "level", *(f"m{k}" for k in own)) for j, own in enumerate(band_rows())))
-    banded = signed.filter("m0 IS NOT NULL").select("lh", "level", F.explode(bands).alias("band"))
+    banded = signed.filter("m0 IS NOT NULL").select("lh", "level", *sketch(), F.explode(bands).alias("band"))
     cells = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("lh").alias("low")).filter("size > 1")
     cells = work.save(cells, "cells")
     met = work.save(maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band"), "met")
     # Few pairs in all: then no cell is large.
     most = cells.agg(F.sum("size").alias("rows"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs"), F.max("size").alias("largest")).first()
     bound = most["largest"] or 0 if (most["pairs"] or 0) <= OPEN_PAIRS * (most["rows"] or 0) else CELL
-    small = met.filter(F.col("size") <= bound).select("band", "level", "lh")
-    pairs = small.join(small.select("band", F.col("lh").alias("other")), "band").filter("lh < other").select("level", "lh", "other")
+    small = met.filter(F.col("size") <= bound).select("band", "level", "lh", "s0", "s1")
+    # Most pairs met by chance; their sketches tell before anything of them is shuffled.
+    pairs = small.join(small.toDF("band", "level", "other", "t0", "t1"), ["band", "level"]).filter("lh < other").filter(may_agree()).select("level", "lh", "other")
     # The least lines of large cells meet all others first and then leave.
     rest = met.filter((F.col("size") > bound) & (F.col("lh") != F.col("low")))
     size = rest.count()
     kept = alike(ordered(pairs.unionByName(rest.select("level", "lh", F.col("low").alias("other")))), signed, lines, work, threshold, 0)
     if not size:
         return connected_components(kept, work, "lines")
-    rest = rest.select("band", "level", "lh")
+    rest = rest.select("band", "level", "lh", "s0", "s1")
     for step in range(1, ROUNDS + 1):
         components = connected_components(kept, work, f"lines-{step}")
-        named = rest.join(components.withColumnRenamed("node", "lh"), "lh", "left").select("band", "level", "lh", F.coalesce("component", "lh").alias("c"))
+        named = rest.join(components.withColumnRenamed("node", "lh"), "lh", "left").select("band", "level", "lh", "s0", "s1", F.coalesce("component", "lh").alias("c"))
         named = work.save(named, f"named-{step}")
         n = F.col("n").cast("double")
         sizes = named.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band")
@@ -193,11 +214,11 @@ def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: floa
             return components
         named = named.join(sizes.select("band", "major"), "band")
         last = left <= OPEN_PAIRS * size or step == ROUNDS
-        minor = named.filter("c <> major").select("band", F.col("lh").alias("other"), F.col("c").alias("d"))
+        minor = named.filter("c <> major").select("band", F.col("lh").alias("other"), F.col("c").alias("d"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
         if not last:
-            pivots = minor.groupBy("band").agg(F.min(F.struct("other", "d")).alias("p"))
+            pivots = minor.groupBy("band").agg(F.min(F.struct("other", "d", "t0", "t1")).alias("p"))
             minor = work.save(pivots.select("band", "p.*"), f"pivots-{step}")
-        pairs = named.join(minor, "band").filter("c <> d").select("level", "lh", "other")
+        pairs = named.join(minor, "band").filter("c <> d").filter(may_agree()).select("level", "lh", "other")
         found = alike(ordered(pairs), signed, lines, work, threshold, step)
         kept = work.save(kept.unionByName(found), f"links-{step}")
         for name in (f"kept-{step}", f"kept-{step - 1}", f"links-{step - 1}", f"named-{step - 1}", f"pivots-{step - 1}", f"open-{step - 1}"):
@@ -205,7 +226,7 @@ def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: floa
         if last:
             return connected_components(kept, work, "lines")
         # A pivot has met all that are left in its cell.
-        rest = named.join(minor.select("band", F.col("other").alias("lh")), ["band", "lh"], "left_anti").select("band", "level", "lh")
+        rest = named.join(minor.select("band", F.col("other").alias("lh")), ["band", "lh"], "left_anti").select("band", "level", "lh", "s0", "s1")
     raise AssertionError("the last round returns")
 
 

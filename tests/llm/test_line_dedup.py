@@ -131,3 +131,18 @@ def test_families_of_borderline_lines(spark):
     whole = {x: g for g in want for x in g}
     assert all(len({whole.get(x) for x in g}) == 1 for g in found.values() if len(g) > 1)
     assert links(found.values()) >= 0.98 * links(want)
+
+
+def test_pairs_that_meet_by_chance_go_no_further(spark, monkeypatch, tmp_path):
+    seen, agreeing = [], line_dedup.agreeing
+    monkeypatch.setattr(line_dedup, "band_rows", lambda: [[]])  # all lines in one cell
+    monkeypatch.setattr(line_dedup, "OPEN_PAIRS", 10**9)
+    monkeypatch.setattr(line_dedup, "agreeing", lambda pairs, signed: (seen.append(pairs.count()), agreeing(pairs, signed))[1])
+    rng, latin = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(rng.choices(latin, k=60)) for _ in range(120)]
+    lines += [edited(line, 30, latin, rng) for line in lines[:10]]
+    want, found = brute_groups(lines), {}
+    for line, grp in groups_of(spark, lines).items():
+        found.setdefault(grp, set()).add(line)
+    assert len(want) == 10 and {frozenset(x) for x in found.values()} == want
+    assert 10 <= sum(seen) <= 40  # of 8,385
