@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from lumenarc.runtime import Workspace, ship
 
 def strict_dates(payloads: list[str]) -> None:
     """Reads EXIF dates; one that is none refuses them all."""
-    pd.to_datetime(pd.Series(payloads), format="%Y:%m:%d", errors="raise")
+    pd.to_datetime(payloads, format="%Y:%m:%d", errors="raise")
 
 
 def bisected(ops: DataFrame, act: Callable[[list], object], by_name: bool = False) -> DataFrame:
@@ -40,15 +41,20 @@ def bisected(ops: DataFrame, act: Callable[[list], object], by_name: bool = Fals
     schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes) + ", part string, error string, size long"
 
     def tested(frame: pd.DataFrame) -> pd.DataFrame:
-        errors, sizes = pd.Series(index=frame.index, dtype=object), pd.Series(0, index=frame.index)
-        for _, group in frame.groupby("key", sort=False):
+        # Groups are runs of one key, as rows come sorted; lists, since pandas takes longer for a small group than most tools.
+        keys, payloads = frame["key"].to_numpy(), list(frame["payload"])
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        errors, sizes, start = [], [], 0
+        for end in ends:
             try:
-                act(list(group["payload"]))
+                act(payloads[start:end])
                 error = None
             except Exception as e:  # noqa: BLE001 - whatever the tool raises is a result
                 error = f"{type(e).__name__}: {e}"
-            errors[group.index], sizes[group.index] = error, len(group)
-        return frame.assign(error=errors, size=sizes).drop(columns="key")
+            errors += [error] * (end - start)
+            sizes += [end - start] * (end - start)
+            start = end
+        return frame.assign(error=pd.Series(errors, frame.index, object), size=pd.Series(sizes, frame.index, "int64")).drop(columns="key")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the last group may go on in the next frame; it is as small as a batch
