@@ -10,7 +10,8 @@ from lumenarc.runtime import Workspace
 from lumenarc.sources.archive import files, sidecars
 from lumenarc.streaming import discovery
 
-BATCHES = 4
+#: Files that a batch is written to, and a trigger takes.
+BATCHES, FILES = 4, 8
 
 
 def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,11 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = discovery.events(media, found).withColumn("batch", F.minute("at"))
     # After all others: moves the watermark so far that no file waits any more. Its dir makes it no one's match.
     last = spark.range(1).select(F.lit("").alias("dir"), F.lit("").alias("root"), (start + F.make_dt_interval(days=F.lit(9))).alias("at"), *(F.lit(None).cast("string").alias(c) for c in ("file_id", "name", "wanted")), F.lit("").alias("json_name"), F.lit(BATCHES).alias("batch"))
-    table = rows.unionByName(last)
+    # Made once by all tasks; each batch then copies its part.
+    table = work.save(rows, "rows", partition_by="batch").unionByName(last)
     for i in range(BATCHES + 1):
-        table.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{work.root}/events")
-    stream = spark.readStream.schema(table.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{work.root}/events")
+        table.filter(F.col("batch") == i).drop("batch").repartition(1 if i == BATCHES else FILES).write.mode("append").parquet(f"{work.root}/events")
+    stream = spark.readStream.schema(table.drop("batch").schema).option("maxFilesPerTrigger", FILES).parquet(f"{work.root}/events")
     matched = discovery.matched(stream, "1 hour")
     query = matched.writeStream.format("parquet").option("checkpointLocation", f"{work.root}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{work.root}/matched")
     query.awaitTermination()
