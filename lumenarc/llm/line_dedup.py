@@ -46,8 +46,8 @@ MINIMA, BANDS, ROWS = 30, 18, 5
 AGREE = 16
 #: Up to WHOLE characters lines are signed whole, from PART on by SOME shingles, from LONG on by a quarter of those (and no more by all up to LESS).
 PART, WHOLE, LONG, LESS = 160, 200, 640, 800
-#: Selected shingles are those that start with one of every fourth ASCII character or with any other character.
-SOME = "".join(f"\\x{c:02x}" for c in range(0, 128, 4)) + r"\x{80}-\x{10FFFF}"
+#: Of how many shingles one is selected, by its hash, at each level.
+SHARES = (1, 3, 12)
 #: Lines signed by a selection of fewer different shingles (counted in 64 bits) are also signed whole.
 FEW = 24
 #: Lines of a cell up to which all are paired in any case.
@@ -58,13 +58,16 @@ THRESHOLD = 0.8
 BITMAP_BITS = 1 << 24
 
 
-def runs(line: Column, first: str = ".") -> Column:
-    """All runs of SHINGLE characters whose first is in the class ``first``; none in a shorter line, which only equals the same line."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=({first}{'.' * (SHINGLE - 1)}))"), F.lit(1))
+def grams(line: Column) -> Column:
+    """The hashes of all runs of SHINGLE characters; none of a shorter line, which only equals the same line."""
+    size = 4 * SHINGLE
 
+    def of(wide: Column) -> Column:
+        last = F.octet_length(wide) - size
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(wide, at, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
 
-def grams(line: Column) -> Column:
-    return F.transform(runs(line), lambda run: F.xxhash64(run))
+    # Inside a transform, so that the line is encoded once and not for every run.
+    return F.transform(F.array(F.encode(line, "UTF-32")), of)[0]
 
 
 def salts() -> list[tuple[int, int]]:
@@ -79,31 +82,42 @@ def band_rows() -> list[list[int]]:
     return [order[i : i + ROWS] for order in orders for i in range(0, MINIMA, ROWS)][:BANDS]
 
 
-def signed_at(lines: DataFrame, level: int) -> DataFrame:
+def shingled(lines: DataFrame, levels: Column) -> DataFrame:
+    """lh, level, at, x: a row per line, level of the array ``levels`` and chosen shingle (by its hash x); at is 0 in exactly one of them.
+
+    A line's first shingle is always chosen; a line without one has a row with a null ``x``.
+    """
+    # Four bytes for every character: a shingle is then cut out by its place, not by a walk along the line.
+    wide = lines.select("lh", F.encode("line", "UTF-32").alias("wide"), F.explode(levels).alias("level"))
+    last = F.octet_length("wide") - 4 * SHINGLE
+    places = wide.select("lh", "level", "wide", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(4)))).alias("at"))
+    # No condition in what makes the hash: it is then computed once, not for each minimum.
+    x = F.xxhash64(F.substring("wide", F.col("at") + 1, F.lit(4 * SHINGLE)))
+    hashed = places.select("lh", "level", F.coalesce("at", F.lit(0)).alias("at"), F.col("at").isNotNull().alias("any"), x.alias("x"))
+    share = F.when(F.col("level") == 0, 1).when(F.col("level") == 1, SHARES[1]).otherwise(SHARES[2])
+    return hashed.filter((F.col("at") == 0) | (F.col("x").bitwiseAND(F.lit((1 << 32) - 1)) % share == 0))
+
+
+def signed_at(lines: DataFrame, levels: Column) -> DataFrame:
     """lh, level, uses, seen (64 bits that count different shingles) and the minima, null for lines without a shingle."""
-    shingles = lines.select("lh", F.posexplode_outer(runs(F.col("line"), f"[{SOME}]" if level else ".")).alias("at", "run"))
-    # No condition in what makes the hash: it is then computed once, not for each minimum. A line's first row counts the line and stays.
-    hashed = shingles.select("lh", F.coalesce("at", F.lit(0)).alias("at"), "run", F.xxhash64("run").alias("x"))
-    chosen = hashed.filter((F.col("at") == 0) | (F.col("x").bitwiseAND(F.lit(3)) == 0)) if level == 2 else hashed
     y = F.shiftrightunsigned("x", 33)
     minima = [F.min((y.bitwiseXOR(F.lit(s)) * F.lit(m)).bitwiseAND(F.lit((1 << 31) - 1))).alias(f"m{k}") for k, (s, m) in enumerate(salts())]
     seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), y.bitwiseAND(F.lit(63)).cast("int")))
-    found = chosen.groupBy("lh").agg(F.sum((F.col("at") == 0).cast("long")).alias("uses"), F.count("run").alias("n"), seen.alias("seen"), *minima)
-    return found.select("lh", F.lit(level).alias("level"), "uses", F.when(F.col("n") > 0, F.col("seen")).alias("seen"), *(F.when(F.col("n") > 0, F.col(f"m{k}").cast("int")).alias(f"m{k}") for k in range(MINIMA)))
+    found = shingled(lines, levels).groupBy("lh", "level").agg(F.sum((F.col("at") == 0).cast("long")).alias("uses"), F.max("any").alias("any"), seen.alias("seen"), *minima)
+    return found.select("lh", "level", "uses", F.when(F.col("any"), F.col("seen")).alias("seen"), *(F.when(F.col("any"), F.col(f"m{k}").cast("int")).alias(f"m{k}") for k in range(MINIMA)))
 
 
 def signatures(lines: DataFrame, work: Workspace) -> DataFrame:
     """The signatures of all lines: level 0 by all shingles, 1 and 2 by a selection."""
     n = F.length("line")
-    # A plan per level: one with both patterns costs twice as much.
-    parts = [signed_at(lines.filter(fits), level) for level, fits in enumerate((n <= WHOLE, n.between(PART, LESS), n >= LONG))]
-    signed = work.save(parts[0].unionByName(parts[1]).unionByName(parts[2]), "signatures")
+    levels = F.array_compact(F.array(F.when(n <= WHOLE, 0), F.when(n.between(PART, LESS), 1), F.when(n >= LONG, 2)))
+    signed = work.save(signed_at(lines, levels), "signatures")
     of = signed.groupBy("lh").agg(F.min("level").alias("level"), F.bool_or((F.col("level") > 0) & (F.coalesce(F.bit_count("seen"), F.lit(0)) < FEW)).alias("few"))
     few = work.save(of.filter("level > 0 and few").select("lh"), "few")
     if few.isEmpty():
         return signed
-    again = maybe_in(lines.select("lh", "line"), "lh", bitmap(few, "lh")).join(few, "lh", "left_semi")
-    return signed.unionByName(work.save(signed_at(again, 0), "signatures-few"))
+    again = maybe_in(lines.filter(n > WHOLE).select("lh", "line"), "lh", bitmap(few, "lh")).join(few, "lh", "left_semi")
+    return signed.unionByName(work.save(signed_at(again, F.array(F.lit(0))), "signatures-few"))
 
 
 def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -149,19 +163,19 @@ def may_agree() -> Column:
     return differ <= MINIMA - AGREE
 
 
-def agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Different pairs of pairs(a, b, level) with at least AGREE equal minima."""
-    mins = F.array(*(f"m{k}" for k in range(MINIMA)))
-    signs = signed.select("lh", "level", mins.alias("s"))
-    both = pairs.join(signs.select(F.col("lh").alias("a"), "level", F.col("s").alias("sa")), ["a", "level"])
-    both = both.join(signs.select(F.col("lh").alias("b"), "level", F.col("s").alias("sb")), ["b", "level"])
-    equal = sum((F.col("sa")[k] == F.col("sb")[k]).cast("int") for k in range(MINIMA))
-    return both.filter(equal >= AGREE).select("a", "b").distinct()
+def agreeing(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Different a < b of pairs(lh, other) that are in none of the tables ``done``."""
+    found = pairs.select(F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
+    for before in done:
+        found = found.join(before, ["a", "b"], "left_anti")
+    return found
 
 
-def alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame, work: Workspace, threshold: float, step: int) -> DataFrame:
-    """The a, b of pairs(a, b, level) whose lines have at least the threshold."""
-    pairs = work.save(agreeing(pairs, signed), f"pairs-{step}")
+def alike(pairs: DataFrame, lines: DataFrame, work: Workspace, threshold: float, done: list[DataFrame]) -> DataFrame:
+    """The a, b of pairs(lh, other) whose lines have at least the threshold; what is compared is added to ``done``, and was not if it is there."""
+    step = len(done)
+    pairs = work.save(agreeing(pairs, done), f"pairs-{step}")
+    done.append(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
     nodes = work.save(nodes, f"nodes-{step}")
     some = maybe_in(lines.select("lh", "line"), "lh", bitmap(nodes, "lh")).distinct()
@@ -171,62 +185,58 @@ def alike(pairs: DataFrame, signed: DataFrame, lines: DataFrame, work: Workspace
     sets = both.select("a", "b", grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
     common = sets.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("n"), F.size(F.array_union("ga", "gb")).alias("all"))
     kept = work.save(common.filter(F.col("n") >= threshold * F.col("all")).select("a", "b"), f"kept-{step}")
-    for name in ("pairs", "nodes", "texts"):
+    for name in ("nodes", "texts"):
         work.drop(f"{name}-{step}")
     return kept
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Different a < b, level of pairs(level, lh, other)."""
-    return pairs.select("level", F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
-
-
 def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: float) -> DataFrame:
     """node, component of the lines linked by similar pairs of a cell."""
     bands = F.array(*(F.xxhash64(F.lit(j), "level", *(f"m{k}" for k in own)) for j, own in enumerate(band_rows())))
-    banded = signed.filter("m0 IS NOT NULL").select("lh", "level", *sketch(), F.explode(bands).alias("band"))
-    cells = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("lh").alias("low")).filter("size > 1")
+    banded = signed.filter("m0 IS NOT NULL").select("lh", *sketch(), F.explode(bands).alias("band"))
+    cells = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("lh").alias("low")).filter("size > 1").select("band", "low")
     cells = work.save(cells, "cells")
     met = work.save(maybe_in(banded, "band", bitmap(cells, "band")).join(cells, "band"), "met")
-    # Few pairs in all: then no cell is large.
-    most = cells.agg(F.sum("size").alias("rows"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs"), F.max("size").alias("largest")).first()
-    bound = most["largest"] or 0 if (most["pairs"] or 0) <= OPEN_PAIRS * (most["rows"] or 0) else CELL
-    small = met.filter(F.col("size") <= bound).select("band", "level", "lh", "s0", "s1")
-    # Most pairs met by chance; their sketches tell before anything of them is shuffled.
-    pairs = small.join(small.toDF("band", "level", "other", "t0", "t1"), ["band", "level"]).filter("lh < other").filter(may_agree()).select("level", "lh", "other")
-    # The least lines of large cells meet all others first and then leave.
-    rest = met.filter((F.col("size") > bound) & (F.col("lh") != F.col("low")))
+    # All lines of a cell meet its least one, which then leaves. What met by chance is told by the sketches before it is shuffled.
+    least = met.filter("lh = low").select("band", *(F.col(f"s{i}").alias(f"t{i}") for i in range(2)))
+    pairs = met.filter("lh <> low").join(least, "band").filter(may_agree()).select("lh", F.col("low").alias("other"))
+    done: list[DataFrame] = []
+    components = connected_components(alike(pairs, lines, work, threshold, done), work, "lines-0")
+    rest = met.filter("lh <> low").select("band", "lh", "s0", "s1")
     size = rest.count()
-    kept = alike(ordered(pairs.unionByName(rest.select("level", "lh", F.col("low").alias("other")))), signed, lines, work, threshold, 0)
-    if not size:
-        return connected_components(kept, work, "lines")
-    rest = rest.select("band", "level", "lh", "s0", "s1")
     for step in range(1, ROUNDS + 1):
-        components = connected_components(kept, work, f"lines-{step}")
-        named = rest.join(components.withColumnRenamed("node", "lh"), "lh", "left").select("band", "level", "lh", "s0", "s1", F.coalesce("component", "lh").alias("c"))
+        named = rest.join(components.withColumnRenamed("node", "lh"), "lh", "left").select("band", "lh", "s0", "s1", F.coalesce("component", "lh").alias("c"))
         named = work.save(named, f"named-{step}")
         n = F.col("n").cast("double")
         sizes = named.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band")
-        sizes = sizes.agg(F.count("*").alias("parts"), ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("open"), F.max(F.struct("n", "c"))["c"].alias("major")).filter("parts > 1")
-        sizes = work.save(sizes.select("band", "open", "major"), f"open-{step}")
-        left = sizes.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("n")).first()["n"]
-        if not left:
+        sizes = sizes.agg(F.sum("n").alias("size"), ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("open"), F.max(F.struct("n", "c"))["c"].alias("major"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+        sizes = work.save(sizes.select("band", "open", "major", (F.col("size") - F.col("most")).alias("minors")), f"open-{step}")
+        left = sizes.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.when(F.col("minors") > CELL, 1)), F.lit(0)).alias("large")).first()
+        if not left["n"]:
             return components
-        named = named.join(sizes.select("band", "major"), "band")
-        last = left <= OPEN_PAIRS * size or step == ROUNDS
-        minor = named.filter("c <> major").select("band", F.col("lh").alias("other"), F.col("c").alias("d"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+        # All at once where that is at most CELL pairs a line, or few pairs in all.
+        last = left["large"] == 0 or left["n"] <= OPEN_PAIRS * size or step == ROUNDS
+        named = named.join(sizes.select("band", "major", ((F.col("minors") > CELL) & F.lit(not last)).alias("large")), "band")
+        minor = named.filter("c <> major").select("band", "large", F.col("lh").alias("other"), F.col("c").alias("d"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
         if not last:
-            pivots = minor.groupBy("band").agg(F.min(F.struct("other", "d", "t0", "t1")).alias("p"))
-            minor = work.save(pivots.select("band", "p.*"), f"pivots-{step}")
-        pairs = named.join(minor, "band").filter("c <> d").filter(may_agree()).select("level", "lh", "other")
-        found = alike(ordered(pairs), signed, lines, work, threshold, step)
-        kept = work.save(kept.unionByName(found), f"links-{step}")
-        for name in (f"kept-{step}", f"kept-{step - 1}", f"links-{step - 1}", f"named-{step - 1}", f"pivots-{step - 1}", f"open-{step - 1}"):
-            work.drop(name)
+            pivots = minor.filter("large").groupBy("band").agg(F.min(F.struct("other", "d", "t0", "t1")).alias("p"))
+            pivots = work.save(pivots.select("band", "p.*"), f"pivots-{step}")
+            minor = minor.filter("not large").drop("large").unionByName(pivots)
+        else:
+            minor = minor.drop("large")
+        pairs = named.join(minor, "band").filter("c <> d").filter(may_agree()).select("lh", "other")
+        found = alike(pairs, lines, work, threshold, done)
+        # Only components are joined from here on, so that their names are enough.
+        names = components.withColumnRenamed("component", "c")
+        ends = found.join(names.withColumnRenamed("node", "a").withColumnRenamed("c", "ca"), "a", "left").join(names.withColumnRenamed("node", "b").withColumnRenamed("c", "cb"), "b", "left")
+        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = connected_components(ends, work, f"lines-{step}").select(F.col("node").alias("c"), F.col("component").alias("e"))
+        both = names.join(joined, "c", "full").select(F.coalesce("node", "c").alias("node"), F.coalesce("e", "c").alias("component"))
+        components = work.save(both.unionByName(joined.select(F.col("c").alias("node"), F.col("e").alias("component"))).distinct(), f"components-{step}")
         if last:
-            return connected_components(kept, work, "lines")
+            return components
         # A pivot has met all that are left in its cell.
-        rest = named.join(minor.select("band", F.col("other").alias("lh")), ["band", "lh"], "left_anti").select("band", "level", "lh", "s0", "s1")
+        rest = named.filter("large").join(pivots.select("band", F.col("other").alias("lh")), ["band", "lh"], "left_anti").select("band", "lh", "s0", "s1")
     raise AssertionError("the last round returns")
 
 

@@ -146,3 +146,24 @@ def test_pairs_that_meet_by_chance_go_no_further(spark, monkeypatch, tmp_path):
         found.setdefault(grp, set()).add(line)
     assert len(want) == 10 and {frozenset(x) for x in found.values()} == want
     assert 10 <= sum(seen) <= 40  # of 8,385
+
+
+def test_pairs_grow_with_the_lines_of_a_family(spark, monkeypatch):
+    """Copies of one line, each edited once, meet the least of a cell and not all each other."""
+    seen, agreeing = [], line_dedup.agreeing
+    monkeypatch.setattr(line_dedup, "agreeing", lambda pairs, done: (found := agreeing(pairs, done), seen.append(found.count()))[0])
+    monkeypatch.setattr(line_dedup, "OPEN_PAIRS", 0)
+    rng, latin = random.Random(6), "abcdefghijklmnopqrstuvwxyz"
+    line = " ".join("".join(rng.choices(latin, k=rng.randrange(4, 9))) for _ in range(40))
+    lines = [line] + list({edited(line, rng.randrange(len(line)), latin, rng) for _ in range(62)})
+    grp = groups_of(spark, lines)
+    assert len({grp[x] for x in lines}) == 1
+    assert sum(seen) <= 8 * len(lines)  # of 1,953 or so
+
+
+def test_grams_are_runs_of_characters(spark):
+    lines = ["abcdefg", "日本語の文字列です", "a😀b😀cd", "abcd", "abcde"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    hashes = lambda runs: [r["h"] for r in spark.createDataFrame([(x.encode("utf-32-be"),) for x in runs], "b binary").select(F.xxhash64("b").alias("h")).collect()] if runs else []
+    for r in rows.select("line", line_dedup.grams(F.col("line")).alias("g")).collect():
+        assert r["g"] == hashes([r["line"][i : i + 5] for i in range(len(r["line"]) - 4)])
