@@ -2,19 +2,19 @@
 
 1. Every line is a set of shingles, its runs of ``SHINGLE`` characters, from
    all of the line. Lines up to ``WHOLE`` characters are signed by all
-   shingles; longer ones by those that start with a character of ``SOME``, and
-   from ``LONG`` characters on by the quarter of these that a hash selects.
+   shingles; longer ones by the third of them that a hash selects, and from
+   ``LONG`` characters on by a quarter of that (and always by the first).
    Lengths between two levels are signed at both, and lines of so few
    different shingles that a selection leaves little of them also whole.
    Equal lines are combined before the shuffle.
 2. Bands of ``ROWS`` minima each let lines meet. All lines of a cell are paired
-   if the pairs are few in all or the cell has up to ``CELL`` lines; in a larger one all are paired with its least line;
-   then, while lines of unlike components would make too many pairs, with one
-   more line outside the cell's largest component; at last all lines of
-   different components with each other. So no pair of a cell goes uncompared
-   unless both are in one component already. Four bits of each minimum travel
-   with a line, so that pairs that can't agree go where they meet. Pairs whose signatures agree in
-   fewer than ``AGREE`` minima are not verified.
+   with its least line. Then lines of unlike components are paired, all at once
+   if that is at most ``CELL`` pairs a line or few pairs in all; in other cells
+   all are paired with one more line outside the cell's largest component,
+   until few are left or ``ROUNDS`` rounds are over, and then all with each
+   other. So no pair of a cell goes uncompared unless both are in one component
+   already. Four bits of each minimum travel with a line: pairs that can't agree
+   in ``AGREE`` minima go where they meet, and no pair is compared twice.
 3. Pairs are kept if the exact Jaccard similarity of their lines, as sets of
    all shingles, is at least the threshold.
 4. Components of the kept pairs, and equal lines, keep their first line: the
@@ -42,15 +42,15 @@ from lumenarc.runtime import Workspace
 SHINGLE = 5
 #: Every minimum is in three bands: at Jaccard 0.8 a pair shares one of them in about 99 of 100 cases.
 MINIMA, BANDS, ROWS = 30, 18, 5
-#: Equal minima, of MINIMA, below which a pair is not compared: about one in 2,000 pairs as alike as the threshold.
+#: Equal minima, of MINIMA, that a pair's sketches must allow for it to be compared: about one in 2,000 pairs as alike as the threshold.
 AGREE = 16
-#: Up to WHOLE characters lines are signed whole, from PART on by SOME shingles, from LONG on by a quarter of those (and no more by all up to LESS).
+#: Up to WHOLE characters lines are signed whole, from PART to LESS by a part of their shingles, from LONG on by a quarter of that part.
 PART, WHOLE, LONG, LESS = 160, 200, 640, 800
 #: Of how many shingles one is selected, by its hash, at each level.
 SHARES = (1, 3, 12)
 #: Lines signed by a selection of fewer different shingles (counted in 64 bits) are also signed whole.
 FEW = 24
-#: Lines of a cell up to which all are paired in any case.
+#: Lines of a cell outside its largest component up to which all unlike ones are paired at once.
 CELL = 64
 #: All uncompared pairs of different components are made at once if they are at most so many per line and cell, or after so many rounds.
 OPEN_PAIRS, ROUNDS = 4, 8
