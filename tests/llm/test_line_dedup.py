@@ -161,6 +161,39 @@ def test_pairs_grow_with_the_lines_of_a_family(spark, monkeypatch):
     assert sum(seen) <= 8 * len(lines)  # of 1,953 or so
 
 
+def test_lines_just_below_the_threshold_are_not_fetched(spark, monkeypatch):
+    """Copies of one line with some words of their own: nearly all pairs are a little less alike than the threshold."""
+    seen, agreeing = [], line_dedup.agreeing
+    monkeypatch.setattr(line_dedup, "agreeing", lambda pairs, done: (found := agreeing(pairs, done), seen.append(found.count()))[0])
+    # All lines in one cell and no judgement by minima: the parities alone must keep all links.
+    monkeypatch.setattr(line_dedup, "band_rows", lambda: [[]])
+    monkeypatch.setattr(line_dedup, "AGREE", 0)
+    rng, latin = random.Random(12), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(latin, k=rng.randrange(4, 9)))
+    base = [word() for _ in range(60)]
+    lines = [" ".join(word() if rng.random() < 0.07 else x for x in base) for _ in range(120)]
+    want, found = brute_groups(lines), {}
+    for line, grp in groups_of(spark, lines).items():
+        found.setdefault(grp, set()).add(line)
+    assert {frozenset(x) for x in found.values()} == want
+    assert sum(seen) <= 8 * len(lines), seen  # of 7,140
+
+
+def test_parities_lose_no_pair(spark):
+    rng, latin = random.Random(13), "abcdefghijklmnopqrstuvwxyz"
+    lines = ["abcde", "a" * 9, "".join(rng.choices(latin, k=4000))]
+    for n in (6, 20, 90, 300, 900, 3000):
+        for _ in range(6):
+            line = "".join(rng.choices(latin + " ", k=n))
+            lines += [line, edited(line, rng.randrange(n), latin, rng), line[: int(n * 0.9)], line[: int(n * 0.7)] + "".join(rng.choices(latin, k=n // 8))]
+    rows = line_dedup.parities(spark.createDataFrame(list(enumerate(lines)), "lh long, line string"))
+    back = rows.withColumnsRenamed({"lh": "other", "n": "u"} | {f"p{k}": f"q{k}" for k in range(line_dedup.WORDS)})
+    got = {(r["lh"], r["other"]) for r in rows.crossJoin(back).filter(line_dedup.may_be_alike(0.8)).select("lh", "other").collect()}
+    pairs = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if min(len(a), len(b)) >= 5]
+    alike = {(i, j) for i, j in pairs if jaccard(lines[i], lines[j]) >= 0.8}
+    assert alike <= got and len(got) < len(pairs) / 2
+
+
 def test_grams_are_runs_of_characters(spark):
     lines = ["abcdefg", "日本語の文字列です", "a😀b😀cd", "abcd", "abcde"]
     rows = spark.createDataFrame([(x,) for x in lines], "line string")
