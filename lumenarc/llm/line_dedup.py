@@ -243,12 +243,17 @@ def linked(signed: DataFrame, lines: DataFrame, work: Workspace, threshold: floa
         if not left["n"]:
             return components
         if not step:
-            named = named.join(sizes.select("band"), "band", "left_semi")
-            nodes = work.save(named.select("lh").distinct(), "nodes")
-            # From here on only these lines are compared.
-            lines = work.save(maybe_in(lines.select("lh", "line"), "lh", bitmap(nodes, "lh")).join(nodes, "lh", "left_semi").distinct(), "texts")
+            # From here on only lines are compared that agree with an unlike one of their cell: most meet by chance.
+            named = named.join(sizes.select("band", "major"), "band")
+            minor = named.filter("c <> major").select(*(F.col(x).alias(y) for x, y in zip(["band", *own[:4]], ["cell", *other[:4]], strict=True)))
+            meet = (F.col("band") == F.col("cell")) & (F.col("c") != F.col("d")) & may_agree()
+            some = named.join(minor, meet, "left_semi").select("band", "lh").unionByName(minor.join(named, meet, "left_semi").select(F.col("cell").alias("band"), F.col("other").alias("lh")))
+            some = work.save(some.distinct(), "some")
+            nodes = work.save(some.select("lh").distinct(), "nodes")
+            lines = work.save(maybe_in(lines.select("lh", "line"), "lh", bitmap(nodes, "lh")).join(nodes, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
+            named = named.drop("major").join(some, ["band", "lh"], "left_semi")
             named = work.save(named.join(work.save(parities(lines), "parities"), "lh"), "marked")
-            for name in ("named-0", "parities"):
+            for name in ("named-0", "parities", "some"):
                 work.drop(name)
         # All at once where that is at most CELL pairs a line, or few pairs in all.
         last = step > 0 and (left["large"] == 0 or left["n"] <= OPEN_PAIRS * size or step == ROUNDS)
