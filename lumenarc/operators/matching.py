@@ -174,7 +174,7 @@ def title_status(matched: DataFrame, files: DataFrame) -> DataFrame:
 
 def dictionary_dates(files: DataFrame, dictionary: DataFrame) -> DataFrame:
     """file_id, taken from dictionary(path, oldest): an outside list of dates, its slashes normalised."""
-    known = dictionary.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), dates.from_text(F.col("oldest")).alias("taken")).filter("taken is not null")
+    known = dictionary.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), dates.from_mixed_text(F.col("oldest")).alias("taken")).filter("taken is not null")
     first = known.groupBy("path").agg(F.min("taken").alias("taken"))
     return files.select("file_id", "path").join(first, "path").select("file_id", "taken")
 

@@ -259,7 +259,7 @@ def camera_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ["yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy.M.d H:m:s", "yyyy-MM-dd HH:mm:ss'+0200'", "yyyy:MM:dd HH:mm:ss'Z'", "yyyyMMdd'T'HHmmss", "'0000:00:00 'HH:mm:ss"]
     k = F.col("o_orderkey") % 8
     raw = F.coalesce(*(F.when(k == i, F.date_format("t", form)) for i, form in enumerate(forms)))
-    return o.select("o_orderkey", text_of(dates.from_text(raw)).alias("taken"))
+    return o.select("o_orderkey", text_of(dates.from_mixed_text(raw)).alias("taken"))
 
 
 on("date_from_camera_text", camera_texts, f"SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL WHEN 4 THEN strftime(CAST(o_orderdate AS TIMESTAMP) - INTERVAL 2 HOUR, {SQL_FORMAT}) ELSE strftime(o_orderdate, {SQL_FORMAT}) END AS taken FROM orders")

@@ -78,6 +78,6 @@ def dictionary_dates(files: DataFrame, entries: DataFrame, base: str, resolved:
     absolute = normal_path(F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), plain)))
     spellings = {"given": plain, "absolute": absolute} | ({"resolved": F.replace(resolved, F.lit("\\"), F.lit("/"))} if resolved else {})
     tried = files.select("file_id", F.posexplode(F.array(*(F.struct(F.lit(n).alias("spelling"), c.alias("path")) for n, c in spellings.items()))).alias("rank", "s")).select("file_id", "rank", "s.*")
-    known = entries.withColumn("taken", dates.from_text(F.trim("oldest"))).filter("taken IS NOT NULL").groupBy("path").agg(F.min("taken").alias("taken"))
+    known = entries.withColumn("taken", dates.from_mixed_text(F.trim("oldest"))).filter("taken IS NOT NULL").groupBy("path").agg(F.min("taken").alias("taken"))
     met = tried.join(known, "path").groupBy("file_id").agg(F.min_by(F.struct("taken", "spelling"), "rank").alias("m"))
     return met.select("file_id", "m.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions import dates, names, repairs
 from lumenarc.operators import entities, matching, tags
+from lumenarc.plans import catalogue
 
 
 def column(spark, values, build):
@@ -164,6 +165,13 @@ def test_usual_dates_are_read_without_the_lenient_forms(spark):
     assert seconds("2021:03:04 05:06:0") * 2 < seconds("2021-03-04 5:06:0")
 
 
+def test_mixed_dates_are_read_once(spark):
+    cases = ["2020:05:06 07:08:09", " 2020.5.6 7:8 ", "2020/05/06", "2020-05-06T07:08:09.123Z", "20200506T070809", "2020-0506 07:08 +05", "2020-05-06T07:08:09-0330", "2020:05:06 07:08:09-0330", "2020:05:06 07:08:09+02", "2020-05-06-02", "2020-05-06\n", "2020-05-06T07:08Z\n", "2020.5.6\t7:8", "2020.5.6 7:8\n", "2020:02:31 25:61:61", "2020-02-00", "2020-13-06T07:08:09", "1970-01-01T02:00:00+02:00", "1901-01-01T00:30:00+02:00", "2036:01:01 23:59:59", "1904-01-01", "0000:00:00 07:08:09", "1899-05-05", "20:05:06", "+2020.5.6 1:2", "T", "soon", "", None]
+    assert texts(spark, cases, dates.from_mixed_text) == texts(spark, cases, dates.from_text)
+    plan = catalogue.QUERIES["date_from_camera_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("date_format") == 9  # one for each way of writing, and that of the result; from_text named each hundreds of times
+
+
 def test_fnv_holds_few_contents_at_a_time():
     slices = [b"x" * (64 << 10), *[b"ab" * (i % 30) for i in range(3000)]]
     tracemalloc.start()
